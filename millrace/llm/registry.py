@@ -2,9 +2,11 @@
 
 import corpus_pipeline
 
-from . import simhash
+from . import bpe, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLES: dict[str, str] = {}
