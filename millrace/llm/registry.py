@@ -2,14 +2,20 @@
 
 import corpus_pipeline
 
-from . import bpe, packing, simhash
+from . import bpe, chat, lines, packing, secrets, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_chat": chat.op9_chat,
+}
+ORACLES = {
+    "op6_line_dedup": lines.OP6_SQL,
+    "op9_chat": chat.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
