@@ -2,13 +2,14 @@
 
 import corpus_pipeline
 
-from . import bpe, chat, lines, packing, secrets, simhash
+from . import bpe, chat, lines, packing, secrets, simhash, substrings
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_suffix_array_dedup": substrings.op7_suffix_array_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
 }
