@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, chat, lines, packing, secrets, simhash, substrings
+from . import bpe, chat, lines, neardup_vectors, packing, secrets, simhash, substrings
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_suffix_array_dedup": substrings.op7_suffix_array_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
+    "op10_embedding_near_dedup": neardup_vectors.op10_embedding_near_dedup,
 }
 ORACLES = {
     "op6_line_dedup": lines.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
