@@ -121,6 +121,7 @@ def _group(frame: pd.DataFrame, threshold: float, turn: np.ndarray, picks: np.nd
     tab = int(frame["tab"].iloc[0])
     # side 2: one block with itself; sides 0 and 1: two blocks
     first, second = (np.arange(len(frame)), None) if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    earlier = (code[:, picks[:tab]] * (1 << np.arange(picks.shape[1]))).sum(2)
     a, b = [], []
     for some in range(0, len(first), 512):
         rows = first[some : some + 512]
@@ -132,10 +133,7 @@ def _group(frame: pd.DataFrame, threshold: float, turn: np.ndarray, picks: np.nd
         sure = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold  # exact, in double precision
         i, j = i[sure], j[sure]
         if tab and len(i):  # an earlier table may have brought the pair together
-            differ = code[i] != code[j]
-            new = np.ones(len(i), bool)
-            for t in range(tab):
-                new &= differ[:, picks[t]].any(1)
+            new = ~(earlier[i] == earlier[j]).any(1)
             i, j = i[new], j[new]
         a.append(i)
         b.append(j)
@@ -213,6 +211,6 @@ WITH RECURSIVE v AS (
   SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 )
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id)::BIGINT AS n_links,
-       (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS component_id, component_id = e.vec_id AS kept
-FROM embeddings e
+       r.component_id, r.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
 """
