@@ -1,10 +1,26 @@
-"""The corpus pipeline: stages over documents, each calling one operator of millrace.llm."""
+"""The corpus pipeline: stages over documents, each calling one operator of millrace.llm.
+
+Each stage gets what the one before it kept. All but the last return the columns of
+documents; the last returns packed pieces. Extra columns are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import langid, lines, packing, secrets, simhash
+
 
-from millrace.llm import simhash
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the language model rejects: those without a letter, in a script that the labelled
+    documents don't hold, or without a language likelier than a guess."""
+    return langid.keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops each source's boilerplate lines from the texts; every document stays."""
+    return _counted(lines.drop_boilerplate(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +28,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; every document stays."""
+    return _counted(secrets.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences of power-of-two lengths: one row per piece, with its ids."""
+    return packing.pack_documents(docs)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text, where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("pack", pack),
+]
+#: SQL has no SimHash, no tokenizer and no trained model; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

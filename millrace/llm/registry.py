@@ -2,12 +2,13 @@
 
 import corpus_pipeline
 
-from . import bpe, chat, lines, neardup_vectors, packing, secrets, simhash, substrings
+from . import bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_language_id": langid.op5_language_id,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_suffix_array_dedup": substrings.op7_suffix_array_dedup,
     "op8_simhash": simhash.op8_simhash,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_embedding_near_dedup": neardup_vectors.op10_embedding_near_dedup,
 }
 ORACLES = {
+    "op5_language_id": langid.op5_language_id,
     "op6_line_dedup": lines.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,
