@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 
-from . import bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings
+from . import ann, bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings
 
 QUERIES = {
+    "op1_nn_descent": ann.op1_nn_descent,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
