@@ -1,4 +1,8 @@
 """Every registered query and its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import keys_and_checks
+
+_ALL = [keys_and_checks]
+
+QUERIES = {name: query for module in _ALL for name, (query, _) in module.QUERIES.items()}
+ORACLES = {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
