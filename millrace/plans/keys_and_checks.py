@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys
 from millrace.functions.hashing import bucket_hash
-from millrace.operators import checks, groups
+from millrace.operators import checks, groups, stats
 
 from .fixtures import DOCS, FOLD, H, documents, table
 
@@ -101,10 +101,8 @@ def length_filter(spark, sf_dir, most: int = 1800):
 def length_summary(spark, sf_dir):
     """Minimum, median, maximum and the 0.9 order statistic at the half-even index, by language."""
     d = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("long").alias("n"))
-    at = F.bround(0.9 * (F.size("v") - 1)).cast("int")
-    return d.groupBy("lang").agg(F.array_sort(F.collect_list("n")).alias("v"), F.median("n").alias("median_n")).select(
-        "lang", F.element_at("v", 1).alias("min_n"), "median_n", F.element_at("v", at + 1).alias("p90_n"), F.element_at("v", -1).alias("max_n")
-    )
+    p90 = stats.order_statistic(d, ["lang"], "n", lambda n: F.bround(0.9 * (n - 1)).cast("long"), "p90_n")
+    return d.groupBy("lang").agg(F.min("n").alias("min_n"), F.median("n").alias("median_n"), F.max("n").alias("max_n")).join(p90, "lang")
 
 
 def multiset_ops(spark, sf_dir):

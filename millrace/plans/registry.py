@@ -1,8 +1,8 @@
 """Every registered query and its SQL."""
 
-from . import keys_and_checks
+from . import keys_and_checks, sampling
 
-_ALL = [keys_and_checks]
+_ALL = [keys_and_checks, sampling]
 
 QUERIES = {name: query for module in _ALL for name, (query, _) in module.QUERIES.items()}
 ORACLES = {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
