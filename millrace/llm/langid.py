@@ -38,7 +38,7 @@ BUCKETS = 1 << 12
 DIMS = 16
 ORDERS = (1, 2, 3, 4)
 #: Labelled texts that the fit takes at most.
-SAMPLE = 4000
+SAMPLE = 2000
 LANGUAGES = 400
 UNKNOWN = "und"
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -104,19 +104,21 @@ def train(counts: np.ndarray, pairs: list[np.ndarray], labels: list[str], epochs
     """Fits the model to n-gram counts (rows), the pairs of bytes in each text and their languages."""
     languages = sorted(set(labels))
     y = np.searchsorted(languages, labels)
-    x = counts / counts.sum(1, keepdims=True)
+    x = counts  # becomes shares in place: the sample is the largest thing that the driver holds
+    x /= x.sum(1, keepdims=True)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     held = order[: len(x) // 5] if len(x) >= 50 else order
     fit = order[len(x) // 5 :] if len(x) >= 50 else order
-    scale = 1.0 / np.sqrt((x[fit] ** 2).mean(0) + 1e-10)  # common n-grams don't drown the others
+    squares = sum((x[some] ** 2).sum(0, dtype=np.float64) for some in np.array_split(fit, max(1, len(fit) // 256)))
+    scale = (1.0 / np.sqrt(squares / len(fit) + 1e-10)).astype(np.float32)  # common n-grams don't drown the others
     emb = rng.normal(0, 0.1, (BUCKETS, DIMS))
     layer, bias = rng.normal(0, 0.1, (DIMS, len(languages))), np.zeros(len(languages))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for some in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
             xb = x[some] * scale
-            xb /= np.abs(xb).sum(1, keepdims=True)
+            xb /= xb.sum(1, keepdims=True)
             hidden = xb @ emb
             grad = _softmax(hidden @ layer + bias)
             grad[np.arange(len(some)), y[some]] -= 1
@@ -127,7 +129,7 @@ def train(counts: np.ndarray, pairs: list[np.ndarray], labels: list[str], epochs
             emb -= step * 50 * (xb.T @ back)
     # the scaling and its norm at prediction: folded into the table as far as it is linear
     weights = scale[:, None] * (emb @ layer)
-    norm = float(np.mean(np.abs(x[fit] * scale).sum(1)))
+    norm = float(np.mean(x[fit] @ scale))
     known = np.zeros(1 << 16, bool)
     for i in fit:
         known[pairs[i]] = True
@@ -160,16 +162,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "
                     rows.append((label, np.flatnonzero(c).astype(np.int32), c[c > 0], np.unique(byte_pairs(data)).astype(np.int32)))
             yield pd.DataFrame(rows, columns=["lang", "at", "n", "pairs"])
 
-    found = rows.where(F.coalesce(drawn, F.lit(False))).dropDuplicates().mapInPandas(count, "lang string, at array<int>, n array<float>, pairs array<int>").limit(2 * sample).toPandas()
-    found = found.sort_values("lang", kind="stable").reset_index(drop=True)
-    if not len(found):
+    found = rows.where(F.coalesce(drawn, F.lit(False))).dropDuplicates().mapInPandas(count, "lang string, at array<int>, n array<float>, pairs array<int>").limit(2 * sample)
+    # arrays come as Arrow lists, not as Python objects
+    got = found.toArrow().combine_chunks()
+    if not got.num_rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(1 << 16, bool), 1.0, 0.0, 0.0)
-    counts = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (at, n) in enumerate(zip(found["at"], found["n"])):
-        counts[i, np.asarray(at)] = n
+    lists = {c: got[c].combine_chunks() for c in ("at", "n", "pairs")}
+    own = lambda c, i: lists[c].values[lists[c].offsets[i].as_py() : lists[c].offsets[i + 1].as_py()].to_numpy()
+    labels = got["lang"].to_pylist()
     # the same rows in the same order, however the tasks ended
-    order = sorted(range(len(counts)), key=lambda i: (found["lang"][i], counts[i].tobytes()))
-    return train(counts[order], [np.asarray(found["pairs"][i]) for i in order], [found["lang"][i] for i in order])
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], own("at", i).tobytes(), own("n", i).tobytes()))
+    counts = np.zeros((len(labels), BUCKETS), np.float32)
+    for row, i in enumerate(order):
+        counts[row, own("at", i)] = own("n", i)
+    return train(counts, [own("pairs", i) for i in order], [labels[i] for i in order])
 
 
 def _predictor(model: Model):
