@@ -116,8 +116,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, t
     for batch in batches:
         at = batch.schema.get_field_index(texts)
         names = [x for x in batch.schema.names if x != texts]
-        for some in range(0, batch.num_rows, 512):
-            part = batch.slice(some, 512)
+        for some in range(0, batch.num_rows, 128):
+            part = batch.slice(some, 128)
             ids = [np.array(encode(x) if x else [], dtype=np.int32) for x in part.column(at).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
@@ -128,10 +128,14 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     """Appends the bytes of the column ids."""
     tokens = _token_bytes(path)
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("ids"))
-        flat, offsets = ids.flatten().to_pylist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        raw = [b"".join(map(tokens.__getitem__, flat[i:j])) for i, j in zip(offsets, offsets[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
+        at = batch.schema.get_field_index("ids")
+        for some in range(0, batch.num_rows, 128):  # a few documents' ids as Python numbers at a time
+            part = batch.slice(some, 128)
+            ids = part.column(at)
+            places = ids.offsets.to_numpy()
+            values = ids.values.to_numpy()
+            raw = [b"".join(map(tokens.__getitem__, values[i:j].tolist())) for i, j in zip(places, places[1:])]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
