@@ -9,7 +9,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,18 +140,19 @@ def span_errors(utterance: Column, spans: Column) -> Column:
     return wrong | F.exists(spans, lambda a: F.size(F.filter(spans, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))) > 1)
 
 
-def slots_from_bio(utterance: Column, tags: Column) -> Column:
-    """Slots of a tag sequence; an I- tag that goes on with nothing begins a slot."""
-    kind = lambda t: F.substring(t, 3, 1 << 30)
-    starts = F.transform(
-        tags,
-        lambda t, i: (t != "O") & ((F.substring(t, 1, 1) == "B") | (i == 0) | ~F.coalesce(kind(F.get(tags, i - 1)) == kind(t), F.lit(False)) | (F.coalesce(F.get(tags, i - 1), F.lit("O")) == "O")),
-    )
-    begin = F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: F.coalesce(F.get(starts, i), F.lit(False)))
+def slots_from_bio(df: DataFrame, key: str, utterance: str, tags: str) -> DataFrame:
+    """(key, slots): slots of a tag sequence. An I- tag that goes on with nothing begins a slot.
 
-    def slot(i):
-        # the slot ends before the first place behind that is O or begins another
-        ends = F.filter(F.sequence(i + 1, F.size(tags)), lambda j: (j == F.size(tags)) | (F.get(tags, j) == "O") | F.get(starts, j))
-        return F.struct(kind(F.get(tags, i)).alias("type"), F.substring(utterance, i + 1, F.array_min(ends) - i).alias("value"))
-
-    return F.when(F.size(tags) == 0, F.expr("cast(array() as array<struct<type:string,value:string>>)")).otherwise(F.transform(begin, slot))
+    Only characters with a tag other than O become rows; a run ends where a place is left out.
+    """
+    along = Window.partitionBy(key).orderBy("_i")
+    kind = F.substring("_t", 3, 1 << 30)
+    goes_on = F.col("_t").startswith("I-") & F.coalesce((F.lag("_i").over(along) == F.col("_i") - 1) & (F.lag(kind).over(along) == kind), F.lit(False))
+    tagged = F.filter(F.transform(tags, lambda t, i: F.struct(i.alias("_i"), t.alias("_t"))), lambda x: x["_t"] != "O")
+    c = df.select(key, F.explode(tagged).alias("x")).select(key, "x.*")
+    c = c.withColumn("_run", F.sum((~goes_on).cast("int")).over(along))
+    runs = c.groupBy(key, "_run").agg(F.min("_i").alias("a"), F.max("_i").alias("b"), F.min(kind).alias("type"))
+    runs = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("a", "b", "type"))).alias("_s"))
+    slots = F.transform("_s", lambda r: F.struct(r["type"].alias("type"), F.substring(F.col(utterance), r["a"] + 1, r["b"] - r["a"] + 1).alias("value")))
+    none = F.expr("cast(array() as array<struct<type:string,value:string>>)")
+    return df.select(key, utterance).join(runs, key, "left").select(key, F.when(F.col("_s").isNull(), none).otherwise(slots).alias("slots"))

@@ -152,7 +152,7 @@ def raw_sql(name: str = "raws", salt: str = "raw", utts: str = "utts") -> str:
 
 def parsed_sql(name: str = "parsed", raws: str = "raws") -> str:
     """The strict parser in SQL, for outputs spoilt as above: error, and pred (null if invalid)."""
-    n_slots = "json_array_length(raw_output, '$.slots')"
+    n_slots = "json_array_length(raw_output, '$.slots')::BIGINT"
     return f"""{name}_e AS (SELECT *, CASE WHEN NOT json_valid(raw_output) THEN 'invalid_json'
     WHEN length(raw_output) - length(replace(raw_output, '"slots":', '')) > 8 THEN 'duplicate_json_key'
     WHEN json_keys(raw_output) <> ['slots'] OR json_type(raw_output, '$.slots') <> 'ARRAY' THEN 'invalid_top_level_schema'
