@@ -44,7 +44,7 @@ def classification_score(counts: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), n(F.col("gold") == F.col("pred")).alias("n_correct"), n(F.col("known").isNotNull()).alias("n_valid"),
         n(F.col("known").isNull() & F.col("pred").isNotNull()).alias("n_unknown"), n(F.col("pred").isNull()).alias("n_invalid"),
     )
-    macro = per_class(counts).agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
+    macro = per_class(counts).agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
     return one.crossJoin(macro).withColumn("accuracy", ratio("n_correct", "n"))  # one row each
 
 

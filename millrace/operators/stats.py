@@ -16,3 +16,63 @@ def order_statistic(df: DataFrame, group: Sequence[str], value: str, index: Call
     run = n.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
     at = index(F.col("_all"))
     return run.where((F.col("_to") > at) & (F.col("_to") - F.col("_n") <= at)).select(*group, F.col(value).alias(name))
+
+
+def latency_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Samples, smallest, median, 95th and 99th percentile (linear interpolation), largest, mean."""
+    return df.groupBy(*group).agg(
+        F.count(value).alias("samples"), F.min(value).alias("min"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"),
+        F.percentile(value, F.lit(0.99)).alias("p99"), F.max(value).alias("max"), F.round(F.avg(value), 9).alias("mean"),
+    )
+
+
+# --- bootstrap ---------------------------------------------------------------------------
+# Draws are md5 picks of (draw, slot), so a seed gives the same draws on any engine and cluster. What is
+# drawn are clusters' sums: draws * clusters narrow rows, joined on the cluster's number.
+
+
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """Numbers the rows from 0 in the order of a hex key, without bringing them into one task.
+
+    Rows are numbered within the key's first three digits; the 4,096 offsets are a small table."""
+    df = df.withColumn("_p", F.substring(key, 1, 3))
+    size = df.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    own = df.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    return own.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("bigint")).drop("_p", "_r", "_before")  # at most 4,096 rows
+
+
+def cluster_draws(clusters: DataFrame, sums: Sequence[str], draws: int, seed: str, key: str = "cluster") -> DataFrame:
+    """(draw, sums): as many clusters as there are, drawn with replacement, summed, for each draw.
+
+    All sums of a draw come from the same clusters, so systems side by side are paired."""
+    numbered = dense_index(clusters.select(key, *sums), key)
+    n = clusters.count()
+    picks = clusters.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "slot")), 1, 8), 16, 10).cast("bigint")
+    picks = picks.select("draw", (hashed % max(n, 1)).alias("idx"))
+    return picks.join(numbered, "idx").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def interval(df: DataFrame, value: str, prefix: str) -> list:
+    """Aggregates: mean and the 95 % percentile interval of the draws in which the value is defined."""
+    return [F.round(F.percentile(value, F.lit(0.025)), 9).alias(f"{prefix}_low"), F.round(F.percentile(value, F.lit(0.975)), 9).alias(f"{prefix}_high"), F.count(value).alias(f"{prefix}_draws")]
+
+
+def order_interval(df: DataFrame, value: str, prefix: str) -> DataFrame:
+    """The other rule: sorted values at int(.025 n) and min(n - 1, int(.975 n)). Only the draws are sorted."""
+    v = df.agg(F.array_sort(F.collect_list(value)).alias("v"))
+    n = F.size("v")
+    return v.select(
+        F.round(F.get("v", F.floor(0.025 * n).cast("int")), 9).alias(f"{prefix}_low"),
+        F.round(F.get("v", F.least(n - 1, F.floor(0.975 * n).cast("int"))), 9).alias(f"{prefix}_high"),
+    )
+
+
+def stratified_draws(rows: DataFrame, stratum: str, key: str, draws: int, seed: str) -> DataFrame:
+    """(draw, and the columns of rows): each stratum resampled to its own size."""
+    own = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1)
+    n = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    slots = n.select(stratum, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(stratum, "_n", "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("slot"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", stratum, "slot")), 1, 8), 16, 10).cast("bigint")
+    return slots.select(stratum, "draw", (hashed % F.col("_n")).alias("_i")).join(own, [stratum, "_i"]).drop("_i")

@@ -102,7 +102,7 @@ QUERIES = {
     "clf_score": (
         clf_score,
         f"""WITH {OPEN}, {PER_CLASS} SELECT count(*) AS n, count(*) FILTER (gold = prediction) AS n_correct, count(*) FILTER (prediction IN (SELECT gold FROM support)) AS n_valid, count(*) FILTER (prediction NOT IN (SELECT gold FROM support)) AS n_unknown,
-        count(*) FILTER (prediction IS NULL) AS n_invalid, (SELECT avg(f1) FROM per_class) AS macro_f1, (SELECT count(*) FROM per_class) AS n_classes, (count(*) FILTER (gold = prediction) / count(*))::DOUBLE AS accuracy FROM norm""",
+        count(*) FILTER (prediction IS NULL) AS n_invalid, (SELECT round(avg(f1), 9) FROM per_class) AS macro_f1, (SELECT count(*) FROM per_class) AS n_classes, (count(*) FILTER (gold = prediction) / count(*))::DOUBLE AS accuracy FROM norm""",
     ),
     "clf_per_class": (clf_per_class, f"WITH {OPEN}, {PER_CLASS} SELECT * FROM per_class"),
     "clf_per_scenario": (clf_per_scenario, f"WITH {OPEN} SELECT source AS scenario, count(*) AS n, count(*) FILTER (gold = prediction) AS n_correct, count(*) FILTER (gold = prediction) / count(*) AS accuracy FROM norm GROUP BY source"),

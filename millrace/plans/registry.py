@@ -1,8 +1,8 @@
 """Every registered query and its SQL."""
 
-from . import classification, entities, keys_and_checks, sampling
+from . import classification, entities, keys_and_checks, resampling, sampling
 
-_ALL = [keys_and_checks, sampling, classification, entities]
+_ALL = [keys_and_checks, sampling, classification, entities, resampling]
 
 QUERIES = {name: query for module in _ALL for name, (query, _) in module.QUERIES.items()}
 ORACLES = {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
