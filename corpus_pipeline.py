@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, lines, packing, secrets, simhash
+from millrace.llm.common import bound_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language model rejects: those without a letter, in a script that the labelled
     documents don't hold, or without a language likelier than a guess."""
+    bound_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -25,16 +27,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest doc_id, of each class of near-duplicates."""
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; every document stays."""
+    bound_batches(spark)
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of power-of-two lengths: one row per piece, with its ids."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 
