@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizer, FeatureHasher, StringIndexer
 
@@ -23,12 +23,17 @@ def choose_hybrid(df: DataFrame, old: str, new: str, parsed: str, logprob: str,
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
-    """All character n-grams of low to high characters, in order of length."""
-    grams = [
-        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+    """All character n-grams of low to high characters, in order of length.
+
+    Each length is made from the one before by pairing arrays, so the work is linear in the text."""
+    chars = F.split(text, "")
+    grams, out = chars, []
+    for n in range(1, high + 1):
+        if n > 1:
+            grams = F.zip_with(grams, F.slice(chars, n, F.greatest(F.size(chars), F.lit(1))), lambda g, c: F.concat(g, c))
+        if n >= low:
+            out.append(F.filter(grams, lambda g: g.isNotNull() & (g != "")))
+    return F.concat(*out)
 
 
 def tfidf(df: DataFrame, key: str, text: str, low: int, high: int, min_df: int = 2) -> DataFrame:
@@ -42,9 +47,17 @@ def tfidf(df: DataFrame, key: str, text: str, low: int, high: int, min_df: int =
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def linear_classifier(grams: str, label: str, vocabulary: int = 1 << 16, min_df: int = 2) -> Pipeline:
-    """n-gram counts, sublinear and weighted, into one linear machine per class. The hinge here is plain, not squared."""
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y"), CountVectorizer(inputCol=grams, outputCol="_x", vocabSize=vocabulary, minDF=min_df), OneVsRest(classifier=LinearSVC(featuresCol="_x", labelCol="_y", maxIter=10), featuresCol="_x", labelCol="_y")])
+def fit_linear(train: DataFrame, grams: str, label: str, vocabulary: int = 1 << 16, min_df: int = 2) -> PipelineModel:
+    """n-gram counts into one linear machine per class. The hinge here is plain, not squared.
+
+    The counts are made once and kept for the iterations."""
+    counted = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"), CountVectorizer(inputCol=grams, outputCol="_x", vocabSize=vocabulary, minDF=min_df)]).fit(train)
+    ready = counted.transform(train).select("_x", "_y").persist()
+    try:
+        machines = OneVsRest(classifier=LinearSVC(featuresCol="_x", labelCol="_y", maxIter=10), featuresCol="_x", labelCol="_y").fit(ready)
+    finally:
+        ready.unpersist()
+    return PipelineModel([*counted.stages, machines])
 
 
 def bio_classifier(features: list[str], label: str, size: int = 1 << 12) -> Pipeline:

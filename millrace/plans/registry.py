@@ -1,8 +1,8 @@
 """Every registered query and its SQL."""
 
-from . import classification, entities, keys_and_checks, resampling, sampling
+from . import classification, decisions, entities, keys_and_checks, resampling, sampling, trees
 
-_ALL = [keys_and_checks, sampling, classification, entities, resampling]
+_ALL = [keys_and_checks, sampling, classification, decisions, entities, resampling, trees, decisions]
 
 QUERIES = {name: query for module in _ALL for name, (query, _) in module.QUERIES.items()}
 ORACLES = {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
