@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 BUCKETS = 1 << 12
 DIMS = 16
@@ -187,8 +187,10 @@ def _predictor(model: Model):
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Appends lang_pred, score and rejected."""
-    return docs.select("*", _predictor(model)(F.col(text)).alias("_p")).select("*", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), F.col("_p.rejected").alias("rejected")).drop("_p")
+    """Sets lang_pred, score and rejected; columns of these names are replaced."""
+    own = free_name(docs, "_p")
+    out = docs.select("*", _predictor(model)(docs[text]).alias(own))
+    return out.withColumns({"lang_pred": F.col(own)["lang"], "score": F.col(own)["score"], "rejected": F.col(own)["rejected"]}).drop(own)
 
 
 def held_out(doc_id: F.Column) -> F.Column:

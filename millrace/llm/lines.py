@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_name, table
 
 RATIO = 0.08
 LEAST_PAGES = 8
@@ -62,16 +62,17 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """The pages without their hosts' boilerplate lines; all columns and rows stay."""
     scratch = Scratch(pages.sparkSession)
     found = scratch.put(boilerplate(pages, host, text, ratio, least_pages))
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("_drop")).withColumnRenamed("host", "_host")
-    same = F.col(f"_p.{host}").eqNullSafe(F.col("_host"))
+    drop, key, salt, mine = (free_name(pages, x) for x in ("_drop", "_host", "_salt", "_mine"))
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias(drop)).withColumnRenamed("host", key)
+    same = pages[host].eqNullSafe(F.col(key))
     if found.count() <= broadcast_lines:
-        joined = pages.alias("_p").join(F.broadcast(by_host), same, "left")
+        joined = pages.join(F.broadcast(by_host), same, "left")
     else:
-        spread = by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        dealt = pages.withColumn("_mine", F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(salts)).cast("int"))
-        joined = dealt.alias("_p").join(spread, same & (F.col("_mine") == F.col("_salt")), "left")
-    new = F.when(F.col("_drop").isNull(), F.col(f"_p.{text}")).otherwise(_kept(F.col(f"_p.{text}"), F.col("_drop")))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"_p.`{c}`") for c in pages.columns])
+        spread = by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt))
+        dealt = pages.withColumn(mine, F.pmod(F.xxhash64(F.coalesce(pages[text], F.lit(""))), F.lit(salts)).cast("int"))
+        joined = dealt.join(spread, same & (F.col(mine) == F.col(salt)), "left")
+    new = F.when(F.col(drop).isNull(), F.col(f"`{text}`")).otherwise(_kept(F.col(f"`{text}`"), F.col(drop)))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ QUERIES = {
     "op10_embedding_near_dedup": neardup_vectors.op10_embedding_near_dedup,
 }
 ORACLES = {
-    "op5_language_id": langid.op5_language_id,
     "op6_line_dedup": lines.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,

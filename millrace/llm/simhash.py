@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, star_links, table, whole_groups
+from .common import Scratch, connected_components, free_name, star_links, table, whole_groups
 
 BITS = 64
 MAX_DIFFERING = 3
@@ -125,10 +125,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.put(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text).alias("fp")))
-    keep = classes(prints, scratch).where("fp = rep_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_cid"))
-    marked = docs.select("*", fingerprints(docs, text).alias("_fp")).join(keep, "_fp").where(F.col(doc_id).eqNullSafe(F.col("_cid")))
-    first = Window.partitionBy("_fp").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return marked.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    fp, cid, row = (free_name(docs, x) for x in ("_fp", "_cid", "_row"))
+    keep = classes(prints, scratch).where("fp = rep_fp").select(F.col("fp").alias(fp), F.col("component_id").alias(cid))
+    marked = docs.select("*", fingerprints(docs, text).alias(fp)).join(keep, fp).where(docs[doc_id].eqNullSafe(F.col(cid)))
+    first = Window.partitionBy(fp).orderBy(F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    return marked.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
