@@ -20,6 +20,11 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ConstraintError(f"{what}: {', '.join(str(r.asDict()) for r in some)}")
 
 
+def guarded(ok, column, what: str):
+    """The column, where the test holds; elsewhere reading it raises."""
+    return F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(what))).otherwise(column)
+
+
 def dup_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

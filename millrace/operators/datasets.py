@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.keys import strip
 from millrace.functions.spans import TARGET_TYPES, canonical_json
+from millrace.operators.checks import guarded
 
 #: The instructions of the two tasks.
 SLOT_PROMPT = '从原句抽取 date、time、place_name、person 槽位。只输出 JSON 对象，键为 slots，元素包含 type 和 value；没有目标槽位输出 {"slots":[]}。value 必须逐字复制原句。\n原句：'
@@ -24,7 +25,7 @@ def sft_records(df: DataFrame, utterance: str, slots: str, *keep: str) -> DataFr
 def matched_sft(pairs: DataFrame, *keep: str) -> DataFrame:
     """Preference records as plain ones: chosen becomes the completion. Anything but one assistant turn raises."""
     ok = (F.size("chosen") == 1) & (F.get("chosen", F.lit(0))["role"] == "assistant")
-    return pairs.select(*keep, "prompt", F.when(F.assert_true(ok, "chosen isn't one assistant turn").isNull(), F.col("chosen")).alias("completion"))
+    return pairs.select(*keep, "prompt", guarded(ok, F.col("chosen"), "chosen isn't one assistant turn").alias("completion"))
 
 
 def error_pairs(df: DataFrame, utterance: str, gold: str, pred: str, raw: str, *keep: str) -> DataFrame:

@@ -111,8 +111,8 @@ def entity_prf_by_type(rows: DataFrame, types=TARGET_TYPES) -> DataFrame:
 
 #: The categories of the error taxonomy.
 CATEGORIES = (
-    "correct", "incorrect", "invalid_json", "invalid_schema", "invalid_copy", "missed_all_slots", "valid_missed_all_slots", "extra_on_empty", "partial_slots",
-    "type_confusion", "same_type_different_value", "boundary_candidate", "duplicate_output", "excess_duplicate",
+    "fully_correct", "incorrect", "invalid_json", "invalid_schema", "invalid_copy", "missed_all_gold_slots", "missed_all_gold_slots_valid_output", "extra_slots_on_gold_empty", "partial_correct",
+    "type_confusion_same_value", "same_type_different_value", "possible_span_boundary_mismatch", "duplicate_slot_output", "excess_duplicate_slot",
 )
 
 
@@ -134,20 +134,20 @@ def taxonomy_flags(df: DataFrame, gold: str, pred: str, parsed: str, *keep: str)
     j, s, c = (F.col(parsed)[x] for x in ("json_valid", "schema_valid", "copy_valid"))
     within = lambda a, b: a["value"].contains(b["value"]) | b["value"].contains(a["value"])
     flags = {
-        "correct": exact,
+        "fully_correct": exact,
         "incorrect": ~exact,
         "invalid_json": ~j,
         "invalid_schema": j & ~s,
         "invalid_copy": s & ~c,
-        "missed_all_slots": (F.size(g) > 0) & (F.size(p) == 0),
-        "valid_missed_all_slots": v & (F.size(g) > 0) & (F.size(p) == 0),
-        "extra_on_empty": v & (F.size(g) == 0) & (F.size(p) > 0),
-        "partial_slots": v & (tp > 0) & (tp < F.size(g)),
-        "type_confusion": pair(lambda a, b: (a["value"] == b["value"]) & (a["type"] != b["type"])),
+        "missed_all_gold_slots": (F.size(g) > 0) & (tp == 0),
+        "missed_all_gold_slots_valid_output": v & (F.size(g) > 0) & (tp == 0),
+        "extra_slots_on_gold_empty": v & (F.size(g) == 0) & (F.size(p) > 0),
+        "partial_correct": v & (tp > 0) & ~exact,
+        "type_confusion_same_value": pair(lambda a, b: (a["value"] == b["value"]) & (a["type"] != b["type"])),
         "same_type_different_value": pair(lambda a, b: (a["type"] == b["type"]) & (a["value"] != b["value"])),
-        "boundary_candidate": pair(lambda a, b: (a["type"] == b["type"]) & (a["value"] != b["value"]) & within(a, b)),
-        "duplicate_output": v & (F.size(F.array_distinct(p)) < F.size(p)),
-        "excess_duplicate": v & F.exists(F.array_distinct(p), lambda s: F.size(F.filter(p, lambda x: x == s)) > F.greatest(F.lit(1), F.size(F.filter(g, lambda x: x == s)))),
+        "possible_span_boundary_mismatch": pair(lambda a, b: (a["type"] == b["type"]) & (a["value"] != b["value"]) & within(a, b)),
+        "duplicate_slot_output": v & (F.size(F.array_distinct(p)) < F.size(p)),
+        "excess_duplicate_slot": v & F.exists(F.array_distinct(p), lambda s: F.size(F.filter(p, lambda x: x == s)) > F.greatest(F.lit(1), F.size(F.filter(g, lambda x: x == s)))),
     }
     return df.select(*keep, *[flags[x].alias(x) for x in CATEGORIES], (F.size(g) > 0).alias("_has"), (F.size(g) == 0).alias("_none"))
 
@@ -156,7 +156,7 @@ def taxonomy(flags: DataFrame) -> DataFrame:
     """(category, n, denominator, rate): missed-all is a rate of rows with slots, extra-on-empty of rows without; the rate is
     null for an empty denominator."""
     one = flags.agg(*[F.count_if(c).alias(c) for c in CATEGORIES], F.count(F.lit(1)).alias("_n"), F.count_if("_has").alias("_has"), F.count_if("_none").alias("_none"))
-    base = {"missed_all_slots": "_has", "valid_missed_all_slots": "_has", "extra_on_empty": "_none"}
+    base = {"missed_all_gold_slots": "_has", "missed_all_gold_slots_valid_output": "_has", "extra_slots_on_gold_empty": "_none"}
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n"), F.col(base.get(c, "_n")).alias("denominator")) for c in CATEGORIES]))
     return one.select(rows.alias("r")).select("r.*").withColumn("rate", F.try_divide("n", "denominator"))
 

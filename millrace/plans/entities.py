@@ -178,13 +178,13 @@ ENT = f"WITH {PARSED}, {COUNTS.format(parsed='parsed')}"
 def _taxonomy_sql():
     pairs = lambda test: f"valid AND id IN (SELECT a.id FROM rest a JOIN rest b ON a.id = b.id WHERE a.g > a.p AND b.p > b.g AND {test})"
     flags = {
-        "correct": "exact", "incorrect": "NOT exact", "invalid_json": "NOT json_valid", "invalid_schema": "json_valid AND NOT schema_valid", "invalid_copy": "schema_valid AND NOT copy_valid",
-        "missed_all_slots": "n_gold > 0 AND n_pred = 0", "valid_missed_all_slots": "valid AND n_gold > 0 AND n_pred = 0", "extra_on_empty": "valid AND n_gold = 0 AND n_pred > 0", "partial_slots": "valid AND tp > 0 AND tp < n_gold",
-        "type_confusion": pairs("a.value = b.value AND a.type <> b.type"), "same_type_different_value": pairs("a.type = b.type AND a.value <> b.value"),
-        "boundary_candidate": pairs("a.type = b.type AND a.value <> b.value AND (contains(a.value, b.value) OR contains(b.value, a.value))"),
-        "duplicate_output": "valid AND id IN (SELECT id FROM rest WHERE p > 1)", "excess_duplicate": "valid AND id IN (SELECT id FROM rest WHERE p > greatest(1, g))",
+        "fully_correct": "exact", "incorrect": "NOT exact", "invalid_json": "NOT json_valid", "invalid_schema": "json_valid AND NOT schema_valid", "invalid_copy": "schema_valid AND NOT copy_valid",
+        "missed_all_gold_slots": "n_gold > 0 AND tp = 0", "missed_all_gold_slots_valid_output": "valid AND n_gold > 0 AND tp = 0", "extra_slots_on_gold_empty": "valid AND n_gold = 0 AND n_pred > 0", "partial_correct": "valid AND tp > 0 AND NOT exact",
+        "type_confusion_same_value": pairs("a.value = b.value AND a.type <> b.type"), "same_type_different_value": pairs("a.type = b.type AND a.value <> b.value"),
+        "possible_span_boundary_mismatch": pairs("a.type = b.type AND a.value <> b.value AND (contains(a.value, b.value) OR contains(b.value, a.value))"),
+        "duplicate_slot_output": "valid AND id IN (SELECT id FROM rest WHERE p > 1)", "excess_duplicate_slot": "valid AND id IN (SELECT id FROM rest WHERE p > greatest(1, g))",
     }
-    base = {"missed_all_slots": "n_gold > 0", "valid_missed_all_slots": "n_gold > 0", "extra_on_empty": "n_gold = 0"}
+    base = {"missed_all_gold_slots": "n_gold > 0", "missed_all_gold_slots_valid_output": "n_gold > 0", "extra_slots_on_gold_empty": "n_gold = 0"}
     each = " UNION ALL ".join(f"SELECT '{k}' AS category, count(*) FILTER ({v}) AS n, count(*) FILTER ({base.get(k, 'true')}) AS denominator FROM f" for k, v in flags.items())
     return f"{ENT}, rest AS MATERIALIZED (SELECT * FROM expl), f AS MATERIALIZED (SELECT e.*, p.json_valid, p.schema_valid, p.copy_valid FROM erows e JOIN parsed p USING (id)) SELECT *, n / nullif(denominator, 0) AS rate FROM ({each})"
 

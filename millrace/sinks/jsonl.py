@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.checks import guarded
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names; a local session without one gets a temporary folder."""
@@ -67,8 +69,8 @@ def write_at_least(df: DataFrame, path: str, least: int) -> int:
 
 def prediction_payload(df: DataFrame, eval_sha256: str, *more: str) -> DataFrame:
     """Columns of a prediction record; a null output or group raises."""
-    fine = F.assert_true(F.col("raw_output").isNotNull() & (F.coalesce("group_sha256", F.lit("")) != ""), "prediction or group is missing")
-    return df.select(F.col("id").cast("string").alias("id"), "group_sha256", F.lit(eval_sha256).alias("eval_file_sha256"), F.when(fine.isNull(), F.col("raw_output")).alias("raw_output"), *more)
+    ok = F.col("raw_output").isNotNull() & (F.coalesce("group_sha256", F.lit("")) != "")
+    return df.select(F.col("id").cast("string").alias("id"), "group_sha256", F.lit(eval_sha256).alias("eval_file_sha256"), guarded(ok, F.col("raw_output"), "prediction or group is missing").alias("raw_output"), *more)
 
 
 def write_manifest(one_row: DataFrame, path: str) -> None:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.checks import guarded
+
 #: What a public tree must not hold.
 BLOCKED_PREFIXES = (".venv/", "_tmp/", "cache/", "models/", "outputs/", "data/raw/", "data/massive-zh/", "data/private/", "data/sft.licensed.", "data/dpo.licensed.", "data/dpo.eval.", ".env.")
 BLOCKED_SUFFIXES = (".safetensors", ".gguf", ".joblib", ".onnx", ".pt", ".ckpt")
@@ -15,10 +17,17 @@ MOST_BYTES = 1024 * 1024
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(relative, length, path) of all files under a root; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    return files.select(F.substring_index("path", f"/{base}/", -1).alias("relative"), "length", "path")
+    """(relative, length, path) of all files under a root, hidden and empty ones too; contents aren't read.
+
+    Names and sizes are what a file system tells the driver anyway; a release tree has some thousands of them."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True), []
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath().toUri().getPath()
+        rows.append((path.split(base.toUri().getPath().rstrip("/") + "/", 1)[1], f.getLen(), path))
+    return spark.createDataFrame(rows, "relative string, length long, path string")
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +40,8 @@ def directory_fingerprint(spark: SparkSession, path: str, scope: str, required:
     files = fingerprint(spark, path).select(F.concat(F.lit(scope + "/"), F.substring_index("path", "/", -1)).alias("name"), "sha256")
     one = files.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("digests"))
     need = F.array(*[F.lit(f"{scope}/{n}") for n in required]) if required else F.expr("cast(array() as array<string>)")
-    fine = F.assert_true(F.forall(need, lambda n: F.map_contains_key("digests", n)), "a required file is missing")
-    return one.select(F.when(fine.isNull(), F.col("digests")).alias("digests"))
+    ok = F.forall(need, lambda n: F.map_contains_key("digests", n))
+    return one.select(guarded(ok, F.col("digests"), "a required file is missing").alias("digests"))
 
 
 def row_level_keys(value: object) -> set[str]:

@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.checks import guarded, hex_digest
+
 #: The layouts in which studies list their groups: rows of a split, digests of a split, digests alone.
 NESTED = "splits map<string, struct<groups: array<struct<group_sha256: string>>, source_ids: array<string>>>"
 BY_SPLIT = "splits map<string, struct<group_sha256: array<string>>>"
@@ -20,8 +22,7 @@ def reserved_hashes(spark: SparkSession, path: str, layout: str) -> DataFrame:
         own = m.select(F.explode("splits").alias("split", "s"))
         column = "s.groups.group_sha256" if layout == NESTED else "s.group_sha256"
         h = own.select("split", F.explode(column).alias("group_sha256"))
-    fine = F.assert_true(F.coalesce(F.col("group_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "not a digest")
-    return h.select("split", F.when(fine.isNull(), F.col("group_sha256")).alias("group_sha256"))
+    return h.select("split", guarded(hex_digest("group_sha256"), F.col("group_sha256"), "not a digest").alias("group_sha256"))
 
 
 def after_guard(guard: Callable[[], None], read: Callable[[], DataFrame]) -> DataFrame:
