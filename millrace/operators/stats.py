@@ -21,8 +21,7 @@ def order_statistic(df: DataFrame, group: Sequence[str], value: str, index: Call
 def latency_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Samples, smallest, median, 95th and 99th percentile (linear interpolation), largest, mean."""
     return df.groupBy(*group).agg(
-        F.count(value).alias("samples"), F.min(value).alias("min"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"),
-        F.percentile(value, F.lit(0.99)).alias("p99"), F.max(value).alias("max"), F.round(F.avg(value), 9).alias("mean"),
+        F.count(value).alias("samples"), F.min(value).alias("min"), *[F.round(F.percentile(value, F.lit(q / 100)), 9).alias(f"p{q}") for q in (50, 95, 99)], F.max(value).alias("max"), F.round(F.avg(value), 9).alias("mean"),
     )
 
 

@@ -98,7 +98,7 @@ def _macro_sql():
 
 
 QUERIES = {
-    "latency_summary": (latency_summary, "SELECT event_type, count(value) AS samples, min(value) AS min, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max, round(avg(value), 9) AS mean FROM events GROUP BY event_type"),
+    "latency_summary": (latency_summary, "SELECT event_type, count(value) AS samples, min(value) AS min, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99, max(value) AS max, round(avg(value), 9) AS mean FROM events GROUP BY event_type"),
     "bootstrap_f1": (bootstrap_f1, f"{CLUSTERS.replace('@where@', '')} SELECT {_ci(_f1(), 'f1')}, {_ci('exact / n', 'exact')} FROM draws"),
     "bootstrap_f1_delta": (bootstrap_f1_delta, f"{CLUSTERS.replace('@where@', '')} SELECT {_ci(f'{_f1(2)} - {_f1()}', 'delta')}, {_ci('(exact2 - exact) / n', 'exact_delta')}, round(avg(CASE WHEN {_f1(2)} - {_f1()} > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS p_better FROM draws"),
     "bootstrap_no_slot": (bootstrap_no_slot, f"{CLUSTERS.replace('@where@', 'WHERE empty > 0')} SELECT {_ci('(fail - fail2) / nullif(empty, 0)', 'reduction')} FROM draws"),
