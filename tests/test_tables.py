@@ -76,8 +76,8 @@ def test_tree(spark):
 
 
 def test_datasets(spark):
-    df = spark.createDataFrame([("！你好吗呀", [], "0" * 64), ("?!", [], "0" * 64), ("x", [("date", "x")], "f" * 64)], "utt string, slots array<struct<type:string,value:string>>, h string")
-    assert [r[0] for r in df.select(datasets.fallback_rejected(F.col("slots"), F.col("utt"), F.col("h"))).collect()] == ['{"slots":[{"type":"date","value":"你好吗"}]}', None, '{"slots":[]}']
+    df = spark.createDataFrame([("¿que tal", [], "0" * 64), ("?!", [], "0" * 64), ("x", [("date", "x")], "f" * 64)], "utt string, slots array<struct<type:string,value:string>>, h string")
+    assert [r[0] for r in df.select(datasets.fallback_rejected(F.col("slots"), F.col("utt"), F.col("h"))).collect()] == ['{"slots":[{"type":"date","value":"que"}]}', None, '{"slots":[]}']
     c = spark.createDataFrame([("g", "short", [-0.4]), ("g", "long", [-0.3, -0.3])], "g string, label string, lp array<double>")
     got = {r.label: (r.rank_sum, r.rank_mean) for r in datasets.rank_candidates(c, "g", "label", "lp").collect()}
     assert got == {"short": (1, 2), "long": (2, 1)}
