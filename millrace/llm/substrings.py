@@ -249,7 +249,8 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_DIGESTS:
         texts = texts.join(F.broadcast(ids), "digest", "left_semi")
     texts = texts.mapInPandas(once, "digest binary, text string")
-    return texts.join(wanted, "digest")
+    # copies that other tasks have read: gone behind the join, where equal digests lie together
+    return texts.join(wanted, "digest").dropDuplicates(["digest"])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, batches: int = 2) -> DataFrame:

@@ -209,7 +209,12 @@ def test_substrings(spark, tmp_path, batches):
             x[draw.randrange(len(x))] = "#%d" % draw.randint(0, 9)
         rows.append((i, "".join(x) + "".join(draw.choice("xyz ") for _ in range(draw.randint(0, 200)))))
     rows += [(100, None), (101, ""), (102, "a" * 199), (103, "a" * 200), (104, "a" * 201), (None, base), (None, base), (106, "For " * 300), (107, "For " * 60)]
-    docs, changed = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)), batches=batches)
+    # copies in different tasks: base stands in two of them
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(6)
+    near = spark.createDataFrame([(200 + i, rows[5][1]) for i in range(3)], "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(3)
+    rows += [(200 + i, rows[5][1]) for i in range(3)]
+    docs, changed = substrings.remove_repeats(df.unionByName(near), batches=batches)
+    assert changed.count() == changed.select("digest").distinct().count()
     kept = {bytes(r.digest): bytes(r.kept) for r in changed.collect()}
     got = []
     for r in docs.collect():
