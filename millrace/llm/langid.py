@@ -13,7 +13,7 @@ Calibration and rejection: a fifth of the sample is kept from training. On it a
 fitted, so that the score is a probability. A document is rejected if it has no letter, if
 its share of pairs of bytes that occur in the sample is below what all but one in a thousand of the kept
 texts reach (0.9 at most: another script or an encoding gone wrong), or if its score is below
-what they reach (at most 1.2 times that of a blind guess).
+what they reach (at most 1.05 times that of a blind guess).
 
 Defined cases: null text and text without a letter give ``und`` with score 0 and are rejected;
 null languages are not learned; with no labelled text every document is ``und``; ties go to
@@ -138,7 +138,7 @@ def train(counts: np.ndarray, pairs: list[np.ndarray], labels: list[str], epochs
     losses = {t: -np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
     model.temperature = float(min(losses, key=losses.get))
     best = _softmax(logits / model.temperature).max(1)
-    model.least_score = float(min(1.2 / len(languages), np.quantile(best, 0.001)))
+    model.least_score = float(min(1.05 / len(languages), np.quantile(best, 0.001)))
     model.least_known = float(min(0.9, np.quantile([known[pairs[i]].mean() for i in held], 0.001)))
     return model
 
