@@ -18,8 +18,11 @@ becomes a level, and levels of equal size are merged, so n batches make log n le
 
 What a hit means. Equal (key, ctx) with two owners: all strings of ``least`` bytes around the
 word repeat. Equal key and different ctx: how far the match reaches is decided on the bytes.
-The surroundings of those anchors alone are cut out of their documents and meet by key; every
-string of ``least`` bytes in them is compared. Of equal surroundings one stands for all.
+A string of ``least`` bytes around the word holds the ``least / 2`` bytes from the word's start on, or the
+``least / 2`` bytes before it and the word. So undecided anchors meet by the hash of either, which splits
+the places of a frequent word by what stands around it, and those that nobody shares a side with are
+done. The surroundings of the rest are cut out of their documents, and every string of ``least`` bytes in
+them is compared. Of equal surroundings one stands for all.
 
 Equal texts are one text throughout: they are known by their digest, they are removed
 entirely if they have ``least`` bytes, and one of them is the partner of others.
@@ -81,11 +84,19 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values if m == width else pick(values[: len(values) - (width - m)], values[width - m :])
 
 
-def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, position, key, ctx) of every anchor of every text."""
+def _stretch(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, out: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from low to high, most bytes at most, from the hashes of their words."""
+    for j in range(-(-most // WORD)):
+        out = _mix(out, hashes[np.minimum(low + j * WORD, high - WORD)])
+    return out
+
+
+def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(number of the text, position, key, ctx, right, left) of every anchor of every text; a side that the text is too short
+    for is 0."""
     use = [i for i, x in enumerate(texts) if len(x) >= least]
     if not use:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 6
     sizes = np.array([len(texts[i]) for i in use])
     data = np.frombuffer(b"".join(texts[i] for i in use), np.uint8)
     ends = np.cumsum(sizes)
@@ -101,11 +112,13 @@ def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndar
     high = _slide(np.concatenate([edge, low, edge]), width, np.maximum)[: len(order)]
     p = np.flatnonzero(high == order)
     left, right = np.maximum(p - (width - 1), first[p]), np.minimum(p + least, last[p])
-    ctx = _mix((p - left).astype(np.uint64), (right - p).astype(np.uint64))
-    for j in range(-(-(width - 1 + least) // WORD)):
-        ctx = _mix(ctx, hashes[np.minimum(left + j * WORD, right - WORD)])
+    ctx = _stretch(hashes, left, right, width - 1 + least, _mix((p - left).astype(np.uint64), (right - p).astype(np.uint64)))
+    half = least // 2
+    behind, before = np.minimum(p + half, last[p]), np.maximum(p - half, first[p])
+    side_r = np.where(behind - p == half, _stretch(hashes, p, behind, half, np.full(len(p), 1, np.uint64)), np.uint64(0))
+    side_l = np.where(p - before == half, _stretch(hashes, before, p + WORD, half + WORD, np.full(len(p), 2, np.uint64)), np.uint64(0))
     number = np.repeat(np.arange(len(use)), sizes)[p]
-    return np.array(use)[number], p - first[p], hashes[p].view(np.int64), ctx.view(np.int64)
+    return np.array(use)[number], p - first[p], *(x.view(np.int64) for x in (hashes[p], ctx, side_r, side_l))
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -130,10 +143,10 @@ def _anchor_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
 
 
 def _frame(texts: list[bytes], digests: list[bytes], least: int) -> pd.DataFrame:
-    number, at, key, ctx = anchors(texts, least)
+    number, at, key, ctx, right, left = anchors(texts, least)
     names = np.empty(len(digests), object)
     names[:] = digests
-    return pd.DataFrame({"digest": names[number], "at": at.astype(np.int32), "key": key, "ctx": ctx})
+    return pd.DataFrame({"digest": names[number], "at": at.astype(np.int32), "key": key, "ctx": ctx, "right": right, "left": left})
 
 
 def _owner() -> F.Column:
@@ -176,54 +189,68 @@ class SuffixFamily:
         self.levels = []
 
 
+def _no_spans() -> pd.DataFrame:
+    return pd.DataFrame({"digest": pd.Series(dtype=object), "low": pd.Series(dtype="int32"), "high": pd.Series(dtype="int32")})
+
+
 def _compare(frame: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Spans of undecided anchors, from the bytes around all anchors with their keys."""
-    reach = least - WORD
+    """Spans of undecided anchors, from the bytes around all anchors that share a side with them.
+
+    ``before`` bytes stand ahead of the anchor. A group by the right side looks at the strings that begin at most least / 2 bytes ahead
+    of the anchor, one by the left side at those that begin earlier."""
+    half = least // 2
+    out = [_compare_side(own, least, *reach) for own, reach in ((frame[frame["side"] == 0], (half, half + 1)), (frame[frame["side"] == 1], (least - WORD, least - WORD - half)))]
+    return pd.concat(out)
+
+
+def _compare_side(frame: pd.DataFrame, least: int, reach: int, wide: int) -> pd.DataFrame:
+    """reach: the earliest start ahead of an anchor; wide: how many starts."""
     n = len(frame)
+    if n < 2:
+        return _no_spans()
     hashes, owners, rows, offsets = [], [], [], []
     digest64 = np.frombuffer(b"".join(x[:8] for x in frame["digest"]), "<u8")
-    at, left = frame["at"].to_numpy(), frame["left"].to_numpy()
-    keys = frame["key"].to_numpy().view(np.uint64)
+    at, before = frame["at"].to_numpy(), frame["before"].to_numpy()
+    keys = frame["grp"].to_numpy().view(np.uint64)
     for some in range(0, n, 2048):
         part = frame["around"].iloc[some : some + 2048]
-        data = np.zeros((len(part), reach + least), np.uint8)
-        length = np.empty(len(part), np.int64)
+        data = np.zeros((len(part), wide - 1 + least), np.uint8)
+        begin = reach - before[some : some + len(part)]
+        stop = np.empty(len(part), np.int64)
         for i, raw in enumerate(part):
-            begin = reach - left[some + i]
-            data[i, begin : begin + len(raw)] = np.frombuffer(raw, np.uint8)
-            length[i] = len(raw)
+            low = max(0, int(begin[i]))
+            own = raw[low - int(begin[i]) :][: data.shape[1] - low]
+            data[i, low : low + len(own)] = np.frombuffer(own, np.uint8)
+            stop[i] = low + len(own)
         known = _words(data, 128)
-        wide, rest, place, whole = reach + 1, least, 0, None
+        rest, place, whole = least, 0, None
         while rest >= 8:  # least as a sum of powers of two, then eight bytes that overlap
             m = min(128, 1 << (rest.bit_length() - 1))
-            part_hash = known[m][:, place : place + wide]
-            whole = part_hash if whole is None else _mix(whole, part_hash)
+            piece = known[m][:, place : place + wide]
+            whole = piece if whole is None else _mix(whole, piece)
             place, rest = place + m, rest - m
         if rest:
             whole = _mix(whole, known[8][:, least - 8 : least - 8 + wide])
-        begin = (reach - left[some : some + len(part)])[:, None]
         start = np.arange(wide)[None, :]
-        valid = (start >= begin) & (start + least <= begin + length[:, None])
-        i, j = np.nonzero(valid)
+        i, j = np.nonzero((start >= begin[:, None]) & (start + least <= stop[:, None]))
         hashes.append(_mix(whole[i, j], keys[some + i]))
-        absolute = (at[some + i] - reach + j).astype(np.uint64)
-        owners.append(_mix(digest64[some + i], absolute))
+        owners.append(_mix(digest64[some + i], (at[some + i] - reach + j).astype(np.uint64)))
         rows.append((some + i).astype(np.int32))
         offsets.append((j - reach).astype(np.int32))
     h, o, r, d = map(np.concatenate, (hashes, owners, rows, offsets))
+    if not len(h):
+        return _no_spans()
     order = np.argsort(h, kind="stable")
     h, o, r, d = h[order], o[order], r[order], d[order]
-    if not len(h):
-        return pd.DataFrame({"digest": pd.Series(dtype=object), "low": pd.Series(dtype="int32"), "high": pd.Series(dtype="int32")})
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     twice = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
     hit = np.repeat(twice, np.diff([*first, len(h)])) & ~frame["decided"].to_numpy()[r]
     r, d = r[hit], d[hit]
+    if not len(r):
+        return _no_spans()
     # neighbouring starts of one anchor make one span
     order = np.lexsort((d, r))
     r, d = r[order], d[order]
-    if not len(r):
-        return pd.DataFrame({"digest": pd.Series(dtype=object), "low": pd.Series(dtype="int32"), "high": pd.Series(dtype="int32")})
     new = np.concatenate([[True], (r[1:] != r[:-1]) | (d[1:] != d[:-1] + 1)])
     begin = np.flatnonzero(new)
     end = np.concatenate([begin[1:], [len(r)]]) - 1
@@ -258,7 +285,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, batche
 
     Texts that occur more than once aren't told apart here (see ``remove_repeats``).
     """
-    suffixes = scratch.put(docs.select("text").mapInPandas(lambda b: _anchor_rows(b, least), "digest binary, at int, key long, ctx long"))
+    kinds = "digest binary, at int, key long, ctx long, right long, left long"
+    suffixes = scratch.put(docs.select("text").mapInPandas(lambda b: _anchor_rows(b, least), kinds))
     family, found = SuffixFamily(scratch), []
     part = F.pmod(F.xxhash64("digest"), F.lit(batches))
     for i in range(batches):
@@ -276,28 +304,33 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, batche
 
     open_keys = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("lo") == F.col("hi")).alias("open")).where("n > 1 and open").select("key")
     unsure = hits.join(open_keys, "key").select("key", "ctx", "lo", (F.col("lo") != F.col("hi")).alias("decided"))
-    places = suffixes.join(unsure, ["key", "ctx"]).where(_owner() == F.col("lo")).select("digest", "at", "key", "ctx", "decided").dropDuplicates(["key", "ctx"])
-    places = scratch.put(places.groupBy("digest").agg(F.collect_list(F.struct("at", "key", "decided")).alias("places")))
+    places = suffixes.join(unsure, ["key", "ctx"]).where(_owner() == F.col("lo")).dropDuplicates(["key", "ctx"])
+    sides = F.array(*[F.struct(F.col(c).alias("hash"), F.lit(i).alias("side")) for i, c in enumerate(("right", "left"))])
+    places = places.select("digest", "at", "key", "decided", F.explode(sides).alias("s")).where("s.hash <> 0").select("digest", "at", "decided", "s.side", F.xxhash64("key", "s.hash").alias("grp"))
+    places = scratch.put(places)
+    shared = places.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bool_and("decided").alias("all")).where("n > 1 and not all").select("grp")
+    places = places.join(shared, "grp")
+    places = scratch.put(places.groupBy("digest").agg(F.collect_list(F.struct("at", "grp", "side", "decided")).alias("places")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = least - WORD
+        reach, half, names = least - WORD, least // 2, ["grp", "digest", "at", "before", "side", "decided", "around"]
         for batch in batches:
             rows = []
             for digest, text, wanted in zip(batch["digest"], batch["text"], batch["places"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in wanted:
                     at = x["at"]
-                    low = max(0, at - reach)
-                    rows.append((x["key"], bytes(digest), at, at - low, x["decided"], raw[low : at + least]))
+                    low, high = (max(0, at - half), at + least) if x["side"] == 0 else (max(0, at - reach), at + least - half - 1)
+                    rows.append((x["grp"], bytes(digest), at, at - low, x["side"], x["decided"], raw[low:high]))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["key", "digest", "at", "left", "decided", "around"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "digest", "at", "left", "decided", "around"])
+                yield pd.DataFrame(rows, columns=names)
 
-    around = _with_bytes(docs, places).mapInPandas(cut, "key long, digest binary, at int, left int, decided boolean, around binary")
-    compare = whole_groups(lambda x: _compare(x, least), "key")
-    close = around.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "digest binary, low int, high int")
+    around = _with_bytes(docs, places).mapInPandas(cut, "grp long, digest binary, at int, before int, side int, decided boolean, around binary")
+    compare = whole_groups(lambda x: _compare(x, least), "grp")
+    close = around.repartition("grp").sortWithinPartitions("grp").mapInPandas(compare, "digest binary, low int, high int")
     return scratch.put(sure.unionByName(close).groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 
 
