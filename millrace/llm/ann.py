@@ -12,9 +12,10 @@ vector; a vector that very many have as a neighbour takes part for ``K`` of them
 smallest hash, as the method has it. Rounds end after ``ROUNDS``, or when under one in a thousand
 neighbours changed.
 
-Searching. Every query goes to every segment, in batches: it starts at ``STARTS`` vectors spread
-over the segment, keeps the ``BEAM`` nearest found, and expands the nearest that isn't expanded yet, until
-all are. The nearest of all segments, by the distance on the original vectors in double precision, are merged.
+Searching. Every query goes to every segment, in batches: it starts at vectors from which at most two links
+lead to every other of the segment (``STARTS`` spread over it, and as many more as that takes, so each part of
+a graph that falls into parts has one), keeps the ``BEAM`` nearest found, and expands the nearest that isn't expanded
+yet, until all are. The nearest of all segments, by the distance on the original vectors in double precision, are merged.
 
 Equal vectors are one node; of each such class the ``k + 1`` smallest ids are kept, as no query can
 ask for more, so copies can't crowd out other neighbours.
@@ -129,15 +130,33 @@ def build_graph(nodes: DataFrame, scratch: Scratch, k: int = K, rounds: int = RO
     return graph
 
 
-def greedy_search(queries: np.ndarray, vectors: np.ndarray, links: np.ndarray, k: int, beam: int = BEAM, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the numbers and squared distances of the k nearest found. links: neighbours by vector, -1 for none.
+def start_nodes(links: np.ndarray, starts: int = STARTS) -> np.ndarray:
+    """Numbers of vectors from which at most two links lead to every vector: ``starts`` spread evenly, then each that
+    none of those before it leads to."""
+    n = len(links)
+    first = np.unique(np.linspace(0, n - 1, min(n, max(starts, 1))).astype(int)).tolist()
+    out, reached = [], np.zeros(n + 1, bool)  # the last is a dummy
+    for at, i in enumerate([*first, *range(n)]):
+        if at >= len(first) and reached[i]:
+            continue
+        out.append(i)
+        reached[i] = True
+        near = links[i][links[i] >= 0]
+        reached[near] = True
+        reached[links[near]] = True  # -1 marks the dummy
+    return np.unique(out)
+
+
+def greedy_search(queries: np.ndarray, vectors: np.ndarray, links: np.ndarray, k: int, beam: int = BEAM, starts: int = STARTS, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the numbers and squared distances of the k nearest found. links: neighbours by vector, -1 for none;
+    first: where to start, ``start_nodes`` if not given.
 
     All queries advance together; each expands its nearest unexpanded vectors of the beam in every step.
     """
     n, q = len(vectors), len(queries)
     beam = min(max(beam, k), n)
     norm = (vectors**2).sum(1)
-    first = np.unique(np.linspace(0, n - 1, min(n, max(starts, 1))).astype(int))
+    first = start_nodes(links, starts) if first is None else first
     seen = np.zeros((q, n + 1), bool)  # the last column is a dummy
     seen[:, first] = True
     seen[:, n] = True
@@ -191,13 +210,13 @@ def _search_rows(batches: Iterator[pd.DataFrame], k: int, beam: int, starts: int
                     if len(own):
                         links[i, : len(own)] = order[np.searchsorted(node[order], np.asarray(own))]
                 exact = _matrix(whole["v"]).astype(np.float64)
-                ready = node, exact, exact.astype(np.float32), links
+                ready = node, exact, exact.astype(np.float32), links, start_nodes(links, starts)
                 held = []
-            node, exact, short, links = ready
+            node, exact, short, links, first = ready
             for some in range(0, len(rows), 256):
                 part = rows.iloc[some : some + 256]
                 q = _matrix(part["v"]).astype(np.float64)
-                at, d = greedy_search(q.astype(np.float32), short, links, min(2 * k, len(node)), beam, starts)
+                at, d = greedy_search(q.astype(np.float32), short, links, min(2 * k, len(node)), beam, first=first)
                 i, j = np.nonzero(np.isfinite(d))
                 at = at[i, j]
                 score = np.sqrt(((exact[at] - q[i]) ** 2).sum(1))

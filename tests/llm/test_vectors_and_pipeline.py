@@ -72,6 +72,31 @@ def test_neighbours(spark):
     assert [v for _, v, _ in sorted(got[0])] == list(range(1, 11))  # ties go to the smaller id
 
 
+def test_search_reaches_every_part_of_a_graph():
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((64, 64))
+    v, q = ((centre[rng.integers(64, size=n)] + 0.1 * rng.standard_normal((n, 64))).astype(np.float32) for n in (2048, 100))
+    far = (v**2).sum(1)[:, None] + (v**2).sum(1) - 2 * v @ v.T
+    np.fill_diagonal(far, np.inf)
+    links = np.argsort(far, axis=1)[:, : ann.K]  # falls into the groups
+    found, _ = ann.greedy_search(q, v, links, 10)
+    near = np.argsort((v**2).sum(1) - 2 * q @ v.T, axis=1)[:, :10]
+    assert np.mean([len({*a} & {*b}) for a, b in zip(found, near)]) >= 9.5
+    none = np.full((50, 1), -1)
+    assert ann.start_nodes(none).tolist() == list(range(50))
+
+
+def test_neighbours_in_groups(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 16))[np.arange(1200) % 60] + 0.05 * rng.standard_normal((1200, 16))
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], KIND)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 30 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = ann.brute_force(list(range(1200)), v, list(range(0, 1200, 30)))
+    assert sum(len(got.get(i, set()) & {j for j, _ in near}) for i, near in want.items()) >= 0.95 * 10 * len(want)
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.0])], KIND)
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()] == [(0, 1, 7), (0, 2, 100), (100, 1, 0), (100, 2, 7)]
