@@ -5,9 +5,11 @@ A text's letters, lower-cased, with a blank between words, are cut into all thei
 over the whole text, and a linear layer with softmax gives a probability per language. Table
 and layer are trained together by stochastic gradient descent in numpy.
 
-The fit uses a bounded, documented sample: ``sample`` texts at most, spread evenly over the
-languages, taken by a hash of the text, each counted as a whole. Texts are turned into n-gram
-counts where they are stored, so what reaches the driver is bounded by sample * BUCKETS numbers.
+The fit uses a bounded, documented sample: of each language the distinct texts with the smallest
+hashes, ``sample`` over the number of languages (or all it has, if fewer), each counted as a whole. No language
+goes without: where there are so many that fewer than ``LEAST_TEXTS`` would be left for each, each gets that many.
+Texts are turned into n-gram counts where they are stored, so what reaches the driver is bounded by
+BUCKETS numbers a text of the sample.
 
 Calibration and rejection: a fifth of the sample is kept from training. On it a temperature is
 fitted, so that the score is a probability. A document is rejected if it has no letter, if
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, table
@@ -37,9 +39,9 @@ from .common import free_name, table
 BUCKETS = 1 << 12
 DIMS = 16
 ORDERS = (1, 2, 3, 4)
-#: Labelled texts that the fit takes at most.
+#: Labelled texts that the fit takes at most, unless LEAST_TEXTS of each language are more.
 SAMPLE = 2000
-LANGUAGES = 400
+LEAST_TEXTS = 5
 UNKNOWN = "und"
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _PIECE = 1 << 18
@@ -144,14 +146,19 @@ def train(counts: np.ndarray, pairs: list[np.ndarray], labels: list[str], epochs
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> Model:
-    """Trains on labelled documents: those given with text, a letter and a language."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Trains on labelled documents: those given with text, a letter and a language. Copies count once."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(r"[\p{L}\p{M}]"))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit("draw")))
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(1 << 16, bool), 1.0, 0.0, 0.0)
-    each = sample // len(sizes)
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["count"]))])
-    drawn = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    each = max(LEAST_TEXTS, sample // len(sizes))
+    # the smallest hashes lie below a bound that well over that many of the language's texts are expected to reach
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (1.5 * each + 50) / r["count"]) * (1 << 30))) for r in sizes], "lang string, bound long")
+    place = F.pmod("h", F.lit(1 << 30))
+    smallest = Window.partitionBy("lang").orderBy(place, "h")
+    drawn = rows.select("lang", "h").join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("lang", "h").distinct()
+    drawn = drawn.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= each).drop("r")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "
                     rows.append((label, np.flatnonzero(c).astype(np.int32), c[c > 0], np.unique(byte_pairs(data)).astype(np.int32)))
             yield pd.DataFrame(rows, columns=["lang", "at", "n", "pairs"])
 
-    found = rows.where(F.coalesce(drawn, F.lit(False))).dropDuplicates().mapInPandas(count, "lang string, at array<int>, n array<float>, pairs array<int>").limit(2 * sample)
+    found = rows.join(F.broadcast(drawn), ["lang", "h"]).dropDuplicates().mapInPandas(count, "lang string, at array<int>, n array<float>, pairs array<int>")
     # arrays come as Arrow lists, not as Python objects
     got = found.toArrow().combine_chunks()
     if not got.num_rows:

@@ -114,6 +114,22 @@ def test_language(spark, docs, empty):
     assert [model.predict(t) for t in ("the and", "der die")] == [langid.fit_documents(df).predict(t) for t in ("the and", "der die")]
 
 
+def test_language_sample_counts_texts_not_copies(spark):
+    words = {"en": "the and of with this that from have", "de": "der und die nicht mit auf eine sich", "fr": "le et les pas avec sur une est"}
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choice(words[lang].split()) for _ in range(draw.randint(8, 30))), lang) for lang in words for _ in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    copies = spark.range(20_000).select(F.lit("le et les").alias("text"), F.lit("fr").alias("lang"))
+    model = langid.fit(df.unionByName(copies), sample=90)
+    assert model.languages == ["de", "en", "fr"]
+    assert sum(model.predict(t)[0] == lang for t, lang in rows) >= 0.95 * len(rows)
+
+
+def test_rare_languages_are_learned(spark):
+    df = spark.createDataFrame([(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} {x}", f"l{i:03}") for i in range(450) for x in ("eins", "zwei")], "text string, lang string")
+    assert len(langid.fit(df).languages) == 450
+
+
 def test_held_out_is_crc(spark):
     got = spark.range(50).select("id", langid.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
