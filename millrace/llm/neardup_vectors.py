@@ -17,7 +17,7 @@ on the safe side.
 
 Candidates. A table's bucket is a part of the code's bits. Two vectors with cosine 0.9 differ
 in a bit with probability arccos(0.9) / pi = 0.144, and as many tables are built as bring such a
-pair together with probability ``1 - MISS``. A pair is looked at in the first table that brings it
+pair together with probability ``1 - MISS``, averaged over how many bits of the code it differs in. A pair is looked at in the first table that brings it
 together and nowhere else, so nothing is counted twice. A bucket over ``BLOCK`` vectors is split
 into blocks, and pairs of blocks are groups of their own; a task holds two blocks at most.
 
@@ -73,11 +73,28 @@ def error_bound(factors: np.ndarray, bits: int, bound: float = BOUND) -> np.ndar
     return bound * np.sqrt((1 - factors**2) / (factors**2 * (bits - 1)))
 
 
-def plan_tables(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+def missed(bits: int, tables: int, threshold: float, width: int = CODE_BITS) -> float:
+    """Chance that a pair at the threshold meets in no table, over the number of bits in which its codes differ.
+
+    All tables take their bits from one code, so pairs that differ in many bits are missed by all of them more often."""
+    differ = math.acos(threshold) / math.pi
+    out = 0.0
+    for d in range(width + 1):
+        weight = math.exp(math.lgamma(width + 1) - math.lgamma(d + 1) - math.lgamma(width - d + 1) + d * math.log(differ) + (width - d) * math.log1p(-differ))
+        out += weight * (1 - math.comb(width - d, bits) / math.comb(width, bits)) ** tables
+    return out
+
+
+def plan_tables(n: int, threshold: float, miss: float = MISS, width: int = CODE_BITS) -> tuple[int, int]:
     """(bits of a table, tables) for n vectors."""
-    agree = 1 - math.acos(threshold) / math.pi
     bits = min(24, max(4, round(math.log2(max(n, 1) / _FILL)) if n > _FILL else 4))
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - agree**bits)))
+    few, enough = 0, 1
+    while missed(bits, enough, threshold, width) > miss:
+        few, enough = enough, 2 * enough
+    while enough - few > 1:
+        middle = (few + enough) // 2
+        few, enough = (few, middle) if missed(bits, middle, threshold, width) <= miss else (middle, enough)
+    return bits, enough
 
 
 def _table_bits(bits: int, tables: int, width: int) -> np.ndarray:
@@ -162,8 +179,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     marked = rows.select("vec_id", F.when(F.size("v") == dim, F.col("v")).alias("v"), digest.alias("digest"))
     classes = marked.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("lo"), F.first("v").alias("v"))
     classes = scratch.put(classes.select("*", F.xxhash64("digest").alias("cid")))
-    bits, tables = plan_tables(classes.count(), threshold)
     turn = rotation(dim, CODE_BITS)
+    bits, tables = plan_tables(classes.count(), threshold, width=turn.shape[1])
     picks = _table_bits(bits, tables, turn.shape[1])
     coded = scratch.put(
         classes.select("cid", "copies", "v").mapInPandas(

@@ -46,6 +46,21 @@ def test_estimate_is_unbiased_and_bounded():
     assert abs(error.mean()) < 0.005 and (np.abs(error) <= neardup_vectors.error_bound(f, turn.shape[1])).all()
 
 
+@pytest.mark.parametrize("n", [20_000, 1_000_000, 60_000_000])
+def test_tables_miss_no_more_than_promised(n):
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1)[:, None]
+    turn = neardup_vectors.rotation(64, neardup_vectors.CODE_BITS)
+    same = (x @ turn > 0) == (y @ turn > 0)
+    bits, tables = neardup_vectors.plan_tables(n, 0.9)
+    agree = same.sum(1)
+    one = np.prod([(agree - i) / (256 - i) for i in range(bits)], axis=0)
+    assert ((1 - one) ** tables).mean() <= 1.1 * neardup_vectors.MISS
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup_vectors.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
     assert [r.n_links for r in neardup_vectors.near_duplicates(spark.createDataFrame(ODD[:5], KIND)).collect()] == [0] * 5
