@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,28 +34,64 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder.
 
-    A written table cuts the lineage and survives the loss of executors. ``drop`` removes a
-    table as soon as nothing reads it any more; tables behind the returned result must stay.
+    A written table cuts the lineage and survives the loss of executors. Used as a context, all tables but those given to
+    ``keep`` are removed at its end, also if it fails; ``drop`` removes a table as soon as nothing reads it any more.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
+        self._live: dict[str, None] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for path in list(self._live):
+            self._delete(path)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
         self._n += 1
+        self._live[path] = None
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes a result: it stays after the end."""
+        out = self.put(df)
+        self._live.pop(out._scratch_path)
+        return out
+
     def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def _delete(self, path: str) -> None:
+        self._live.pop(path, None)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def split_hot(members: DataFrame, key: str, row: str, block: int, scratch: Scratch, weight: Column | None = None, broadcast: int = 100_000) -> DataFrame:
+    """Deals the members of each key to groups that one task can hold.
+
+    Adds ``grp`` and ``side``: members of a key of at most ``block`` rows (or sum of ``weight``) are one group (side 2). A larger key
+    is split by a hash of the column ``row`` into blocks; each block is a group (side 2), and so are each two blocks (sides 0
+    and 1), so any two members of a key are together in exactly one group as (2, 2) or as (0, 1). Keys over ``block`` are rare: they
+    are broadcast if there are at most ``broadcast`` of them, else joined by key.
+    """
+    size = F.sum(weight) if weight is not None else F.count(F.lit(1))
+    hot = scratch.put(members.groupBy(key).agg(size.alias("_size")).where(F.col("_size") > block).select(key, F.ceil(F.col("_size") / block).cast("int").alias("_blocks")))
+    joined = members.join(F.broadcast(hot) if hot.count() <= broadcast else hot, key, "left")
+    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
+    joined = joined.select("*", F.pmod(F.xxhash64(F.lit("block"), row), blocks).cast("int").alias("_mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
+    side = F.when(low == high, F.lit(2)).when(F.col("_mine") == high, F.lit(1)).otherwise(F.lit(0))
+    return joined.select("*", F.xxhash64(key, low, high).alias("grp"), side.cast("int").alias("side")).drop("_blocks", "_mine", "_other")
 
 
 def whole_groups(work: Callable[[pd.DataFrame], pd.DataFrame], key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
