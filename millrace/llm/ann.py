@@ -1,33 +1,37 @@
-"""Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
-
-The index is cut into segments of about ``SEGMENT`` vectors by a hash; each has a graph of its own, so
-building and searching spread over tasks and a task holds one segment at most.
-
-Building. Every vector starts with random neighbours of its segment. A round joins each
-vector's neighbours, and the vectors that have it as a neighbour, with their components (Spark
-joins on the member), brings them together by the vector in the middle, compares them
-with each other and proposes closer neighbours to each; the proposals are joined with
-the lists so far, of which the nearest ``K`` stay. A round reads and writes at most 2 K rows a
-vector; a vector that very many have as a neighbour takes part for ``K`` of them, those with the
-smallest hash, as the method has it. Rounds end after ``ROUNDS``, or when under one in a thousand
-neighbours changed.
-
-Searching. Every query goes to every segment, in batches: it starts at vectors from which at most two links
-lead to every other of the segment (``STARTS`` spread over it, and as many more as that takes, so each part of
-a graph that falls into parts has one), keeps the ``BEAM`` nearest found, and expands the nearest that isn't expanded
-yet, until all are. The nearest of all segments, by the distance on the original vectors in double precision, are merged.
+"""Approximate nearest neighbours: one neighbour graph by NN-descent, searched greedily.
+
+Building. ``TREES`` times the space is cut by planes, each halfway between two of ``PIVOTS`` vectors drawn by hash, into cells
+of about three quarters of ``SLICE`` vectors (a cell over ``SLICE`` is dealt into slices by hash); every vector starts with its nearest in its
+slices, found by comparing each slice with itself. A round of NN-descent then joins each vector's neighbours, and the vectors
+that have it as a neighbour, with their components (Spark joins on the member), brings them together by the vector
+in the middle, compares them with each other and proposes closer neighbours to each; the proposals are joined with
+the lists so far, of which the nearest ``K`` stay. The graph is one for the whole table: members meet wherever they
+lie. A round reads and writes at most 2 K rows a vector; a vector that very many have as a neighbour takes
+part for ``K`` of them, those with the smallest hash, and a member gets at most the ``PROPOSALS`` nearest of one
+meeting proposed, both as the method has it: the others come in later rounds or by other centres. Rounds end
+after ``ROUNDS``, or when under ``SETTLED`` of the neighbours changed.
+
+Searching. All queries walk the graph together, a step of every walk being one join of the vectors wanted with
+the index. A walk keeps the ``BEAM`` nearest found and in each step looks at the unseen neighbours, in both
+directions of the graph, of the ``WIDE`` nearest that it hasn't expanded; it ends when all of the beam are expanded. A
+query that is itself in the index starts at its own node, any other at the ``STARTS`` nearest of the ``PIVOTS`` vectors
+(so many at most are sent to the driver and to all tasks). So a query looks at some BEAM x 2 K vectors,
+however large the table is: ``looked`` says at how many. The distances of the nearest found are computed
+again on the original vectors in double precision.
 
 Equal vectors are one node; of each such class the ``k + 1`` smallest ids are kept, as no query can
 ask for more, so copies can't crowd out other neighbours.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components and vectors of
-another length than the most frequent one take no part, neither as queries nor as candidates; repeated rows are candidates of
-their own; ties go to the smaller id; with fewer candidates than k all are returned; rows
-with null ids are left out; extra columns (the label) are ignored.
+another length than the most frequent one take no part, neither as queries nor as candidates; rows of equal vectors
+and different ids are candidates of their own, rows that repeat an id and a vector count once; an id with
+several vectors is a query for each of them and gets the nearest of all; ties go to the smaller id; with fewer candidates than k all that the walk finds
+are returned; rows with null ids are left out; an empty table gives no rows; extra columns (the label) are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +42,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, whole_groups
 
 K = 16
-ROUNDS = 6
-SEGMENT = 2048
-BEAM = 160
-STARTS = 24
-#: Proposals that a vector gets from one group.
-_PROPOSALS = 4
+ROUNDS = 8
+SETTLED = 0.003
+TREES = 12
+#: Vectors that are compared with each other at the start, at most.
+SLICE = 4096
+BEAM = 96
+WIDE = 32
+#: Starts of a query that isn't in the index, and the vectors that they are chosen from.
+STARTS, PIVOTS = 32, 1024
+#: Proposals that a vector gets from one meeting.
+PROPOSALS = 4
 
 
 def valid(vector: F.Column) -> F.Column:
@@ -55,20 +64,49 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def _random_neighbours(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Start: neighbours from windows of the segment's rows in the order of random projections."""
+def _planes(pivots: np.ndarray, depth: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normals (trees x depth, dims) and offsets of planes halfway between two pivots each."""
+    pick = np.random.default_rng(3).integers(0, len(pivots), (trees * depth, 2))
+    normal = pivots[pick[:, 0]] - pivots[pick[:, 1]]
+    return normal, ((pivots[pick[:, 0]] + pivots[pick[:, 1]]) / 2 * normal).sum(1)
+
+
+def _cells(batches: Iterator[pd.DataFrame], normal: np.ndarray, offset: np.ndarray, depth: int, trees: int) -> Iterator[pd.DataFrame]:
+    """Each vector's cell in each tree."""
+    weight = 1 << np.arange(depth)
+    for batch in batches:
+        side = (_matrix(batch["v"]) @ normal.T > offset).reshape(len(batch), trees, depth)
+        yield pd.DataFrame({"node": batch["node"], "cells": list((side * weight).sum(2) + (np.arange(trees) << depth)), "v": batch["v"]})
+
+
+def _slice_lists(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Start: each row's nearest rows of its slice."""
     out = []
-    for seg, rows in frame.groupby("seg", sort=False):
-        v = _matrix(rows["v"])
-        rng = np.random.default_rng(int(seg) & 0xFFFF)
-        node = rows["node"].to_numpy()
-        for line in rng.standard_normal((4, v.shape[1])).astype(v.dtype):
-            order = np.argsort(v @ line, kind="stable")
-            for lag in range(1, k // 4 + 1):
-                a, b = order[:-lag], order[lag:]
-                d = ((v[a] - v[b]) ** 2).sum(1)
-                out.append(pd.DataFrame({"seg": seg, "a": np.concatenate([node[a], node[b]]), "b": np.concatenate([node[b], node[a]]), "d": np.concatenate([d, d])}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["seg", "a", "b", "d"])
+    for _, rows in frame.groupby("slice", sort=False):
+        v, node = _matrix(rows["v"]), rows["node"].to_numpy()
+        norm = (v**2).sum(1)
+        for at in range(0, len(v), 512):
+            d = norm[at : at + 512, None] + norm - 2 * v[at : at + 512] @ v.T
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            near = np.argpartition(d, min(k, len(v) - 1), axis=1)[:, :k]
+            best = np.take_along_axis(d, near, 1)
+            i, c = np.nonzero(np.isfinite(best))
+            out.append(pd.DataFrame({"a": node[at + i], "b": node[near[i, c]], "d": np.maximum(best[i, c], 0)}))
+    return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "d": pd.Series(dtype="float32")})
+
+
+def start_lists(nodes: DataFrame, count: int, pivots: np.ndarray, scratch: Scratch, k: int, slice_rows: int) -> DataFrame:
+    depth = max(0, round(math.log2(max(1, 1.3 * count / slice_rows))))
+    normal, offset = _planes(pivots, depth, TREES)
+    celled = scratch.put(nodes.select("node", "v").mapInPandas(lambda b: _cells(b, normal, offset, depth, TREES), "node long, cells array<long>, v array<float>"))
+    full = celled.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows)
+    full = full.select("cell", F.ceil(F.col("n") / slice_rows).alias("parts"))
+    member = celled.select("node", "v", F.explode("cells").alias("cell")).join(full, "cell", "left")  # cells are far fewer than vectors
+    part = F.coalesce(F.pmod(F.xxhash64("node", "cell"), F.col("parts")), F.lit(0))
+    dealt = member.select("node", "v", F.xxhash64("cell", part).alias("slice")).repartition("slice").sortWithinPartitions("slice")
+    graph = scratch.put(nearest_lists(dealt.mapInPandas(whole_groups(lambda f: _slice_lists(f, k), "slice"), "a long, b long, d float"), k))
+    scratch.drop(celled)
+    return graph
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +116,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     centre = frame["centre"].to_numpy()
     begin = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
     size = np.diff([*begin, len(frame)])
-    v, member, far, seg = _matrix(frame["v"]), frame["member"].to_numpy(), frame["far"].to_numpy(), frame["seg"].to_numpy()
+    v, member, far = _matrix(frame["v"]), frame["member"].to_numpy(), frame["far"].to_numpy()
     norm = (v.astype(np.float32) ** 2).sum(1)
     out = []
     for width in np.unique(size):  # groups of one size as one stack of matrices
@@ -91,32 +129,30 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
             d = norm[r][:, :, None] + norm[r][:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
             d[:, np.arange(width), np.arange(width)] = np.inf
             d[d >= far[r][:, :, None]] = np.inf
-            near = np.argsort(d, axis=2)[:, :, :_PROPOSALS]
+            near = np.argsort(d, axis=2)[:, :, :PROPOSALS]
             best = np.take_along_axis(d, near, 2)
             g, i, c = np.nonzero(np.isfinite(best))
             a, b = r[g, i], r[g, near[g, i, c]]
-            out.append(pd.DataFrame({"seg": seg[a], "a": member[a], "b": member[b], "d": np.maximum(best[g, i, c], 0)}))
-    out = pd.concat(out) if out else pd.DataFrame({"seg": pd.Series(dtype="int32"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "d": pd.Series(dtype="float32")})
+            out.append(pd.DataFrame({"a": member[a], "b": member[b], "d": np.maximum(best[g, i, c], 0)}))
+    out = pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "d": pd.Series(dtype="float32")})
     return out.drop_duplicates(["a", "b"])  # what several centres of this frame propose goes once
 
 
 def nearest_lists(edges: DataFrame, k: int) -> DataFrame:
-    """Of the edges (seg, a, b, d), the k nearest distinct b of each a."""
-    once = edges.groupBy("seg", "a", "b").agg(F.min("d").alias("d"))
+    """Of the edges (a, b, d), the k nearest distinct b of each a."""
+    once = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
     best = Window.partitionBy("a").orderBy("d", "b")
     return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """nodes(node long, seg int, v array<float>) -> edges(seg, a, b, d): each node's k nearest found in its segment."""
-    schema = "seg int, a long, b long, d float"
-    start = nodes.repartition("seg").sortWithinPartitions("seg").mapInPandas(whole_groups(lambda f: _random_neighbours(f, k), "seg"), schema)
-    graph = scratch.put(nearest_lists(start, k))
-    count = nodes.count()
+def build_graph(nodes: DataFrame, count: int, pivots: np.ndarray, scratch: Scratch, k: int = K, rounds: int = ROUNDS, slice_rows: int = SLICE) -> DataFrame:
+    """nodes(node long, v array<float>), count of them -> edges(a, b, d): each node's k nearest found."""
+    schema = "a long, b long, d float"
+    graph = start_lists(nodes, count, pivots, scratch, k, slice_rows)
     for _ in range(rounds):
         some = Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre"))
-        back = graph.select("seg", F.col("b").alias("centre"), F.col("a").alias("member")).withColumn("r", F.row_number().over(some)).where(F.col("r") <= k).drop("r")
-        around = graph.select("seg", F.col("a").alias("centre"), F.col("b").alias("member")).unionByName(back).distinct()
+        back = graph.select(F.col("b").alias("centre"), F.col("a").alias("member")).withColumn("r", F.row_number().over(some)).where(F.col("r") <= k).drop("r")
+        around = graph.select(F.col("a").alias("centre"), F.col("b").alias("member")).unionByName(back).distinct()
         far = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
         known = nodes.join(far, nodes["node"] == far["a"], "left").select(F.col("node").alias("member"), "v", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
         groups = around.join(known, "member").repartition("centre").sortWithinPartitions("centre")
@@ -125,138 +161,108 @@ def build_graph(nodes: DataFrame, scratch: Scratch, k: int = K, rounds: int = RO
         new = after.join(graph.select("a", "b"), ["a", "b"], "left_anti").count()
         scratch.drop(graph)
         graph = after
-        if new < 0.001 * k * count:
+        if new < SETTLED * k * count:
             break
     return graph
 
 
-def start_nodes(links: np.ndarray, starts: int = STARTS) -> np.ndarray:
-    """Numbers of vectors from which at most two links lead to every vector: ``starts`` spread evenly, then each that
-    none of those before it leads to."""
-    n = len(links)
-    first = np.unique(np.linspace(0, n - 1, min(n, max(starts, 1))).astype(int)).tolist()
-    out, reached = [], np.zeros(n + 1, bool)  # the last is a dummy
-    for at, i in enumerate([*first, *range(n)]):
-        if at >= len(first) and reached[i]:
-            continue
-        out.append(i)
-        reached[i] = True
-        near = links[i][links[i] >= 0]
-        reached[near] = True
-        reached[links[near]] = True  # -1 marks the dummy
-    return np.unique(out)
+def both_ways(graph: DataFrame, k: int) -> DataFrame:
+    """(node, links): the neighbours of each node, and at most k of those that have it as one, the nearest."""
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+    best = Window.partitionBy("a").orderBy("d", "b")
+    back = back.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return graph.unionByName(back).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("links"))
+
+
+def _squared(x: F.Column, y: F.Column) -> F.Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
 
 
-def greedy_search(queries: np.ndarray, vectors: np.ndarray, links: np.ndarray, k: int, beam: int = BEAM, starts: int = STARTS, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the numbers and squared distances of the k nearest found. links: neighbours by vector, -1 for none;
-    first: where to start, ``start_nodes`` if not given.
+_FOUND = "array<struct<d:double,node:bigint,links:array<bigint>>>"
 
-    All queries advance together; each expands its nearest unexpanded vectors of the beam in every step.
+
+def walk(index: DataFrame, starts: DataFrame, scratch: Scratch, beam: int, wide: int = WIDE, most: int = 256) -> DataFrame:
+    """Greedy search of all queries at once.
+
+    index(node, v array<float>, links); starts(query, q array<float>, wanted array<long>) -> (query, found: the beam, nearest
+    first, looked: how many vectors were compared). A step joins the wanted nodes with the index, merges them into
+    the beams, and asks for the unseen neighbours of what is to be expanded.
     """
-    n, q = len(vectors), len(queries)
-    beam = min(max(beam, k), n)
-    norm = (vectors**2).sum(1)
-    first = start_nodes(links, starts) if first is None else first
-    seen = np.zeros((q, n + 1), bool)  # the last column is a dummy
-    seen[:, first] = True
-    seen[:, n] = True
-    ids = np.full((q, beam), n)
-    dist = np.full((q, beam), np.inf, np.float32)
-    done = np.ones((q, beam), bool)
-    at, d = np.tile(first, (q, 1)), norm[first] - 2 * queries @ vectors[first].T
-    while True:
-        ids, dist, done = np.hstack([ids, at]), np.hstack([dist, d.astype(np.float32)]), np.hstack([done, ~np.isfinite(d)])
-        order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-        ids, dist, done = (np.take_along_axis(x, order, 1) for x in (ids, dist, done))
-        wide = 4
-        pick = np.argsort(done, axis=1, kind="stable")[:, :wide]  # the nearest that aren't expanded
-        live = ~np.take_along_axis(done, pick, 1)
-        if not live.any():
-            return ids[:, :k], dist[:, :k] + (queries**2).sum(1)[:, None]
-        np.put_along_axis(done, pick, True, 1)
-        here = np.where(live, np.take_along_axis(ids, pick, 1), n)
-        at = np.where((here < n)[:, :, None], links[np.minimum(here, n - 1)], n).reshape(q, -1)
-        at = np.where(at < 0, n, at)
-        rows = np.arange(q)[:, None]
-        fresh = ~seen[rows, at]
-        at = np.sort(np.where(fresh, at, n), axis=1)
-        at[:, 1:][at[:, 1:] == at[:, :-1]] = n  # met twice in one step
-        keep = max(1, int((at < n).sum(1).max()))
-        at = np.sort(at, axis=1)[:, :keep]
-        seen[rows, at] = True
-        safe = np.minimum(at, n - 1)
-        d = norm[safe] - 2 * np.einsum("qd,qcd->qc", queries, vectors[safe])
-        d[at >= n] = np.inf
-
-
-def _search_rows(batches: Iterator[pd.DataFrame], k: int, beam: int, starts: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by segment and kind: a segment's vectors with their links (kind 0), then its queries (kind 1), which stream."""
-    seg, held, ready = None, [], None
-    for batch in batches:
-        for (number, kind), rows in batch.groupby(["seg", "kind"], sort=True):
-            if number != seg:
-                seg, held, ready = number, [], None
-            if kind == 0:
-                held.append(rows)
-                continue
-            if ready is None:
-                if not held:
-                    continue
-                whole = pd.concat(held)
-                node = whole["node"].to_numpy()
-                order = np.argsort(node)
-                links = np.full((len(node), max([1, *map(len, whole["links"])])), -1)
-                for i, own in enumerate(whole["links"]):
-                    if len(own):
-                        links[i, : len(own)] = order[np.searchsorted(node[order], np.asarray(own))]
-                exact = _matrix(whole["v"]).astype(np.float64)
-                ready = node, exact, exact.astype(np.float32), links, start_nodes(links, starts)
-                held = []
-            node, exact, short, links, first = ready
-            for some in range(0, len(rows), 256):
-                part = rows.iloc[some : some + 256]
-                q = _matrix(part["v"]).astype(np.float64)
-                at, d = greedy_search(q.astype(np.float32), short, links, min(2 * k, len(node)), beam, first=first)
-                i, j = np.nonzero(np.isfinite(d))
-                at = at[i, j]
-                score = np.sqrt(((exact[at] - q[i]) ** 2).sum(1))
-                yield pd.DataFrame({"query": part["node"].to_numpy()[i], "node": node[at], "score": score})
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", segment: int = SEGMENT, beam: int = BEAM) -> DataFrame:
+    first = state = scratch.put(starts.select("query", "q", "wanted", F.expr(f"cast(array() as {_FOUND})").alias("found"), F.expr("cast(array() as array<bigint>)").alias("spent"), F.col("wanted").alias("seen")))
+    done: list[DataFrame] = []
+    for _ in range(most):
+        asked = state.select("query", "q", F.explode("wanted").alias("node"))
+        near = asked.join(index, "node").select("query", F.struct(_squared(F.col("q"), F.col("v")).alias("d"), "node", "links").alias("f"))
+        near = near.groupBy("query").agg(F.collect_list("f").alias("new"))
+        merged = state.join(near, "query", "left").select("query", "q", "spent", "seen", F.slice(F.array_sort(F.concat("found", F.coalesce("new", F.expr(f"cast(array() as {_FOUND})")))), 1, beam).alias("found"))
+        open_ = F.slice(F.filter("found", lambda f: ~F.array_contains("spent", f["node"])), 1, wide)
+        merged = merged.select("*", open_.alias("open"))
+        merged = merged.select("query", "q", "found", F.concat("spent", F.col("open.node")).alias("spent"), "seen", F.array_except(F.flatten("open.links"), F.col("seen")).alias("wanted"), F.size("open").alias("left"))
+        # what is spent and has left the beam can't come back: it is seen
+        merged = merged.select("query", "q", "wanted", "found", F.array_intersect("spent", F.col("found.node")).alias("spent"), F.concat("seen", "wanted").alias("seen"), "left")
+        done.append(scratch.put(merged))
+        state = done[-1].where("left > 0").drop("left")
+        if not state.take(1):
+            break
+    else:
+        raise RuntimeError(f"the search did not end in {most} steps")
+    out = done[0].where("left = 0")
+    for more in done[1:]:
+        out = out.unionByName(more.where("left = 0"))
+    out = scratch.put(out.select("query", "found", F.size("seen").cast("long").alias("looked")))
+    scratch.drop(first, *done)
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM, slice_rows: int = SLICE) -> DataFrame:
     """The k nearest rows of ``vectors`` found for each row of ``queries`` (query id and vector under the same
-    names), itself left out: query_id, rank, vec_id, score."""
+    names), itself left out: query_id, rank, vec_id, score, looked."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     clean = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
     rows = clean(vectors)
     dim = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
     if not dim:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, looked long")
     dim = dim[0]["dim"]
     digest = F.unhex(F.md5(F.array_join(F.col("v"), ",").cast("binary")))
-    rows = rows.where(F.size("v") == dim).select("id", "v", digest.alias("digest"))
+    own = lambda df: df.where(F.size("v") == dim).select("id", "v", digest.alias("digest"))
+    rows, asked = own(rows), own(clean(queries))
     # classes of equal vectors: a node each, with the ids that a query can ask for
     node = F.xxhash64("digest").alias("node")
     smallest = Window.partitionBy("digest").orderBy("id")
-    ids = rows.select("digest", "id").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
+    ids = rows.select("digest", "id").distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
     ids = scratch.put(ids.groupBy(node).agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    nodes = rows.groupBy("digest").agg(F.first("v").alias("v"))
-    segments = max(1, -(-ids.count() // segment))
-    nodes = scratch.put(nodes.select(node, F.pmod(F.xxhash64("digest", F.lit("segment")), F.lit(segments)).cast("int").alias("seg"), "v"))
-    graph = build_graph(nodes.select("node", "seg", F.col("v").cast("array<float>").alias("v")), scratch)
-    lists = graph.groupBy("a").agg(F.collect_list("b").alias("links"))
-    index = nodes.join(lists, nodes["node"] == lists["a"], "left").select("seg", F.lit(0).alias("kind"), "node", "v", F.coalesce("links", F.expr("cast(array() as array<bigint>)")).alias("links"))
-    asked = clean(queries).where(F.size("v") == dim)
-    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("seg"), F.lit(1).alias("kind"), F.col("id").alias("node"), "v", F.expr("cast(array() as array<bigint>)").alias("links"))
-    both = index.unionByName(spread).repartition("seg").sortWithinPartitions("seg", "kind")
-    found = both.mapInPandas(lambda b: _search_rows(b, k, beam, STARTS), "query long, node long, score double")
-    # a query that comes twice gets its answer once
-    near = found.join(ids, "node").select("query", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query").distinct()
-    best = Window.partitionBy("query").orderBy("score", "vec_id")
+    nodes = scratch.put(rows.groupBy("digest").agg(F.first("v").alias("v")).select(node, "v"))
+    count = nodes.count()
+    short = nodes.select("node", F.col("v").cast("array<float>").alias("v"))
+    drawn = short.select(F.xxhash64("node", F.lit("pivot")).alias("h"), "node", "v").orderBy("h", "node").limit(PIVOTS).select("node", "v")
+    pivots = drawn.collect()
+    graph = build_graph(short, count, np.array([p["v"] for p in pivots], np.float32), scratch, slice_rows=slice_rows)
+    links = both_ways(graph, K)
+    none = F.expr("cast(array() as array<bigint>)")
+    index = scratch.put(short.join(links, "node", "left").select("node", "v", F.coalesce("links", none).alias("links")))
+    scratch.drop(graph)
+    # queries of equal vectors walk once
+    classes = scratch.put(asked.groupBy("digest").agg(F.first("v").alias("q")).select(F.xxhash64("digest").alias("query"), "q"))
+    member = scratch.put(asked.select(F.xxhash64("digest").alias("query"), F.col("id").alias("query_id")).distinct())
+    inside = classes.join(nodes.select(F.col("node").alias("query"), F.lit(True).alias("inside")), "query", "left")
+    sent = spark.createDataFrame(pivots, drawn.schema).agg(F.collect_list(F.struct("node", "v")).alias("pivots"))
+    to_pivots = F.transform("pivots", lambda p: F.struct(_squared(F.col("q").cast("array<float>"), p["v"]).alias("d"), p["node"].alias("node")))
+    nearest = F.transform(F.slice(F.array_sort(to_pivots), 1, STARTS), lambda x: x["node"])
+    home = inside.where("inside").select("query", F.col("q").cast("array<float>").alias("q"), F.array("query").alias("wanted"))
+    guests = inside.where("inside is null").crossJoin(F.broadcast(sent)).select("query", F.col("q").cast("array<float>").alias("q"), nearest.alias("wanted"))
+    reached = walk(index, home.unionByName(guests), scratch, max(beam, 2 * k))
+    # every distance again, on the original vectors
+    found = reached.select("query", "looked", F.posexplode(F.transform(F.slice("found", 1, 2 * k), lambda f: f["node"])).alias("_", "node"))
+    exact = found.join(nodes, "node").join(classes, "query").select("query", "looked", "node", F.sqrt(_squared(F.col("q"), F.col("v"))).alias("score"))
+    near = exact.join(ids, "node").join(member, "query").select("query_id", "score", "looked", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.max("looked").alias("looked"))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = scratch.put(ranked)
+    scratch.drop(ids, nodes, index, classes, member, reached)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "looked")
 
 
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
