@@ -7,13 +7,18 @@ one boundary agree from there on. Neighbouring chunks are stitched at the first
 chains have in the overlap; the text between two stitches is a piece that is encoded on its
 own. A boundary serves only if the character before it isn't white space (a white-space match
 looks ahead, and the end of a piece must not change it) and if the chunk's own end is far
-enough away. Where an overlap has no common boundary, the two chunks are joined into one.
+enough away.
+
+Where an overlap has no common boundary (a run of letters longer than the overlap), the chain of the chunk before it
+is carried on through the next chunk, and further where that overlap has none either, until an overlap has one: only
+these chunks meet in one task, the pieces are cut at the carried chain's boundaries, and behind them the chunks' own chains hold again.
+If the carried chain should miss what the chunks' own chains agree on, the text is one piece, so the ids are right in any case.
 
 A text of one chunk is its own piece and is encoded where it is read, without a shuffle.
 
 Defined cases: null text counts as empty: no ids. Rows with equal doc_id and text are one
 document while they are chunked and come back as often as they were there. Extra columns are
-ignored. Lone surrogates can't occur in Spark strings.
+ignored. Very long texts are what the chunks are for; an empty table gives no rows. Lone surrogates can't occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import Scratch, table
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 11
@@ -79,22 +84,68 @@ def safe_boundaries(text: str, pattern: str, first: int, last: int, closed: bool
     return out
 
 
-def cuts(edges: dict[int, tuple[list[int], list[int]]]) -> list[int]:
-    """Where the pieces begin, from the boundaries that each chunk has in its overlaps (with the
-    one before, with the one after). Piece k begins in chunk k; the last goes on to the end.
+def agreed(lefts: list, rights: list) -> list[int]:
+    """For each chunk, from the boundaries that it has in its overlaps with the one before and the one after: where a
+    piece begins in it, or -1 where its overlap with the one before has no common boundary.
 
-    Chunk k's chain is the true one from its own cut on, so agreement with it proves the next
-    cut. Behind an overlap without agreement nothing is proved, and no further cut is made.
-    """
+    Chunk k's chain is the true one from its own beginning of a piece on, so agreement with it proves the next one."""
     out = [0]
-    for k in range(1, len(edges)):
-        common = set(edges[k - 1][1]).intersection(edges[k][0])
+    for k in range(1, len(lefts)):
+        common = set(rights[k - 1]).intersection(lefts[k])
+        out.append(min(common) if common else -1)
+    return out
+
+
+def stretches(begins: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of the runs of chunks through which a chain must be carried on."""
+    out = []
+    for k, at in enumerate(begins):
+        if at < 0:
+            if out and out[-1][1] == k - 1:
+                out[-1] = (out[-1][0], k)
+            else:
+                out.append((k - 1, k))
+    return out
+
+
+def carried(text: str, first: int, last: int, closed: bool, left: list[int], pattern: str, chunk: int, overlap: int) -> list[int]:
+    """Where pieces begin in the chunks first + 1 .. last, and in the one after (-1: in none), from the text of the
+    stretch, which begins at chunk ``first``; left: the boundaries that the chunk after it has. [-2] if the chain misses them."""
+    base = first * chunk
+    found = [base + x for x in safe_boundaries(text, pattern, 0, len(text), closed)]
+    out = []
+    for k in range(first + 1, last + 1):
+        own = [x for x in found if k * chunk <= x < (k + 1) * chunk]
+        out.append(own[0] if own else -1)
+    if not closed:
+        common = set(found).intersection(left)
         if not common:
-            break
+            return [-2]
         out.append(min(common))
     return out
 
 
+def mended(begins: list[int], first: list[int], parts: list[list[int]]) -> list[int]:
+    """The beginnings of pieces with those of the carried chains (by first chunk of each stretch) put in."""
+    out = list(begins)
+    for k, own in zip(first, parts):
+        if -2 in own:
+            return [0] + [-1] * (len(begins) - 1)
+        out[k + 1 : k + 1 + len(own)] = own
+    return out
+
+
+def segments(begins: list[int], chunk: int) -> list[dict]:
+    """For each piece, the parts of chunks that it is made of; high is -1 at the end of the text."""
+    starts = [(k, at) for k, at in enumerate(begins) if at >= 0]
+    out = []
+    for (k, at), (after, end) in zip(starts, [*starts[1:], (len(begins), -1)]):
+        last = max(k, after - 1)
+        for i in range(k, last + 1):
+            out.append({"k": i, "piece": at, "low": max(at, i * chunk) if i == k else i * chunk, "high": end if i == last else (i + 1) * chunk})
+    return out
+
+
 def _edges(part: str, k: int, n: int, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
     base, closed = k * chunk, k == n - 1
     found = safe_boundaries(part, pattern, 0, len(part), closed)
@@ -106,7 +157,11 @@ def _edges(part: str, k: int, n: int, pattern: str, chunk: int, overlap: int) ->
 def split_pieces(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """One text's pieces on one machine: what the distributed path makes, to test it."""
     n = max(1, -(-len(text) // chunk))
-    at = cuts({k: _edges(text[k * chunk : (k + 1) * chunk + overlap], k, n, pattern, chunk, overlap) for k in range(n)})
+    lefts, rights = zip(*[_edges(text[k * chunk : (k + 1) * chunk + overlap], k, n, pattern, chunk, overlap) for k in range(n)])
+    begins = agreed(lefts, rights)
+    runs = stretches(begins)
+    parts = [carried(text[a * chunk : (b + 1) * chunk + overlap], a, b, b == n - 1, lefts[b + 1] if b < n - 1 else [], pattern, chunk, overlap) for a, b in runs]
+    at = [x for x in mended(begins, [a for a, _ in runs], parts) if x >= 0]
     return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
 
 
@@ -152,6 +207,7 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     the overlaps, a few hundred numbers a chunk, and at the end the ids themselves."""
     key = F.sha2(F.concat_ws("\n", F.col("doc_id").isNull().cast("string"), F.col("doc_id").cast("string"), "text"), 256)
     keyed = docs.select(key.alias("key"), "doc_id", "text", F.ceil(F.length("text") / chunk).cast("int").alias("n"))
+    scratch = Scratch(docs.sparkSession)
     rows = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     k = F.col("k")
     chunks = (
@@ -164,20 +220,37 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     def edges(part: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_edges(p, int(i), int(m), pattern, chunk, overlap) for p, i, m in zip(part, k, n)], columns=["left", "right"])
 
-    @F.pandas_udf("array<struct<k:int,piece:int,low:int,high:int>>")
-    def planned(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-        def one(left, right):
-            at = cuts({i: (list(a), list(b)) for i, (a, b) in enumerate(zip(left, right))})
-            out = [{"k": i, "piece": c, "low": c, "high": at[i + 1]} for i, c in enumerate(at[:-1])]
-            last = range(len(at) - 1, len(left))
-            return out + [{"k": i, "piece": at[-1], "low": max(at[-1], i * chunk), "high": (i + 1) * chunk} for i in last]
+    near = chunks.select("key", "k", edges("part", "k", "n").alias("e"))
+    known = scratch.put(near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("all")).select("key", F.col("all.e.left").alias("lefts"), F.col("all.e.right").alias("rights")))
 
-        return pd.Series([one(*x) for x in zip(lefts, rights)])
+    @F.pandas_udf("array<int>")
+    def begin(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([agreed(list(a), list(b)) for a, b in zip(lefts, rights)])
 
-    near = chunks.select("key", "k", edges("part", "k", "n").alias("e"))
-    plan = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("all"))
-    plan = plan.select("key", F.explode(planned(F.col("all.e.left"), F.col("all.e.right"))).alias("p")).select("key", "p.*")
-    part = F.substring("part", F.col("low") - k * chunk + 1, F.col("high") - F.col("low"))
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def missed(begins: pd.Series) -> pd.Series:
+        return pd.Series([[{"first": a, "last": b} for a, b in stretches(list(x))] for x in begins])
+
+    @F.pandas_udf("array<int>")
+    def carry(text: pd.Series, first: pd.Series, last: pd.Series, closed: pd.Series, left: pd.Series) -> pd.Series:
+        return pd.Series([carried(t, int(a), int(b), bool(c), list(x), pattern, chunk, overlap) for t, a, b, c, x in zip(text, first, last, closed, left)])
+
+    @F.pandas_udf("array<struct<k:int,piece:int,low:int,high:int>>")
+    def planned(begins: pd.Series, firsts: pd.Series, parts: pd.Series) -> pd.Series:
+        fixed = [mended(list(b), list(f), [list(x) for x in p]) if f is not None else list(b) for b, f, p in zip(begins, firsts, parts)]
+        return pd.Series([segments(x, chunk) for x in fixed])
+
+    # stretches without agreement: only their chunks meet
+    begins = known.select("key", "lefts", begin("lefts", "rights").alias("begins"))
+    runs = begins.select("key", "lefts", F.explode(missed("begins")).alias("s")).select("key", F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.coalesce(F.get("lefts", F.col("s.last") + 1), F.expr("cast(array() as array<int>)")).alias("left"), (F.col("s.last") + 1 == F.size("lefts")).alias("closed"))
+    within = runs.join(chunks, "key").where((k >= F.col("first")) & (k <= F.col("last")))
+    own = F.when(k < F.col("last"), F.substring("part", F.lit(1), F.lit(chunk))).otherwise(F.col("part"))
+    text = within.groupBy("key", "first", "last", "closed", "left").agg(F.sort_array(F.collect_list(F.struct("k", own.alias("part")))).alias("t"))
+    mends = text.select("key", "first", carry(F.array_join("t.part", ""), "first", "last", "closed", "left").alias("own"))
+    mends = mends.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "own"))).alias("m")).select("key", F.col("m.first").alias("firsts"), F.col("m.own").alias("owns"))
+    plan = begins.select("key", "begins").join(mends, "key", "left").select("key", F.explode(planned("begins", "firsts", "owns")).alias("p")).select("key", "p.*")
+    high = F.when(F.col("high") < 0, F.lit(1 << 30)).otherwise(F.col("high") - F.col("low"))
+    part = F.substring("part", F.col("low") - k * chunk + 1, high)
     pieces = chunks.join(plan, ["key", "k"]).select("key", "piece", "k", part.alias("part"))
     pieces = pieces.groupBy("key", "piece").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("t"))
     pieces = pieces.select("key", "piece", F.array_join("t.part", "").alias("text"))
