@@ -17,10 +17,11 @@ its share of pairs of bytes that occur in the sample is below what all but one i
 texts reach (0.9 at most: another script or an encoding gone wrong), or if its score is below
 what they reach (at most 1.05 times that of a blind guess).
 
-Defined cases: null text and text without a letter give ``und`` with score 0 and are rejected;
-null languages are not learned; with no labelled text every document is ``und``; ties go to
-the first language in order; repeated rows are predicted alike; extra columns are kept by
-``identify``.
+Defined cases: null text and text without a letter (digits, emoji, marks alone) give ``und`` with score 0 and are rejected;
+null languages are not learned; with no labelled text, or an empty table to learn from, every document is ``und``; ties go to
+the first language in order; repeated rows are predicted alike and one text counts once in the sample; very long texts count
+as a whole, piece by piece; an empty table gives no rows; extra columns are kept by ``identify``, but for those named
+lang_pred, score and rejected. The sample is drawn by hash, so the same documents in any order or partitioning give the same model.
 """
 
 from __future__ import annotations
@@ -43,14 +44,17 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE = 2000
 LEAST_TEXTS = 5
 UNKNOWN = "und"
+_LETTER = regex.compile(r"\p{L}")
+#: Marks belong to the letters before them, but don't make a word by themselves.
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _PIECE = 1 << 18
 
 
 def letters(text: str | None) -> np.ndarray | None:
     """The bytes of the whole text's words, or None if it has no letter."""
-    words = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return np.frombuffer(f" {words} ".encode("utf-8", "surrogatepass"), np.uint8) if words else None
+    if not text or not _LETTER.search(text):
+        return None
+    return np.frombuffer(f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def byte_pairs(data: np.ndarray) -> np.ndarray:
@@ -147,7 +151,7 @@ def train(counts: np.ndarray, pairs: list[np.ndarray], labels: list[str], epochs
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> Model:
     """Trains on labelled documents: those given with text, a letter and a language. Copies count once."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(r"[\p{L}\p{M}]"))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text", F.lit("draw")))
     sizes = rows.select("lang", "h").distinct().groupBy("lang").count().collect()
     if not sizes:
@@ -212,8 +216,8 @@ def fit_documents(docs: DataFrame) -> Model:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents without those that the model, trained on their labelled part, rejects."""
     model = fit_documents(docs)
-    accepted = _predictor(model)(F.col("text"))["rejected"]
-    return docs.where(~accepted)
+    rejected = _predictor(model)(F.col("text"))["rejected"]
+    return docs.where(~rejected)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
