@@ -14,7 +14,8 @@ index holds only trigrams that occur in rules, so its size doesn't depend on the
 Trigrams are taken from the text with A-Z lower-cased: for rules that heed case the query is
 then wider, never narrower.
 
-Defined cases: null and empty text have no spans; repeated rows each give their own row;
+Defined cases: null and empty text have no spans; repeated rows each give their own row; very long texts are
+scanned whole; spans that begin together come in the order of the rules; an empty table gives no rows;
 extra columns are ignored. Positions are in code points, the end exclusive.
 """
 
@@ -56,9 +57,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
-#: Spans besides the base ones.
+#: Characters of a private key's body at most, between its two marks.
+_BODY = 16_384
+#: Spans besides the base ones. A private key is its marks and all between them; where the end mark is missing, the lines of
+#: base64 behind the first mark belong to it.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\:,.-]{0,%d}?-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\n)*[A-Za-z0-9+/=]{40,})*)" % _BODY, 0, 1),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 RULES = BASE + MORE
