@@ -47,16 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, whole_groups
+from .common import Scratch, table, texts_of, whole_groups
 
 LEAST = 200
 WORD = 32
 #: Batches that the corpus comes in, entries of a shard, and places of a side that meet in one task at most.
 BATCHES = 8
 SHARD = 1 << 19
-HOT = 2048
-#: Digests broadcast at most (16 bytes each) to pick the documents whose bytes are needed.
-BROADCAST_DIGESTS = 500_000
+HOT = 1 << 14
 _BUFFER = 1 << 21
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -160,11 +158,12 @@ def _frame(texts: list[bytes], digests: list[bytes], least: int, given: dict[int
     names = np.empty(len(digests), object)
     names[:] = digests
     own = np.empty(len(words), object)
+    raw = words.tobytes()
     for i, one in enumerate((key ^ (ctx << 1)).tolist()):
         n = given.get(one, 0)
         if n < 2:
             given[one] = n + 1
-            own[i] = words[i].ljust(WORD, b"\0")
+            own[i] = raw[WORD * i : WORD * i + WORD]
     return pd.DataFrame({"digest": names[number], "at": at.astype(np.int32), "word": own, "key": key, "ctx": ctx, "right": right, "left": left})
 
 
@@ -395,33 +394,11 @@ def _counted_strings(around: DataFrame, least: int, scratch: Scratch) -> DataFra
     """Spans in the places of sides that are too frequent to meet: hashes add up where they are read."""
     strings = scratch.put(around.mapInPandas(lambda b: _string_rows(b, least), "h long, h2 long, digest binary, start int, decided boolean"))
     owner = F.xxhash64("digest", "start")
-    twice = strings.groupBy("h", "h2").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi")).where("lo <> hi").select("h", "h2")
+    # written, so that the join below may split a string that very many places hold
+    twice = scratch.put(strings.groupBy("h", "h2").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi")).where("lo <> hi").select("h", "h2"))
     return strings.where("not decided").join(twice, ["h", "h2"], "left_semi").select("digest", F.col("start").alias("low"), (F.col("start") + least).cast("int").alias("high")).distinct()
 
 
-def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, text) for the digests wanted, once for each, joined with the rest of ``wanted``."""
-
-    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            new = []
-            for x in batch["digest"]:
-                new.append(x not in seen)
-                seen.add(x)
-            yield batch[new]
-            if len(seen) > 1 << 17:
-                seen.clear()
-
-    texts = docs.select("digest", "text")
-    ids = wanted.select("digest")
-    if wanted.count() <= BROADCAST_DIGESTS:
-        texts = texts.join(F.broadcast(ids), "digest", "left_semi")
-    texts = texts.mapInPandas(once, "digest binary, text string")
-    # copies that other tasks have read: gone behind the join, where equal digests lie together
-    return texts.join(wanted, "digest").dropDuplicates(["digest"])
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, batches: int = BATCHES, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """docs(digest, text) -> (digest, spans array<struct<low, high>>): repeated bytes of each text, unions not yet formed.
 
@@ -459,7 +436,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, least: int = LEAST, batche
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    around = _with_bytes(docs, places).mapInPandas(cut, "grp long, digest binary, at int, before int, side int, decided boolean, often boolean, around binary")
+    around = texts_of(docs, places).mapInPandas(cut, "grp long, digest binary, at int, before int, side int, decided boolean, often boolean, around binary")
     around = scratch.put(around)
     compare = whole_groups(lambda x: _compare(x, least), "grp")
     close = around.where("not often").repartition("grp").sortWithinPartitions("grp").mapInPandas(compare, "digest binary, low int, high int")
@@ -502,7 +479,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, doc_id
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
     spans = repeated_spans(own, scratch, least, **sizes)
-    changed = _with_bytes(own, spans).mapInPandas(_cut_out, "digest binary, runs array<struct<low:int,high:int>>, kept binary")
+    changed = texts_of(own, spans).mapInPandas(_cut_out, "digest binary, runs array<struct<low:int,high:int>>, kept binary")
     rows = own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     return rows.join(copies, "digest"), changed
