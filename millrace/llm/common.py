@@ -182,6 +182,62 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Digests broadcast at most (16 bytes each) to pick the documents whose texts are needed.
+BROADCAST_DIGESTS = 500_000
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, text, the rest of ``wanted``) for the digests wanted, from docs(digest, text), once for each."""
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for x in batch["digest"]:
+                new.append(x not in seen)
+                seen.add(x)
+            yield batch[new]
+            if len(seen) > 1 << 17:
+                seen.clear()
+
+    texts = docs.select("digest", "text")
+    ids = wanted.select("digest")
+    if wanted.count() <= BROADCAST_DIGESTS:
+        texts = texts.join(F.broadcast(ids), "digest", "left_semi")
+    texts = texts.mapInPandas(once, "digest binary, text string")
+    # copies that other tasks have read: gone behind the join, where equal digests lie together
+    return texts.join(wanted, "digest").dropDuplicates(["digest"])
+
+
+def close_pairs(group: np.ndarray, side: np.ndarray, codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one group (which lie together) whose codes (rows of 64-bit words) differ in at most ``most`` bits.
+
+    Rows of side 2 go with each other, rows of side 0 with those of side 1."""
+    lag, at = 1, np.arange(len(group))
+    while True:
+        at = at[at + lag < len(group)]
+        at = at[group[at] == group[at + lag]]  # a row without a partner at this distance has none further on
+        if not len(at):
+            return
+        differ = sum(np.bitwise_count(codes[at, w] ^ codes[at + lag, w]).astype(np.int16) for w in range(codes.shape[1]))
+        near = at[(differ <= most) & ((side[at] != side[at + lag]) | (side[at] == 2))]
+        if len(near):
+            yield near, near + lag
+        lag += 1
+
+
+def close_stars(frame: pd.DataFrame, group: str, row: str, codes: np.ndarray, most: int) -> pd.DataFrame:
+    """The links of ``close_pairs`` in complete groups, between values of the column ``row``, as spanning stars."""
+    ids = frame[row].to_numpy()
+    pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for i, j in close_pairs(frame[group].to_numpy(), frame["side"].to_numpy(), codes, most):
+        pairs.append((ids[i], ids[j]))
+        if sum(len(x[0]) for x in pairs) > 1 << 20:
+            pairs = [star_links(None, *map(np.concatenate, zip(*pairs)))]
+    a, b = star_links(None, *map(np.concatenate, zip(*pairs)))
+    return pd.DataFrame({"a": a, "b": b})
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of the table has it."""
     taken = {c.lower() for c in df.columns}
