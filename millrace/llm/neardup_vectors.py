@@ -6,14 +6,15 @@ f = <signs / sqrt(D), rotated vector>. For a code and another unit vector y,
 
     <signs / sqrt(D), rotated y> / f
 
-estimates the inner product without bias, and its error is at most
+estimates the inner product without bias. Of y the index holds its rotated components on a scale of 16 steps, rounded with a
+dither, as four bit planes, so the estimate takes XOR and popcount of 64-bit words only; its error is at most
 
-    BOUND * sqrt((1 - f^2) / (f^2 * (D - 1)))
+    BOUND * sqrt((1 - f^2) / (f^2 * (D - 1)) + step^2 / (4 f^2))
 
 but for a chance that falls with the square of BOUND (5: under one in a million pairs). A pair
-whose upper bound is below the threshold is decided; every other one is recomputed from the
+whose upper bound is below the threshold is decided. Vectors of pairs that aren't are fetched, and these pairs are recomputed from the
 original vectors in double precision. The bound is used without the factor sqrt(1 - s^2), so it is
-on the safe side.
+on the safe side. What travels to a bucket is a vector's code and planes, 160 bytes at any dimension, and not its components.
 
 Candidates. A table's bucket is a part of the code's bits. Two vectors with cosine 0.9 differ
 in a bit with probability arccos(0.9) / pi = 0.144, and as many tables are built as bring such a
@@ -27,7 +28,7 @@ Equal vectors are collapsed first and counted, so copies make no pairs.
 
 Defined cases: null or empty vectors, zero vectors, vectors with null or non-finite components
 and vectors of another length than the most frequent one link with nothing; repeated rows are
-vectors of their own; null vec_id takes part; extra columns (the label) are ignored.
+vectors of their own; null vec_id takes part; an empty table gives no rows; extra columns (the label) are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, star_links, table, whole_groups
+from .common import Scratch, connected_components, split_hot, star_links, table, whole_groups
 
 THRESHOLD = 0.9
 CODE_BITS = 256
 BOUND = 5.0
 MISS = 1e-4
+#: Bits in which the rotated components are held.
+PLANES = 4
 BLOCK = 2048
 #: Vectors that a bucket should hold.
 _FILL = 256
@@ -69,8 +72,35 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return turned > 0, np.abs(turned).sum(1) / math.sqrt(turn.shape[1])
 
 
-def error_bound(factors: np.ndarray, bits: int, bound: float = BOUND) -> np.ndarray:
-    return bound * np.sqrt((1 - factors**2) / (factors**2 * (bits - 1)))
+def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bit planes: rows x PLANES x 64-bit words, lowest values, steps) of rotated vectors."""
+    low = turned.min(1)
+    step = (turned.max(1) - low) / ((1 << PLANES) - 1)
+    dither = np.random.default_rng(13).random(turned.shape[1])
+    level = np.floor((turned - low[:, None]) / step[:, None] + dither).clip(0, (1 << PLANES) - 1).astype(np.uint8)
+    return np.stack([words(level >> b & 1) for b in range(PLANES)], axis=1), low, step
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words; the last is filled up with zeros."""
+    short = -bits.shape[1] % 64
+    return np.packbits(np.pad(bits.astype(np.uint8), ((0, 0), (0, short))), axis=1).view(np.uint64)
+
+
+def estimate(code: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
+    """Estimated inner products of coded vectors (rows) with quantised ones (columns), by XOR and popcount."""
+    ones = np.bitwise_count(code).sum(1, dtype=np.int32)
+    # <signs, plane> = popcount(code) - popcount(code ^ plane)
+    differ = np.zeros((len(code), len(planes)), np.int32)
+    for b in range(PLANES):
+        for w in range(code.shape[1]):
+            differ += np.bitwise_count(code[:, None, w] ^ planes[None, :, b, w]).astype(np.int32) << b
+    levels = ones[:, None] * ((1 << PLANES) - 1) - differ
+    return (low * (2 * ones - bits)[:, None] + step * levels) / (math.sqrt(bits) * factor)[:, None]
+
+
+def error_bound(factors: np.ndarray, bits: int, step: np.ndarray | float = 0.0, bound: float = BOUND) -> np.ndarray:
+    return bound * np.sqrt((1 - factors**2) / (factors**2 * (bits - 1)) + step**2 / (4 * factors**2))
 
 
 def missed(bits: int, tables: int, threshold: float, width: int = CODE_BITS) -> float:
@@ -102,72 +132,102 @@ def _table_bits(bits: int, tables: int, width: int) -> np.ndarray:
     return np.array([np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)])
 
 
+_CODED = "cid long, code binary, planes binary, factor double, low double, step double, buckets array<long>"
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    raw = np.stack(column.to_numpy()).astype(np.float64)
+    raw /= np.abs(raw).max(1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1)[:, None]
+
+
 def _code_rows(batches: Iterator[pd.DataFrame], dim: int, bits: int, tables: int) -> Iterator[pd.DataFrame]:
     turn = rotation(dim, CODE_BITS)
     picks = _table_bits(bits, tables, turn.shape[1])
     weights = 1 << np.arange(bits)
     for batch in batches:
-        raw = np.stack(batch["v"].to_numpy()).astype(np.float64)
-        scaled = raw / np.abs(raw).max(1, keepdims=True)
-        unit = scaled / np.linalg.norm(scaled, axis=1)[:, None]
+        unit = _unit(batch["v"])
         signs, factors = encode(unit, turn)
+        planes, low, step = quantise(unit @ turn)
         keys = (signs[:, picks] * weights).sum(2) + (np.arange(tables) << bits)
-        yield pd.DataFrame({"cid": batch["cid"], "copies": batch["copies"], "v": batch["v"], "code": list(map(bytes, np.packbits(signs, axis=1))), "factor": factors, "buckets": list(keys)})
-
-
-def _pairs(frame: pd.DataFrame, threshold: float, turn: np.ndarray, picks: np.ndarray) -> pd.DataFrame:
-    """Counts of links and spanning stars of one or more complete groups."""
-    out = []
-    starts = np.flatnonzero(np.concatenate([[True], frame["grp"].to_numpy()[1:] != frame["grp"].to_numpy()[:-1]]))
+        yield pd.DataFrame({"cid": batch["cid"], "code": [x.tobytes() for x in words(signs)], "planes": [x.tobytes() for x in planes], "factor": factors, "low": low, "step": step, "buckets": list(keys)})
+
+
+class _Group:
+    """The members of one complete group and which of their pairs the codes leave undecided."""
+
+    def __init__(self, frame: pd.DataFrame, threshold: float, width: int, picks: np.ndarray):
+        self.side, self.tab, self.n = frame["side"].to_numpy(), int(frame["tab"].iloc[0]), len(frame)
+        self.code = np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(self.n, -1)
+        self.planes = np.frombuffer(b"".join(frame["planes"]), np.uint64).reshape(self.n, PLANES, -1)
+        self.factor, self.low, self.step = (frame[c].to_numpy() for c in ("factor", "low", "step"))
+        self.threshold, self.width = threshold, width
+        bits = np.unpackbits(self.code.view(np.uint8), axis=1)[:, :width]
+        # an earlier table may have brought a pair together
+        self.earlier = (bits[:, picks[: self.tab]] * (1 << np.arange(picks.shape[1]))).sum(2)
+
+    def open_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # side 2: one block with itself; sides 0 and 1: two blocks
+        alone = self.side[0] == 2
+        first, second = (np.arange(self.n),) * 2 if alone else (np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1))
+        wide = max(1, (1 << 19) // max(1, len(second)))
+        for some in range(0, len(first), wide):
+            rows = first[some : some + wide]
+            about = estimate(self.code[rows], self.factor[rows], self.planes[second], self.low[second], self.step[second], self.width)
+            least = self.threshold - error_bound(self.factor[rows][:, None], self.width, self.step[second][None, :]) - 1e-6
+            i, j = np.nonzero(about >= least)
+            i, j = rows[i], second[j]
+            if alone:
+                i, j = i[i < j], j[i < j]
+            if self.tab and len(i):
+                new = ~(self.earlier[i] == self.earlier[j]).any(1)
+                i, j = i[new], j[new]
+            yield i, j
+
+
+def _each(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    group = frame["grp"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for low, high in zip(starts, [*starts[1:], len(frame)]):
         if high - low > 1:
-            out.append(_group(frame.iloc[low:high], threshold, turn, picks))
-    return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-
-
-def _group(frame: pd.DataFrame, threshold: float, turn: np.ndarray, picks: np.ndarray) -> pd.DataFrame:
-    cid, copies, side = frame["cid"].to_numpy(), frame["copies"].to_numpy(), frame["side"].to_numpy()
-    vectors = np.stack(frame["v"].to_numpy()).astype(np.float64)
-    vectors /= np.abs(vectors).max(1, keepdims=True)
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    code = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1)[:, : turn.shape[1]]
-    factors = frame["factor"].to_numpy()
-    # what a code stands for, turned back and corrected: its product with a vector is the estimate
-    stand = (((2.0 * code - 1) / math.sqrt(turn.shape[1])) @ turn.T / factors[:, None]).astype(np.float32)
-    least = (threshold - error_bound(factors, turn.shape[1]) - 1e-6).astype(np.float32)
-    tab = int(frame["tab"].iloc[0])
-    # side 2: one block with itself; sides 0 and 1: two blocks
-    first, second = (np.arange(len(frame)), None) if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    earlier = (code[:, picks[:tab]] * (1 << np.arange(picks.shape[1]))).sum(2)
-    a, b = [], []
-    for some in range(0, len(first), 512):
-        rows = first[some : some + 512]
-        others = first if second is None else second
-        i, j = np.nonzero(stand[rows] @ unit[others].astype(np.float32).T >= least[rows][:, None])
-        i, j = rows[i], others[j]
-        if second is None:
-            i, j = i[i < j], j[i < j]
-        sure = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold  # exact, in double precision
-        i, j = i[sure], j[sure]
-        if tab and len(i):  # an earlier table may have brought the pair together
-            new = ~(earlier[i] == earlier[j]).any(1)
-            i, j = i[new], j[new]
-        a.append(i)
-        b.append(j)
-    a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
-    count = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
-    some = np.flatnonzero(count)
-    counts = pd.DataFrame({"a": cid[some], "b": cid[some], "n": count[some].astype(np.int64)})
-    if not len(a):
-        return counts
-    x, y = star_links(None, cid[a], cid[b])
-    return pd.concat([counts, pd.DataFrame({"a": x, "b": y, "n": np.zeros(len(x), np.int64)})])
+            yield frame.iloc[low:high]
+
+
+def _undecided(frame: pd.DataFrame, threshold: float, width: int, picks: np.ndarray) -> pd.DataFrame:
+    """The members of complete groups that have a pair which the codes leave open."""
+    out = [frame.iloc[:0]]
+    for rows in _each(frame):
+        marked = np.zeros(len(rows), bool)
+        for i, j in _Group(rows, threshold, width, picks).open_pairs():
+            marked[i] = marked[j] = True
+        out.append(rows[marked])
+    return pd.concat(out)[["grp", "cid", "side", "tab"]]
+
+
+def _exact(frame: pd.DataFrame, threshold: float, width: int, picks: np.ndarray) -> pd.DataFrame:
+    """Counts of links (a = b) and spanning stars of complete groups, from the vectors in double precision."""
+    out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})]
+    for rows in _each(frame):
+        cid, copies, unit = rows["cid"].to_numpy(), rows["copies"].to_numpy(), _unit(rows["v"])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, j in _Group(rows, threshold, width, picks).open_pairs():
+            for some in range(0, len(i), 1 << 16):
+                x, y = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
+                sure = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+                a.append(x[sure])
+                b.append(y[sure])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            count = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
+            some = np.flatnonzero(count)
+            x, y = star_links(None, cid[a], cid[b])
+            out += [pd.DataFrame({"a": cid[some], "b": cid[some], "n": count[some].astype(np.int64)}), pd.DataFrame({"a": x, "b": y, "n": np.zeros(len(x), np.int64)})]
+    return pd.concat(out)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    scratch = Scratch(spark)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.select("vec_id", F.when(valid(F.col("v")), F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))  # -0.0 is 0.0
     sizes = rows.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -177,38 +237,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     # a class of equal vectors is known by a digest; its cid stands for it in the graph
     digest = F.when(F.size("v") == dim, F.unhex(F.md5(F.array_join(F.col("v"), ",").cast("binary"))))
     marked = rows.select("vec_id", F.when(F.size("v") == dim, F.col("v")).alias("v"), digest.alias("digest"))
-    classes = marked.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("lo"), F.first("v").alias("v"))
-    classes = scratch.put(classes.select("*", F.xxhash64("digest").alias("cid")))
-    turn = rotation(dim, CODE_BITS)
-    bits, tables = plan_tables(classes.count(), threshold, width=turn.shape[1])
-    picks = _table_bits(bits, tables, turn.shape[1])
-    coded = scratch.put(
-        classes.select("cid", "copies", "v").mapInPandas(
-            lambda b: _code_rows(b, dim, bits, tables), "cid long, copies long, v array<double>, code binary, factor double, buckets array<long>"
-        )
-    )
-    fill = coded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    fill = scratch.put(fill.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    member = coded.select("cid", F.explode("buckets").alias("bucket")).join(fill, "bucket")
-    mine = F.pmod(F.xxhash64("cid", "bucket"), F.col("blocks")).cast("int")
-    member = member.select("cid", "bucket", "blocks", mine.alias("mine")).select(
-        "cid", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    member = member.select(
-        "cid", F.xxhash64("bucket", low, high).alias("grp"), F.shiftright("bucket", bits).cast("int").alias("tab"), F.when(low == high, F.lit(2)).when(F.col("mine") == high, F.lit(1)).otherwise(F.lit(0)).alias("side")
-    )
-    work = whole_groups(lambda x: _pairs(x, threshold, turn, picks), "grp")
-    found = member.join(coded.drop("buckets"), "cid").repartition("grp").sortWithinPartitions("grp").mapInPandas(work, "a long, b long, n long")
-    found = scratch.put(found)
-    counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))
-    roots = connected_components(found.where("a <> b").select("a", "b"), scratch)
-    c = classes.select("cid", "digest", "copies", "lo")
-    done = c.join(counts, c["cid"] == counts["a"], "left").join(roots, c["cid"] == roots["node"], "left")
-    done = done.select("digest", "lo", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "cid").alias("root"))
-    least = done.groupBy("root").agg(F.min("lo").alias("component_id"))
-    done = scratch.put(done.join(least, "root").select("digest", "n_links", "component_id"))
-    scratch.drop(coded, fill, found, classes)
+    with Scratch(spark) as scratch:
+        classes = marked.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("lo"), F.first("v").alias("v"))
+        classes = scratch.put(classes.select("*", F.xxhash64("digest").alias("cid")))
+        width = max(CODE_BITS, dim)
+        bits, tables = plan_tables(classes.count(), threshold, width=width)
+        picks = _table_bits(bits, tables, width)
+        coded = scratch.put(classes.select("cid", "v").mapInPandas(lambda b: _code_rows(b, dim, bits, tables), _CODED))
+        codes = coded.drop("buckets")
+        member = split_hot(coded.select("cid", F.explode("buckets").alias("bucket")), "bucket", "cid", block, scratch)
+        member = member.select("cid", "grp", "side", F.shiftright("bucket", bits).cast("int").alias("tab"))
+        near = whole_groups(lambda f: _undecided(f, threshold, width, picks), "grp")
+        left = scratch.put(member.join(codes, "cid").repartition("grp").sortWithinPartitions("grp").mapInPandas(near, "grp long, cid long, side int, tab int"))
+        exact = whole_groups(lambda f: _exact(f, threshold, width, picks), "grp")
+        fetched = left.join(codes, "cid").join(classes.select("cid", "copies", "v"), "cid")
+        found = scratch.put(fetched.repartition("grp").sortWithinPartitions("grp").mapInPandas(exact, "a long, b long, n long"))
+        counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))
+        roots = connected_components(found.where("a <> b").select("a", "b"), scratch)
+        c = classes.select("cid", "digest", "copies", "lo")
+        done = c.join(counts, c["cid"] == counts["a"], "left").join(roots, c["cid"] == roots["node"], "left")
+        done = done.select("digest", "lo", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "cid").alias("root"))
+        least = done.groupBy("root").agg(F.min("lo").alias("component_id"))
+        done = scratch.keep(done.join(least, "root").select("digest", "n_links", "component_id"))
     out = marked.select("vec_id", "digest").join(done, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
