@@ -115,7 +115,7 @@ def carried(text: str, first: int, last: int, closed: bool, left: list[int], pat
     found = [base + x for x in safe_boundaries(text, pattern, 0, len(text), closed)]
     out = []
     for k in range(first + 1, last + 1):
-        own = [x for x in found if k * chunk <= x < (k + 1) * chunk]
+        own = [x for x in found if k * chunk <= x < min((k + 1) * chunk, base + len(text))]
         out.append(own[0] if own else -1)
     if not closed:
         common = set(found).intersection(left)
@@ -135,12 +135,13 @@ def mended(begins: list[int], first: list[int], parts: list[list[int]]) -> list[
     return out
 
 
-def segments(begins: list[int], chunk: int) -> list[dict]:
-    """For each piece, the parts of chunks that it is made of; high is -1 at the end of the text."""
+def segments(begins: list[int], chunk: int, overlap: int) -> list[dict]:
+    """For each piece, the parts of chunks that it is made of; high is -1 at the end of the text. A piece that ends in the
+    overlap of a chunk with the one after is cut from the former."""
     starts = [(k, at) for k, at in enumerate(begins) if at >= 0]
     out = []
     for (k, at), (after, end) in zip(starts, [*starts[1:], (len(begins), -1)]):
-        last = max(k, after - 1)
+        last = max(k, after if end > after * chunk + overlap else after - 1)
         for i in range(k, last + 1):
             out.append({"k": i, "piece": at, "low": max(at, i * chunk) if i == k else i * chunk, "high": end if i == last else (i + 1) * chunk})
     return out
@@ -238,7 +239,7 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     @F.pandas_udf("array<struct<k:int,piece:int,low:int,high:int>>")
     def planned(begins: pd.Series, firsts: pd.Series, parts: pd.Series) -> pd.Series:
         fixed = [mended(list(b), list(f), [list(x) for x in p]) if f is not None else list(b) for b, f, p in zip(begins, firsts, parts)]
-        return pd.Series([segments(x, chunk) for x in fixed])
+        return pd.Series([segments(x, chunk, overlap) for x in fixed])
 
     # stretches without agreement: only their chunks meet
     begins = known.select("key", "lefts", begin("lefts", "rights").alias("begins"))
