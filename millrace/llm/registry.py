@@ -1,7 +1,5 @@
 """The queries of this subpackage and their SQL."""
 
-import corpus_pipeline
-
 from . import ann, bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings
 
 QUERIES = {
@@ -21,7 +19,3 @@ ORACLES = {
     "op9_chat": chat.OP9_SQL,
     "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,
 }
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

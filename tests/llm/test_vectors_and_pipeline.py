@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, langid, lines, neardup_vectors, packing, registry, secrets, simhash
+from millrace.llm import ann, langid, lines, neardup_vectors, packing, registry
 from millrace.llm.common import local_components
 
 KIND = "vec_id long, embedding array<double>"
@@ -34,18 +34,6 @@ def test_near_duplicates(spark, block):
     assert got == {i: (int(c), low[r], low[r] == i) for (i, _), c, r in zip(rows, n, root)}
 
 
-def test_estimate_is_unbiased_and_bounded():
-    rng = np.random.default_rng(4)
-    turn = neardup_vectors.rotation(64, neardup_vectors.CODE_BITS)
-    x = rng.standard_normal((2000, 64))
-    y = x + rng.standard_normal((2000, 64)) * 0.5
-    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    signs, f = neardup_vectors.encode(x, turn)
-    estimate = np.einsum("ij,ij->i", (2.0 * signs - 1) / np.sqrt(turn.shape[1]), y @ turn) / f
-    error = estimate - (x * y).sum(1)
-    assert abs(error.mean()) < 0.005 and (np.abs(error) <= neardup_vectors.error_bound(f, turn.shape[1])).all()
-
-
 @pytest.mark.parametrize("n", [20_000, 1_000_000, 60_000_000])
 def test_tables_miss_no_more_than_promised(n):
     rng = np.random.default_rng(6)
@@ -72,7 +60,7 @@ def test_neighbours(spark):
     rows = [(i, copy) for i in range(30)] + [(i, list(map(float, rng.standard_normal(64)))) for i in range(30, 600)] + ODD
     df = spark.createDataFrame(rows, KIND)
     got = {}
-    for r in ann.search(df, df.where("vec_id % 100 = 0"), segment=200).collect():
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), slice_rows=200).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     good = [(i, v) for i, v in rows if _good(v)]
     want = ann.brute_force([i for i, _ in good], np.array([v for _, v in good]), [i for i, _ in good if i % 100 == 0])
@@ -87,20 +75,6 @@ def test_neighbours(spark):
     assert [v for _, v, _ in sorted(got[0])] == list(range(1, 11))  # ties go to the smaller id
 
 
-def test_search_reaches_every_part_of_a_graph():
-    rng = np.random.default_rng(3)
-    centre = rng.standard_normal((64, 64))
-    v, q = ((centre[rng.integers(64, size=n)] + 0.1 * rng.standard_normal((n, 64))).astype(np.float32) for n in (2048, 100))
-    far = (v**2).sum(1)[:, None] + (v**2).sum(1) - 2 * v @ v.T
-    np.fill_diagonal(far, np.inf)
-    links = np.argsort(far, axis=1)[:, : ann.K]  # falls into the groups
-    found, _ = ann.greedy_search(q, v, links, 10)
-    near = np.argsort((v**2).sum(1) - 2 * q @ v.T, axis=1)[:, :10]
-    assert np.mean([len({*a} & {*b}) for a, b in zip(found, near)]) >= 9.5
-    none = np.full((50, 1), -1)
-    assert ann.start_nodes(none).tolist() == list(range(50))
-
-
 def test_neighbours_in_groups(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((60, 16))[np.arange(1200) % 60] + 0.05 * rng.standard_normal((1200, 16))
@@ -130,14 +104,71 @@ def test_sql_parity(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+def _plain_kept(rows, model):
+    from .test_queries import plain_similar
+
+    first = {}
+    for r, row in zip(plain_similar([r.text for r in rows]), rows):
+        if r not in first or row.doc_id < first[r].doc_id:
+            first[r] = row
+    return {(r.doc_id, r.text) for r in first.values()}
+
+
+def _plain_language(rows, model):
+    """What has a letter, is like a language, and holds pairs of bytes that the sample has."""
+    from .test_queries import plain_predict
+
+    out = set()
+    for r in rows:
+        lang, score = plain_predict(model, r.text)
+        if lang != "und":
+            data = langid.letters(r.text).tobytes()
+            known = np.mean([model.known[data[i] << 8 | data[i + 1]] for i in range(len(data) - 1)])
+            if score >= model.least_score and known >= model.least_known:
+                out.add((r.doc_id, r.text))
+    return out
+
+
+def _plain_redacted(rows, _):
+    import re
+
+    from .test_queries import _base_spans
+
+    out = set()
+    for r in rows:
+        text = r.text
+        holes = []
+        for a, _, kind, b in _base_spans(text):
+            if kind == "assign":
+                a = b - len(re.search(r"[A-Za-z0-9+/_.=-]+$", text[a:b])[0])
+                value = re.match(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", text[:b][_start(text, b) :], re.I | re.A)
+                a = _start(text, b) + value.end()
+            holes.append((a, b))
+        holes += [m.span() for m in re.finditer(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", text)]
+        holes += [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", text)]
+        gone = np.zeros(len(text), bool)
+        for a, b in holes:
+            gone[a:b] = True
+        out.add((r.doc_id, "".join(c for c, g in zip(text, gone) if not g)))
+    return out
+
+
+def _start(text, end):
+    import re
+
+    return max(m.start() for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if m.end() == end)
+
+
+def _plain_lines(rows, _):
+    from .test_text_operators import _plain_lines
+
+    return set(_plain_lines([(r.doc_id, r.text, r.source) for r in rows]))
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage against a plain version of its decision, on its own input."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(10**9, None, "en", "src0", 0), (10**9 + 1, "12 34", "en", "src0", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
-    plain = {
-        "language_id": lambda rows, model: {(r.doc_id, r.text) for r in rows if not model.predict(r.text)[2]},
-        "near_duplicates": lambda rows, _: {(r.doc_id, r.text) for r in rows if r.doc_id in _representatives(rows)},
-        "secret_scan": lambda rows, _: {(r.doc_id, secrets.redact_text(r.text)) for r in rows},
-    }
+    plain = {"language_id": _plain_language, "line_dedup": _plain_lines, "near_duplicates": _plain_kept, "secret_scan": _plain_redacted}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs.collect()
         model = langid.fit_documents(docs) if name == "language_id" else None
@@ -145,23 +176,22 @@ def test_pipeline_stages(spark, sf):
         stage(spark, docs, sf).write.mode("overwrite").parquet(path)
         kind, docs = docs.dtypes, spark.read.parquet(path)
         assert docs.dtypes == kind
-        if name in plain:
-            assert {(r.doc_id, r.text) for r in docs.collect()} == plain[name](before, model)
-        else:
-            assert docs.count() == len(before)
-    n = docs.count()
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert last.where("start = 0").count() == n
-    assert corpus_pipeline.run(spark, sf).where("start = 0").count() == n
-
-
-def _representatives(rows):
-    x = np.array([simhash.fingerprint(r.text) for r in rows], np.uint64)
-    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
-    low = {}
-    for r, row in zip(local_components(a, b, len(x)), rows):
-        low[r] = min(low.get(r, 1 << 60), row.doc_id)
-    return set(low.values())
+        got = {(r.doc_id, r.text.replace("[REDACTED]", "") if name == "secret_scan" else r.text) for r in docs.collect()}
+        assert got == plain[name](before, model), name
+    from .test_queries import _check_packing
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    _check_packing(packing.digest(corpus_pipeline.STAGES[-1][1](spark, docs, sf)).collect(), rows)
+    assert corpus_pipeline.run(spark, sf).where("start = 0").count() == len(rows) - 0
+
+
+def test_columns_that_clash(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    for name in ("_id", "_digest", "_stays", "_row", "_drop", "_host", "digest", "rejected", "spans", "ids"):
+        docs = docs.withColumn(name, F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 40
 
 
 def test_pipeline_on_nothing(spark, sf):
