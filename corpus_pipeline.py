@@ -26,13 +26,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each class of near-duplicates."""
+    """Keeps one document, the one with the smallest doc_id, of each class of near-duplicates: texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more, and what hangs together by such links."""
     bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; every document stays."""
+    """Replaces secrets in the texts, private keys with their bodies; every document stays."""
     bound_batches(spark)
     return _counted(secrets.redact(docs))
 
