@@ -226,11 +226,15 @@ def close_pairs(group: np.ndarray, side: np.ndarray, codes: np.ndarray, most: in
         lag += 1
 
 
-def close_stars(frame: pd.DataFrame, group: str, row: str, codes: np.ndarray, most: int) -> pd.DataFrame:
-    """The links of ``close_pairs`` in complete groups, between values of the column ``row``, as spanning stars."""
+def close_stars(frame: pd.DataFrame, group: str, row: str, codes: np.ndarray, most: int, counts: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pd.DataFrame:
+    """The links of ``close_pairs`` in complete groups, between values of the column ``row``, as spanning stars;
+    of the pairs (rows i, j) only those that ``counts``, if given."""
     ids = frame[row].to_numpy()
     pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for i, j in close_pairs(frame[group].to_numpy(), frame["side"].to_numpy(), codes, most):
+        if counts is not None:
+            own = counts(i, j)
+            i, j = i[own], j[own]
         pairs.append((ids[i], ids[j]))
         if sum(len(x[0]) for x in pairs) > 1 << 20:
             pairs = [star_links(None, *map(np.concatenate, zip(*pairs)))]

@@ -163,6 +163,20 @@ def _pieces(texts: DataFrame) -> DataFrame:
     return own.select((F.col("i").cast("long") * (1 << PIECE) + value.bitwiseAND(F.bitwise_not(place))).cast("int").alias("bucket"), "rid", "c0", "c1")
 
 
+def _near_texts(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Links of complete groups. A pair counts where it meets first, so texts that meet in many buckets aren't linked in each."""
+    codes = np.stack([frame["c0"].to_numpy(), frame["c1"].to_numpy()], 1).view(np.uint64)
+    variant = frame["variant"].to_numpy()
+
+    def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ = (codes[i] ^ codes[j]).view(np.uint16)
+        piece = (np.bitwise_count(differ) <= 1).argmax(1)
+        bit = np.maximum(np.log2(np.maximum(differ[np.arange(len(i)), piece], 1)), 0).astype(np.int64)
+        return variant[i] == PIECE * piece + bit
+
+    return close_stars(frame, "grp", "rid", codes, most, first)
+
+
 def _confirmed(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links between texts of complete groups whose sets are similar enough, as spanning stars."""
     group = frame["grp"].to_numpy()
@@ -206,9 +220,10 @@ def similar_texts(docs: DataFrame, scratch: Scratch, width: int, similarity: flo
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n").alias("n"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
     texts = scratch.put(texts.select("*", F.monotonically_increasing_id().alias("rid")))
     # families of texts whose fingerprints are near each other
-    members = split_hot(_pieces(texts), "bucket", "rid", block, scratch).drop("bucket")
+    members = split_hot(_pieces(texts), "bucket", "rid", block, scratch)
+    members = members.select("rid", "c0", "c1", "grp", "side", F.shiftright("bucket", PIECE).cast("int").alias("variant"))
     most = bits_apart(similarity)
-    near = whole_groups(lambda f: close_stars(f, "grp", "rid", np.stack([f["c0"].to_numpy(), f["c1"].to_numpy()], 1).view(np.uint64), most), "grp")
+    near = whole_groups(lambda f: _near_texts(f, most), "grp")
     roots = connected_components(members.repartition("grp").sortWithinPartitions("grp").mapInPandas(near, "a long, b long"), scratch)
     family = roots.select(F.col("node").alias("rid"), "root").unionByName(roots.select(F.col("root").alias("rid"), "root").distinct())
     family = family.join(texts.select("rid", "digest", "n"), "rid")
