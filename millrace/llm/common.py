@@ -146,6 +146,16 @@ def star_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return nodes[other], nodes[root[other]]
 
 
+def contracted(stars: DataFrame) -> DataFrame:
+    """Links with the components of stars(a, b), b the centre and smaller than a, but few for each node.
+
+    A node that many buckets have linked to their centres keeps the smallest centre; the others are linked to it in its stead, and
+    as a family has few centres, most of these links are the same. A node has as many centres as it was in groups, at most."""
+    near = stars.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("bs"))
+    first = F.get("bs", F.lit(0))
+    return near.select(F.explode(F.transform("bs", lambda b, i: F.struct(F.when(i == 0, F.col("a")).otherwise(b).alias("a"), first.alias("b")))).alias("l")).select("l.*").distinct()
+
+
 def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
     """(node, root) for the nodes of links(a, b), root the smallest node reachable; roots are left out.
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_DIGESTS, Scratch, close_stars, connected_components, free_name, split_hot, star_links, table, texts_of, whole_groups
+from .common import BROADCAST_DIGESTS, Scratch, close_stars, connected_components, contracted, free_name, split_hot, star_links, table, texts_of, whole_groups
 
 BITS = 64
 MAX_DIFFERING = 3
@@ -224,7 +224,8 @@ def similar_texts(docs: DataFrame, scratch: Scratch, width: int, similarity: flo
     members = members.select("rid", "c0", "c1", "grp", "side", F.shiftright("bucket", PIECE).cast("int").alias("variant"))
     most = bits_apart(similarity)
     near = whole_groups(lambda f: _near_texts(f, most), "grp")
-    roots = connected_components(members.repartition("grp").sortWithinPartitions("grp").mapInPandas(near, "a long, b long"), scratch)
+    stars = members.repartition("grp").sortWithinPartitions("grp").mapInPandas(near, "a long, b long")
+    roots = connected_components(contracted(stars), scratch)
     family = roots.select(F.col("node").alias("rid"), "root").unionByName(roots.select(F.col("root").alias("rid"), "root").distinct())
     family = family.join(texts.select("rid", "digest", "n"), "rid")
     family = split_hot(family, "root", "rid", FAMILY, scratch, weight=F.greatest("n", F.lit(2048)))
