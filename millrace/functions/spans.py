@@ -62,9 +62,10 @@ def parse_output(raw: object, utterance: object) -> dict:
         return result(0, "non_string_input")
     try:
         tree = json.loads(raw, object_pairs_hook=_Pairs)
-    except ValueError:
+        repeated = _repeats(tree)
+    except (ValueError, RecursionError):  # nested too deeply to be read
         return result(0, "invalid_json")
-    if _repeats(tree):
+    if repeated:
         return result(1, "duplicate_json_key")
     if not isinstance(tree, _Pairs) or [k for k, _ in tree] != ["slots"] or type(tree[0][1]) is not list:
         return result(1, "invalid_top_level_schema")

@@ -43,7 +43,7 @@ def split_leakage(df: DataFrame, key: str, split: str) -> DataFrame:
 
     One aggregation by key finds the splits of each; the pairs come out of a key's own list, never from a join.
     """
-    splits = df.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
+    splits = df.select(F.unhex(F.sha2(F.col(key).cast("string"), 256)).alias("_h"), split).groupBy("_h").agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
     pairs = splits.select(F.explode("s").alias("split_a"), "s").select("split_a", F.explode("s").alias("split_b")).where("split_a < split_b")
     return pairs.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("n_keys"))
 

@@ -77,3 +77,9 @@ def mask_audit(ids: Column, prefix: Column, labels: Column) -> dict[str, Column]
         "mask_ok": F.forall(F.slice(labels, 1, n), lambda x: x == -100),
         "completion_ok": (F.size(ids) > n) & (F.slice(labels, n + 1, F.size(ids)) == F.slice(ids, n + 1, F.size(ids))),
     }
+
+
+def token_ids(nested: Column) -> Column:
+    """One sequence of ids from an array of one sequence; several sequences, or a null id, raise."""
+    ok = (F.size(nested) == 1) & F.forall(F.get(nested, F.lit(0)), lambda x: x.isNotNull())
+    return guarded(ok, F.flatten(nested), "not one token sequence")

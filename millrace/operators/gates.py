@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checks import ConstraintError
+
 SLACK = 1e-12
 
 
@@ -63,6 +65,14 @@ def choose_checkpoint(candidates: DataFrame) -> DataFrame:
     return candidates.where(ok).orderBy(F.desc("micro_f1"), F.col("n_no_slot_failure") / F.col("n_no_slot"), "step").limit(1)
 
 
+def require_checkpoint(candidates: DataFrame) -> DataFrame:
+    """``choose_checkpoint``; raises if none is eligible."""
+    best = choose_checkpoint(candidates)
+    if not best.take(1):
+        raise ConstraintError("no eligible checkpoint")
+    return best
+
+
 def select_candidate(candidates: DataFrame) -> DataFrame:
     """The candidate with the highest macro-F1, then accuracy; the first in order wins ties."""
     return candidates.orderBy(F.desc("macro_f1"), F.desc("accuracy"), "ord").limit(1)
@@ -74,6 +84,20 @@ def system_pairs(systems: DataFrame, order: str, name: str, value: str) -> DataF
     return a.join(F.broadcast(b), F.col(f"a.{order}") < F.col(f"b.{order}")).select(F.col(f"a.{name}").alias("reference"), F.col(f"b.{name}").alias("candidate"), F.round(F.col(f"b.{value}") - F.col(f"a.{value}"), 9).alias("delta"))
 
 
+def cross_check(left: DataFrame, right: DataFrame, name: str, *values: str) -> DataFrame:
+    """(name, value, passed): whether two reports give a system the same values; a system that one lacks fails."""
+    l, r = left.select(name, *[F.col(v).alias(f"l_{v}") for v in values], F.lit(True).alias("_l")), right.select(name, *[F.col(v).alias(f"r_{v}") for v in values], F.lit(True).alias("_r"))
+    both = l.join(r, name, "full_outer")
+    same = lambda v: F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.coalesce(F.abs(F.col(f"l_{v}") - F.col(f"r_{v}")) <= SLACK, F.col(f"l_{v}").isNull() & F.col(f"r_{v}").isNull())
+    return both.select(name, F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.coalesce(same(v), F.lit(False)).alias("passed")) for v in values])).alias("c")).select(name, "c.*")
+
+
+def comparison_report(systems: DataFrame, order: str, name: str, value: str, *keys: str) -> dict[str, DataFrame]:
+    """A report of several systems from one row of metrics each: the systems, their pairs, their gates and whether their figures
+    reconcile."""
+    return {"systems": systems, "pairs": system_pairs(systems, order, name, value), "gates": gate_checks(systems, name, *keys), "checks": reconcile(systems, name)}
+
+
 def reconcile(report: DataFrame, *keys: str) -> DataFrame:
     """(keys, check, passed): whether a report's rates follow from its counts and its counts from each other."""
     near = lambda a, b: F.coalesce(F.abs(a - b) <= SLACK, a.isNull() & b.isNull())
@@ -85,6 +109,11 @@ def reconcile(report: DataFrame, *keys: str) -> DataFrame:
         "failures_within_examples": (c("n_no_slot_fp") + c("n_no_slot_invalid") <= c("n_no_slot")) & (c("n_no_slot") <= c("n")),
         "failure_rate": near(c("failure_rate"), F.try_divide(c("n_no_slot_fp") + c("n_no_slot_invalid"), c("n_no_slot"))),
         "validity_falls": (c("copy_valid_rate") <= c("schema_valid_rate")) & (c("schema_valid_rate") <= c("json_valid_rate")),
+        "positive_within_examples": c("n") >= c("n_exact"),
+        "precision": near(c("precision"), F.coalesce(F.try_divide(c("tp"), c("tp") + c("fp")), F.lit(0.0))),
+        "recall": near(c("recall"), F.coalesce(F.try_divide(c("tp"), c("tp") + c("fn")), F.lit(0.0))),
+        "exact_rate": near(c("exact_rate"), F.try_divide(c("n_exact"), c("n"))),
+        "invalid_count": near(c("copy_valid_rate"), 1 - F.try_divide(c("n_invalid"), c("n"))),
         "rates_in_range": F.forall(F.array("json_valid_rate", "schema_valid_rate", "copy_valid_rate", "failure_rate"), lambda x: ~F.isnan(x) & (x >= 0) & (x <= 1)),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])

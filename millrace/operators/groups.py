@@ -43,12 +43,21 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def members(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """(key, rows): the rows of each group in order, as an array of structs. For groups that a study bounds; see ``phrase_groups``."""
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("rows"))
+
+
 def leakage_free(df: DataFrame, prior: DataFrame, key: str, row_id: str, label: str) -> DataFrame:
-    """Groups that no prior key names: id of the representative, hash, members, and whether labels conflict."""
-    kept = without(df.where(F.col(key) != ""), prior, key)
-    return kept.groupBy(key).agg(
+    """Groups that no prior key names: id of the representative, hash, members, and whether labels conflict.
+
+    Keys are hashed as they are read, so 32 bytes a row cross the shuffle and not the text."""
+    digest = F.unhex(F.sha2(key, 256)).alias("_h")
+    used = prior.select(digest).distinct()
+    kept = df.where(F.col(key) != "").select(digest, row_id, label).join(used, "_h", "left_anti")
+    return kept.groupBy("_h").agg(
         F.min(row_id).alias("id"), F.count(F.lit(1)).alias("n_members"), (F.count_distinct(label) > 1).alias("is_conflict")
-    ).select("id", F.sha2(key, 256).alias("group_sha256"), "n_members", "is_conflict")
+    ).select("id", F.lower(F.hex("_h")).alias("group_sha256"), "n_members", "is_conflict")
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -165,7 +165,9 @@ def taxonomy(flags: DataFrame) -> DataFrame:
 
 
 def overlap_flags(df: DataFrame, key: str, priors: dict[str, DataFrame]) -> DataFrame:
-    """A boolean column for each prior set of keys."""
+    """A boolean column for each prior set of keys. Keys meet by their hash."""
+    digest = F.unhex(F.sha2(key, 256)).alias("_h")
+    df = df.select("*", digest)
     for name, prior in priors.items():
-        df = df.join(prior.select(F.col(key)).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return df
+        df = df.join(prior.select(digest).distinct().withColumn(name, F.lit(True)), "_h", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return df.drop("_h")

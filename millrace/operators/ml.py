@@ -1,15 +1,24 @@
 """Models: choice between systems, TF-IDF, linear classifiers, Viterbi decoding."""
 
+import json
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, FeatureHasher, StringIndexer
-
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import IDF, CountVectorizer, FeatureHasher, StringIndexer
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.spans import bio_tags
+
+from .checks import ConstraintError
+
 #: Fixed value.
 MEAN_LOGPROB_THRESHOLD = -0.08
 
@@ -37,27 +46,89 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
 
 
 def tfidf(df: DataFrame, key: str, text: str, low: int, high: int, min_df: int = 2) -> DataFrame:
-    """(key, term, weight): sublinear term frequency times ln((1 + n) / (1 + df)) + 1, rows of length 1."""
-    terms = df.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, weight): sublinear term frequency times ln((1 + n) / (1 + df)) + 1, rows of length 1.
+
+    Texts are dealt by key before they are cut, so terms are counted, and rows normalised, where they lie; the terms themselves
+    cross a shuffle only as document counts, added up first, and for the join with them where they are too many to be broadcast.
+    """
+    dealt = df.select(key, text).repartition(key)
+    terms = dealt.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count_distinct(key).alias("n"))
     seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     idf = seen.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
     raw = terms.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def fit_linear(train: DataFrame, grams: str, label: str, vocabulary: int = 1 << 16, min_df: int = 2) -> PipelineModel:
-    """n-gram counts into one linear machine per class. The hinge here is plain, not squared.
+class TermWeights(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts to TF-IDF: (1 + ln tf) times a term's weight, rows of length 1."""
+
+    weights = Param(Params._dummy(), "weights", "ln((1 + n) / (1 + df)) + 1 of each term", TypeConverters.toListFloat)
+    inputCol = Param(Params._dummy(), "inputCol", "counts", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "weighted", TypeConverters.toString)
+
+    def __init__(self, inputCol: str = "_n", outputCol: str = "_x", weights: list[float] | None = None):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, weights=weights or [])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        idf = np.array(self.getOrDefault(self.weights))
+
+        def weigh(v):
+            w = (1 + np.log(v.values)) * idf[v.indices]
+            return SparseVector(v.size, v.indices, w / (np.linalg.norm(w) or 1.0))
+
+        return dataset.withColumn(self.getOrDefault(self.outputCol), F.udf(weigh, VectorUDT())(self.getOrDefault(self.inputCol)))
+
 
-    The counts are made once and kept for the iterations."""
-    counted = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"), CountVectorizer(inputCol=grams, outputCol="_x", vocabSize=vocabulary, minDF=min_df)]).fit(train)
-    ready = counted.transform(train).select("_x", "_y").persist()
+def fit_linear(train: DataFrame, grams: str, label: str, vocabulary: int = 1 << 16, min_df: int = 2) -> PipelineModel:
+    """TF-IDF of n-grams into one linear machine per class. The hinge here is plain, not squared.
+    The vectors are made once and kept for the iterations."""
+    counted = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"), CountVectorizer(inputCol=grams, outputCol="_n", vocabSize=vocabulary, minDF=min_df)]).fit(train)
+    rows = counted.transform(train)
+    idf = IDF(inputCol="_n", outputCol="_i").fit(rows)
+    weigh = TermWeights(weights=[float(x) for x in np.log((1 + idf.numDocs) / (1 + np.array(idf.docFreq))) + 1])
+    ready = weigh.transform(rows).select("_x", "_y").persist()
     try:
         machines = OneVsRest(classifier=LinearSVC(featuresCol="_x", labelCol="_y", maxIter=10), featuresCol="_x", labelCol="_y").fit(ready)
     finally:
         ready.unpersist()
-    return PipelineModel([*counted.stages, machines])
+    return PipelineModel([*counted.stages, weigh, machines])
+
+
+def bio_features(df: DataFrame, utterance: str, *keep: str) -> DataFrame:
+    """A row for each character: pos, and what stands there, before and after it, and what kinds these are."""
+    chars = F.split(utterance, "")
+    rows = df.select(*keep, F.size(chars).alias("_n"), chars.alias("_c"), F.posexplode(chars).alias("pos", "char"))
+    at = lambda k: F.when((F.col("pos") + k < 0), F.lit("<s>")).when(F.col("pos") + k >= F.col("_n"), F.lit("</s>")).otherwise(F.get("_c", F.col("pos") + k))
+    kind = F.when(F.col("char").rlike(r"\p{N}"), "digit").when(F.col("char").rlike(r"\p{IsAlphabetic}"), "letter").when(F.col("char").rlike(r"\s"), "space").otherwise("other")
+    return rows.select(*keep, "pos", "char", *[at(k).alias(n) for k, n in ((-2, "b2"), (-1, "b1"), (1, "a1"), (2, "a2"))], kind.alias("kind")).withColumns({"left": F.concat("b1", "char"), "right": F.concat("char", "a1")})
+
+
+def fit_bio(train: DataFrame, utterance: str, spans: str, key: str = "id", size: int = 1 << 12) -> PipelineModel:
+    """The tagger: features of each character, tags of the spans, balanced weights, one linear machine per tag."""
+    features = bio_features(train, utterance, key, spans).join(train.select(key, F.posexplode(bio_tags(F.col(utterance), F.col(spans))).alias("pos", "tag")), [key, "pos"])
+    rows = balanced_weight(features, "tag").persist()
+    try:
+        return bio_classifier(["char", "b1", "b2", "a1", "a2", "kind", "left", "right"], "tag", size).fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def save_model(model: PipelineModel, path: str, facts: Mapping[str, object]) -> None:
+    """A model with the facts (training file, settings) that a reader has to know it by. The path must not exist."""
+    model.save(path)
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(dict(facts), sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/facts")
+
+
+def load_model(path: str, expected: Mapping[str, object]) -> PipelineModel:
+    """The model, if its facts are the expected ones; nothing of it is loaded before that."""
+    rows = SparkSession.getActiveSession().read.text(f"{path}/facts").collect()
+    if len(rows) != 1 or json.loads(rows[0]["value"]) != dict(expected):
+        raise ConstraintError(f"the model at {path} isn't the one expected")
+    return PipelineModel.load(path)
 
 
 def bio_classifier(features: list[str], label: str, size: int = 1 << 12) -> Pipeline:
@@ -70,7 +141,7 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     one = n.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     weight = n.crossJoin(F.broadcast(one)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_weight"))  # one row
-    return df.join(F.broadcast(weight), label)
+    return df.join(weight, label)  # a row for each label: broadcast by its size, if that is small
 
 
 def viterbi(scores: np.ndarray, classes: list[str]) -> list[str]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import ConstraintError
+
 
 def topk_per_bucket(df: DataFrame, bucket: Sequence[str], order: Sequence[Column | str], k: int | Column) -> DataFrame:
     """The first k rows of each bucket, with their rank ``rn`` from 1."""
@@ -89,3 +91,18 @@ def shortfall(df: DataFrame, labels: DataFrame, label: str, quota: int) -> DataF
     """Labels with fewer rows than the quota, those without rows included."""
     have = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return labels.select(label).distinct().join(have, label, "left").select(label, F.coalesce("n", F.lit(0).cast("long")).alias("n")).where(F.col("n") < quota)
+
+
+def shuffle_take(df: DataFrame, key: str, seed: str, n: int, strict: bool = False) -> DataFrame:
+    """n rows in a seeded order, with ``ord`` from 1; of rows with equal keys the last by content counts. Too few raise if strict."""
+    once = df.groupBy(key).agg(F.max(F.struct(*[c for c in df.columns if c != key])).alias("_r")).select(key, "_r.*")
+    taken = once.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)).orderBy("_h", key).limit(n)
+    out = taken.withColumn("ord", F.row_number().over(Window.orderBy("_h", key)).cast("long")).drop("_h")  # n rows
+    if strict and out.count() < n:
+        raise ConstraintError(f"fewer than {n} rows")
+    return out
+
+
+def prefix(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)

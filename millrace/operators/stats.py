@@ -18,6 +18,13 @@ def order_statistic(df: DataFrame, group: Sequence[str], value: str, index: Call
     return run.where((F.col("_to") > at) & (F.col("_to") - F.col("_n") <= at)).select(*group, F.col(value).alias(name))
 
 
+def throughput(df: DataFrame, status: str, wall_seconds: float) -> DataFrame:
+    """(status, n, share, per_second) of a load test's requests; per_second is of all requests and the same in each row."""
+    n = df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    all_ = F.sum("n").over(Window.partitionBy())  # a row for each status
+    return n.select(status, "n", (F.col("n") / all_).alias("share"), F.bround(all_ / F.lit(float(wall_seconds)), 2).alias("per_second"))
+
+
 def latency_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Samples, smallest, median, 95th and 99th percentile (linear interpolation), largest, mean."""
     return df.groupBy(*group).agg(
@@ -46,10 +53,10 @@ def cluster_draws(clusters: DataFrame, sums: Sequence[str], draws: int, seed: st
 
     All sums of a draw come from the same clusters, so systems side by side are paired."""
     numbered = dense_index(clusters.select(key, *sums), key)
-    n = clusters.count()
-    picks = clusters.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    n = clusters.agg(F.count(F.lit(1)).alias("_n"))  # one row; the clusters' own exchange is used again
+    slots = numbered.select(F.col("idx").alias("slot")).crossJoin(F.broadcast(n)).select("slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "slot")), 1, 8), 16, 10).cast("bigint")
-    picks = picks.select("draw", (hashed % max(n, 1)).alias("idx"))
+    picks = slots.select("draw", (hashed % F.col("_n")).alias("idx"))
     return picks.join(numbered, "idx").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
 
 

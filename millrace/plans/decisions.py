@@ -111,7 +111,7 @@ def report_reconcile(spark, sf_dir):
     return gates.reconcile(r, "system")
 
 
-_CHECKS = {"micro_f1": "true", "gold_slots": "step <> 160", "predicted_slots": "true", "failures_within_examples": "n_no_slot_failure <= n_no_slot AND n_no_slot <= n", "failure_rate": "step <> 240", "validity_falls": "copy_valid_rate <= schema_valid_rate AND schema_valid_rate <= json_valid_rate", "rates_in_range": "json_valid_rate BETWEEN 0 AND 1 AND n_no_slot_failure / n_no_slot BETWEEN 0 AND 1"}
+_CHECKS = {"micro_f1": "true", "gold_slots": "step <> 160", "predicted_slots": "true", "failures_within_examples": "n_no_slot_failure <= n_no_slot AND n_no_slot <= n", "failure_rate": "step <> 240", "validity_falls": "copy_valid_rate <= schema_valid_rate AND schema_valid_rate <= json_valid_rate", "rates_in_range": "json_valid_rate BETWEEN 0 AND 1 AND n_no_slot_failure / n_no_slot BETWEEN 0 AND 1", "positive_within_examples": "n >= n_exact", "precision": "abs(precision - coalesce(tp / nullif(tp + fp, 0), 0)) <= 1e-12", "recall": "abs(recall - coalesce(tp / nullif(tp + fn, 0), 0)) <= 1e-12", "exact_rate": "abs(exact_rate - n_exact / n) <= 1e-12", "invalid_count": "abs(copy_valid_rate - (1 - n_invalid / n)) <= 1e-12"}
 
 
 def _body():
@@ -172,10 +172,18 @@ SELECT id, term, weight, rn FROM (SELECT *, row_number() OVER (PARTITION BY id O
 
 
 def viterbi_decode(spark, sf_dir):
-    """Tags for sixteen steps of scores from each embedding."""
+    """Tags for sixteen steps of four scores from each embedding."""
     e = table(spark, sf_dir, "embeddings")
-    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.slice(F.transform("embedding", lambda x: x.cast("double")), i * 5 + 1, F.lit(5)))
-    return e.select("vec_id", ml.viterbi_decode(rows, ["O", "B-date", "I-date", "B-time", "I-time"]).alias("tags"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(F.transform("embedding", lambda x: x.cast("double")), i * 4 + 1, F.lit(4)))
+    return e.select("vec_id", F.array_join(ml.viterbi_decode(rows, ["O", "B-date", "I-date", "B-time"]), " ").alias("tags"))
+
+
+VITERBI = """WITH RECURSIVE w AS (
+  SELECT vec_id, v, 1 AS step, v[1] AS s1, v[2] AS s2, '-infinity'::DOUBLE AS s3, v[4] AS s4, 'O' AS p1, 'B-date' AS p2, 'I-date' AS p3, 'B-time' AS p4 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  UNION ALL
+  SELECT vec_id, v, step + 1, m + v[4 * step + 1], m + v[4 * step + 2], greatest(s2, s3) + v[4 * step + 3], m + v[4 * step + 4], best || ' O', best || ' B-date', CASE WHEN s2 >= s3 THEN p2 ELSE p3 END || ' I-date', best || ' B-time'
+  FROM (SELECT *, greatest(s1, s2, s3, s4) AS m, CASE WHEN s1 = m THEN p1 WHEN s2 = m THEN p2 WHEN s3 = m THEN p3 ELSE p4 END AS best FROM w) WHERE step < 16
+) SELECT vec_id, CASE greatest(s1, s2, s3, s4) WHEN s1 THEN p1 WHEN s2 THEN p2 WHEN s3 THEN p3 ELSE p4 END AS tags FROM w WHERE step = 16"""
 
 
 def linear_classifier_scores(spark, sf_dir):
@@ -199,9 +207,9 @@ QUERIES = {
         SELECT part, sum(n)::BIGINT AS n_rows, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY part""",
     ),
     "ids_fingerprint": (ids_fingerprint, f"WITH {DOCS} SELECT part, sha256('[' || string_agg(doc_id, ',' ORDER BY doc_id) || ']') AS fingerprint FROM docs GROUP BY part"),
-    "scan_jsonl": (scan_jsonl, None),
+    "scan_jsonl": (scan_jsonl, "SELECT role, count(*) AS n, 0::BIGINT AS n_errors FROM conversations GROUP BY role"),
     "release_tree_check": (release_tree_check, None),
     "tfidf_topk": (tfidf_topk, TFIDF),
-    "viterbi_decode": (viterbi_decode, None),
+    "viterbi_decode": (viterbi_decode, VITERBI),
     "linear_classifier_scores": (linear_classifier_scores, None),
 }

@@ -1,9 +1,5 @@
 """Listings and fingerprints of files, and the rules for a release tree."""
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +8,7 @@ from millrace.operators.checks import guarded
 #: What a public tree must not hold.
 BLOCKED_PREFIXES = (".venv/", "_tmp/", "cache/", "models/", "outputs/", "data/raw/", "data/massive-zh/", "data/private/", "data/sft.licensed.", "data/dpo.licensed.", "data/dpo.eval.", ".env.")
 BLOCKED_SUFFIXES = (".safetensors", ".gguf", ".joblib", ".onnx", ".pt", ".ckpt")
+BLOCKED_REPORTS = ("reports/oasst2_blind_generation_eval", "reports/oasst2_blind_generation_key", "reports/oasst2_blind_generation_ratings")
 ROW_LEVEL_KEYS = ("id", "ids", "source_id", "source_ids", "group_sha256", "utt", "utterance", "raw_output", "prediction", "correct_by_id", "per_row", "rows")
 MOST_BYTES = 1024 * 1024
 
@@ -32,7 +29,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))  # files under 2 GB; locks.file_sha256 for others
 
 
 def directory_fingerprint(spark: SparkSession, path: str, scope: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -44,36 +41,15 @@ def directory_fingerprint(spark: SparkSession, path: str, scope: str, required:
     return one.select(guarded(ok, F.col("digests"), "a required file is missing").alias("digests"))
 
 
-def row_level_keys(value: object) -> set[str]:
-    """Keys at any depth that belong to single rows."""
-    found, rest = set(), [value]
-    while rest:
-        x = rest.pop()
-        if isinstance(x, dict):
-            found |= x.keys() & set(ROW_LEVEL_KEYS)
-            rest += x.values()
-        elif isinstance(x, list):
-            rest += x
-    return found
-
-
 def report_violations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, violation) of JSON reports that don't parse or hold row-level keys."""
+    """(path, violation) of JSON reports that don't parse or hold keys of single rows, at any depth.
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    keys = row_level_keys(json.loads(content))
-                except ValueError:
-                    out.append((name, "invalid JSON report"))
-                    continue
-                if keys:
-                    out.append((name, "row-level keys: " + ", ".join(sorted(keys))))
-            yield pd.DataFrame(out, columns=["path", "violation"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, "path string, violation string")
+    A report is parsed as a variant; a key shows in the schema of the variant, whatever nests it."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    shape = F.schema_of_variant("v")
+    found = F.array_sort(F.array_compact(F.array(*[F.when(shape.rlike(rf"[<\s`]{k}`?: "), F.lit(k)) for k in ROW_LEVEL_KEYS])))
+    what = F.when(F.col("v").isNull(), "invalid JSON report").when(F.size(found) > 0, F.concat(F.lit("row-level keys: "), F.array_join(found, ", ")))
+    return whole.select("path", what.alias("violation")).where("violation is not null")
 
 
 def release_tree_check(files: DataFrame) -> DataFrame:
@@ -84,6 +60,8 @@ def release_tree_check(files: DataFrame) -> DataFrame:
         blocked = blocked | name.startswith(p)
     for s in BLOCKED_SUFFIXES:
         blocked = blocked | F.lower(name).endswith(s)
-    blocked = blocked | (name == ".env") | (name.startswith("reports/") & name.endswith(".jsonl")) | name.rlike("^reports/oasst2_blind_generation_(eval|key|ratings)")
+    for p in BLOCKED_REPORTS:
+        blocked = blocked | name.startswith(p)
+    blocked = blocked | (name == ".env") | (name.startswith("reports/") & name.endswith(".jsonl"))
     found = F.array_compact(F.array(F.when(blocked, "forbidden path"), F.when(F.col("length") > MOST_BYTES, "file over 1 MiB")))
     return files.select("relative", F.explode(found).alias("violation"))

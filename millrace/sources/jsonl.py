@@ -1,9 +1,13 @@
 """JSON lines and JSON objects with declared schemas. Nothing is inferred."""
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.checks import guarded
+
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows, with the file of each and, for a line that isn't valid, the line itself in ``error``. Blank lines are skipped."""
@@ -30,11 +34,47 @@ def with_order(df: DataFrame, *by: str) -> DataFrame:
 
 
 def load_object(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file that holds one JSON object, as one row. Anything else raises."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """A file that holds one JSON object, as one row. An array, several objects or anything else raises."""
+    whole = spark.read.text(path, wholetext=True).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))  # one row, of an empty file too
+    # between brackets, as text behind a first value would be passed over
+    listed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    kind = F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant"))
+    ok = (F.col("n") == 1) & F.coalesce(kind.startswith("OBJECT<"), F.lit(False)) & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return whole.select(F.from_json(guarded(ok, F.col("value"), "not one JSON object"), schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """id, raw_output and prediction of a prediction file; values of another type are read as null."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "group_sha256", "eval_file_sha256", "raw_output", "prediction")])
-    return scan(spark, path, schema)
+    """id, group_sha256, eval_file_sha256, raw_output and prediction of a prediction file, and error: a line that isn't a JSON object.
+
+    Numbers, arrays and other values that aren't strings are null; an id may be a number too. Blank lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    listed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    v = lines.select("value", listed.alias("l")).select("value", F.when(F.try_variant_get("l", "$[1]", "variant").isNull(), F.try_variant_get("l", "$[0]", "variant")).alias("v"))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT<"), F.lit(False))
+
+    def text(name: str, also: tuple[str, ...] = ()) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        return F.when(is_object & kind.isin("STRING", *also), F.try_variant_get("v", f"$.{name}", "string")).alias(name)
+
+    return v.select(text("id", ("BIGINT",)), *[text(c) for c in ("group_sha256", "eval_file_sha256", "raw_output", "prediction")], F.when(~is_object, F.col("value")).alias("error"))
+
+
+def json_table(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """JSON lines as a table of the columns wanted; the others aren't parsed."""
+    rows = scan_strict(spark, path, schema)
+    return rows.select(*columns) if columns else rows
+
+
+def pinned(spark: SparkSession, root: str, revision: str, schema: T.StructType) -> DataFrame:
+    """The files of one revision of a data set, which lies in a folder of the revision's name; the name must be a commit hash."""
+    if not re.fullmatch(r"[0-9a-f]{40}", revision):
+        raise ValueError(f"{revision!r} isn't a commit hash")
+    return scan_strict(spark, f"{root.rstrip('/')}/{revision}", schema)
+
+
+def named_path(argument: str) -> tuple[str, str]:
+    """NAME=path of a command line."""
+    name, separator, path = argument.partition("=")
+    if not separator or not path or not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]{0,39}", name):
+        raise ValueError("NAME=path is wanted, with a name of letters, digits, _ and -")
+    return name, path

@@ -1,14 +1,17 @@
-"""Spans, the strict parser and entity scores on hand-made cases."""
+"""Spans, tags, the strict parser and entity scores against plain versions on made-up rows."""
 
+import itertools
 import json
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import keys, spans
-from millrace.operators import gates, metrics, ml
+from millrace.operators import evaluation, gates, metrics, ml
 
 SLOTS = "array<struct<type:string,value:string>>"
 
@@ -21,15 +24,41 @@ def out(*slots):
     return json.dumps({"slots": list(slots)}, ensure_ascii=False, separators=(",", ":"))
 
 
-def test_alignment():
-    a = spans.align_annotation
-    assert [(s["type"], s["value"]) for s in a("ring me at nine on friday", "ring me at [time : nine] on [date : friday]")] == [("time", "nine"), ("date", "friday")]
-    assert [s["value"] for s in a("Ida,Ida und Bo", "[person : Ida],[person : Ida] und [person : Bo]")] == ["Ida", "Ida", "Bo"]
-    assert a("in San  Marino!", "in [place_name : San Marino] !") == [{"type": "place_name", "value": "San  Marino", "start": 3, "end": 14}]
-    assert a("paint it green", "paint it [colour : green]") == []
-    for utt, annot in (("at nine", "at [time : ten]"), ("at nine", "at [time nine]"), ("", "x"), ("x", ""), (None, "x")):
+ALPHABET = "abcdefg éß漢"
+
+
+def words(draw, low=0, high=6):
+    return ["".join(draw.choice(ALPHABET.replace(" ", "")) for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(low, high))]
+
+
+def marked(draw):
+    """An utterance of words, its annotated form, and the spans that were put into it."""
+    utt, annot, spans_ = "", "", []
+    for w in words(draw, 1, 8):
+        gap = draw.choice([" ", "", "  "]) if utt else ""
+        utt, annot = utt + gap, annot + draw.choice([gap, gap + " "])
+        if draw.random() < 0.4:
+            kind = draw.choice([*spans.TARGET_TYPES, "song_name"])
+            annot += f"[{kind}{draw.choice([' ', ''])}:{draw.choice([' ', ''])}{w}]"
+            if kind != "song_name":
+                spans_.append({"type": kind, "value": w, "start": len(utt), "end": len(utt) + len(w)})
+        else:
+            annot += w
+        utt += w
+    return utt, annot, spans_
+
+
+def test_alignment_of_made_up_marks():
+    draw = random.Random(21)
+    for _ in range(500):
+        utt, annot, want = marked(draw)
+        assert spans.align_annotation(utt, annot) == want
         with pytest.raises(ValueError):
-            a(utt, annot)
+            spans.align_annotation(utt + "q", annot)
+        if "[" in annot:
+            for broken in (annot.replace("]", "", 1), annot.replace(":", "", 1)):
+                with pytest.raises(ValueError):
+                    spans.align_annotation(utt, broken)
 
 
 @pytest.mark.parametrize(
@@ -39,7 +68,7 @@ def test_alignment():
         ('{"slots":[],"slots":[]}', "x", "duplicate_json_key"), ('{"slots":[{"type":"date","type":"date","value":"x"}]}', "x", "duplicate_json_key"), ('{"other":[{"a":1,"a":2}]}', "x", "duplicate_json_key"),
         ("[]", "x", "invalid_top_level_schema"), ("NaN", "x", "invalid_top_level_schema"), ('{"slots":{}}', "x", "invalid_top_level_schema"), ('{"slots":[],"x":1}', "x", "invalid_top_level_schema"), ('{"slots":[1]}', "x", "invalid_slot_schema"),
         ('{"slots":[{"type":"date"}]}', "x", "invalid_slot_schema"), ('{"slots":[{"type":"date","value":1}]}', "x", "invalid_slot_type_or_value"), ('{"slots":[{"type":"song","value":"x"}]}', "x", "invalid_slot_type_or_value"), ('{"slots":[{"type":"date","value":" "}]}', " ", "invalid_slot_type_or_value"),
-        (out(slot("date", "y")), "x", "value_not_copied_from_utterance"),
+        (out(slot("date", "y")), "x", "value_not_copied_from_utterance"), ("[" * 100_000, "x", "invalid_json"), ('{"slots":' + "[" * 50_000 + "]" * 50_000 + "}", "x", "invalid_json"),
     ],
 )
 def test_strict_parser(raw, utt, error):
@@ -47,49 +76,142 @@ def test_strict_parser(raw, utt, error):
     assert got["error"] == error and (got["slots"] is None) == (error is not None)
 
 
-def test_bio(spark):
-    rows = [("a", "Ida,Ida", [("person", 0, 3), ("person", 4, 7)]), ("b", "x", []), ("c", "", [])]
-    df = spark.createDataFrame(rows, "id string, utt string, spans array<struct<type:string,start:int,end:int>>").withColumn("tags", spans.bio_tags(F.col("utt"), F.col("spans")))
-    assert {r.id: r.tags for r in df.collect()} == {"a": ["B-person", "I-person", "I-person", "O", "B-person", "I-person", "I-person"], "b": ["O"], "c": []}
-    got = {r.id: [(s.type, s.value) for s in r.slots] for r in spans.slots_from_bio(df, "id", "utt", "tags").collect()}
-    assert got == {"a": [("person", "Ida"), ("person", "Ida")], "b": [], "c": []}
-    loose = spark.createDataFrame([("d", "abcdef", ["I-date", "I-time", "I-time", "O", "I-time", "B-time"])], "id string, utt string, tags array<string>")
-    assert [(s.type, s.value) for s in spans.slots_from_bio(loose, "id", "utt", "tags").first().slots] == [("date", "a"), ("time", "bc"), ("time", "e"), ("time", "f")]
-    bad = spark.createDataFrame([("abc", [("x", 0, 2), ("x", 1, 3)]), ("abc", [("x", 0, 4)]), ("abc", [("x", 0, 1), ("x", 1, 3)])], "utt string, spans array<struct<type:string,start:int,end:int>>")
-    assert [r[0] for r in bad.select(spans.span_errors(F.col("utt"), F.col("spans"))).collect()] == [True, True, False]
+def plain_tags(n, spans_):
+    tags = ["O"] * n
+    for kind, a, b in spans_:
+        tags[a:b] = [f"B-{kind}"] + [f"I-{kind}"] * (b - a - 1)
+    return tags
+
+
+def plain_slots(utt, tags):
+    """Runs of characters, left to right: an I- tag goes on with a run of its type, any other tag but O begins one."""
+    out, open_ = [], None
+    for c, t in zip(utt, tags):
+        kind = t[2:]
+        if t == "O":
+            open_ = None
+        elif t.startswith("I-") and open_ == kind:
+            out[-1][1] += c
+        else:
+            out.append([kind, c])
+            open_ = kind
+    return [tuple(x) for x in out]
+
+
+def test_tags_there_and_back(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(120):
+        n = draw.randint(0, 14)
+        cuts = sorted(draw.sample(range(n + 1), min(n + 1, 2 * draw.randint(0, 3))))
+        own = [(draw.choice(spans.TARGET_TYPES), a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        loose = [draw.choice(["O", *[f"{p}-{k}" for p in "BI" for k in spans.TARGET_TYPES[:2]]]) for _ in range(n)]
+        rows.append((str(i), "".join(draw.choice(ALPHABET) for _ in range(n)), own, loose))
+    df = spark.createDataFrame(rows, "id string, utt string, spans array<struct<type:string,start:int,end:int>>, loose array<string>")
+    tags = {r.id: r.tags for r in df.select("id", spans.bio_tags(F.col("utt"), F.col("spans")).alias("tags")).collect()}
+    assert tags == {i: plain_tags(len(u), own) for i, u, own, _ in rows}
+    got = {r.id: [(s.type, s.value) for s in r.slots] for r in spans.slots_from_bio(df, "id", "utt", "loose").collect()}
+    assert got == {i: plain_slots(u, loose) for i, u, _, loose in rows}
+
 
+def test_overlapping_and_far_spans_are_errors(spark):
+    draw = random.Random(6)
+    rows = [(str(i), "x" * 8, [("date", a, a + draw.randint(1, 4)) for a in sorted(draw.choices(range(9), k=draw.randint(1, 3)))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id string, utt string, spans array<struct<type:string,start:int,end:int>>")
+    got = {r.id: r.bad for r in df.select("id", spans.span_errors(F.col("utt"), F.col("spans")).alias("bad")).collect()}
+    assert got == {i: any(b > len(u) for _, _, b in own) or any(x[2] > y[1] for x, y in zip(own, own[1:])) for i, u, own in rows}
 
-def test_viterbi():
-    classes = ["O", "B-date", "I-date", "B-time", "I-time"]
-    scores = np.array([[0, 2, 9, 1, 9], [0, 0, 3, 0, 9], [5, 0, 0, 0, 0]], dtype=float)
-    assert ml.viterbi(scores, classes) == ["B-time", "I-time", "O"]
+
+def test_viterbi_is_the_best_of_all_paths():
+    draw = np.random.default_rng(9)
+    classes = ["O", "B-x", "I-x", "B-y", "I-y"]
+    legal = lambda p: all(t[0] != "I" or (i > 0 and p[i - 1] != "O" and p[i - 1][2:] == t[2:]) for i, t in enumerate(p))
+    for n in (1, 2, 3, 4):
+        paths = [p for p in itertools.product(classes, repeat=n) if legal(p)]
+        for _ in range(60):
+            scores = draw.integers(-4, 5, (n, len(classes))).astype(float)
+            value = lambda p: sum(scores[i, classes.index(t)] for i, t in enumerate(p))
+            got = tuple(ml.viterbi(scores, classes))
+            assert got in paths and value(got) == max(map(value, paths))
     assert ml.viterbi(np.zeros((0, 5)), classes) == []
-    assert ml.viterbi(np.zeros((2, 5)), classes) == ["O", "O"]
+
+
+def plain_flags(gold, pred, parsed):
+    """The error flags of one row, counted slot by slot."""
+    valid, p = pred is not None, pred or []
+    g, q = Counter(gold), Counter(p)
+    tp, exact = sum((g & q).values()), pred is not None and g == q
+    gr, pr = list((g - q)), list((q - g))
+    pairs = [(a, b) for a in gr for b in pr] if valid else []
+    return {
+        "fully_correct": exact, "incorrect": not exact, "invalid_json": not parsed["json_valid"], "invalid_schema": parsed["json_valid"] and not parsed["schema_valid"], "invalid_copy": parsed["schema_valid"] and not parsed["copy_valid"],
+        "missed_all_gold_slots": bool(gold) and tp == 0, "missed_all_gold_slots_valid_output": valid and bool(gold) and tp == 0, "extra_slots_on_gold_empty": valid and not gold and bool(p), "partial_correct": valid and tp > 0 and not exact,
+        "type_confusion_same_value": any(a[1] == b[1] and a[0] != b[0] for a, b in pairs), "same_type_different_value": any(a[0] == b[0] and a[1] != b[1] for a, b in pairs),
+        "possible_span_boundary_mismatch": any(a[0] == b[0] and a[1] != b[1] and (a[1] in b[1] or b[1] in a[1]) for a, b in pairs),
+        "duplicate_slot_output": valid and len(q) < len(p), "excess_duplicate_slot": valid and any(n > max(1, g[s]) for s, n in q.items()),
+    }
 
 
 @pytest.fixture(scope="module")
-def parsed(spark):
-    """Twelve utterances with the errors that the taxonomy tells apart."""
-    d, t, p, w = (lambda v: slot("date", v)), (lambda v: slot("time", v)), (lambda v: slot("place_name", v)), (lambda v: slot("person", v))
-    rows = [
-        ("a", "play a song", [], out()), ("b", "may or may", [d("may"), d("may")], out(d("may"), d("may"))), ("c", "may or may", [d("may"), d("may")], out(d("may"))), ("d", "in may", [d("may")], out(d("may"), d("may"))),
-        ("e", "at noon", [t("noon")], out(d("noon"))), ("f", "in New Delhi", [p("New Delhi")], out(p("Delhi"))), ("g", "Ida or Bo", [w("Ida")], out(w("Bo"))), ("h", "play may", [], out(d("may"))),
-        ("i", "in june", [d("june")], "june?"), ("j", "in june", [d("june")], '{"slots":7}'), ("k", "in june", [d("june")], out(d("july"))), ("l", "june, Rome to Bern", [d("june"), p("Rome")], out(d("june"), p("Bern"))),
-    ]
+def scored(spark):
+    """Random gold slots, and outputs that keep, change, repeat or break them."""
+    draw = random.Random(13)
+    rows = []
+    for i in range(250):
+        w = words(draw, 1, 6)
+        pick = lambda: (draw.choice(spans.TARGET_TYPES[:2]), draw.choice(w)[: draw.randint(1, 4)])
+        gold = [pick() for _ in range(draw.randint(0, 3))]
+        pred = [x for x in gold if draw.random() < 0.7] + [pick() for _ in range(draw.choice([0, 0, 1, 2]))]
+        pred += draw.choices(pred, k=1) if pred and draw.random() < 0.2 else []
+        raw = out(*[slot(*x) for x in pred])
+        raw = draw.choice([raw] * 6 + [raw[:-1], '{"slots":1}', raw.replace('"value":"', '"value":"#', 1)])
+        rows.append((str(i), " ".join(w), [slot(*x) for x in gold], raw))
     df = spark.createDataFrame(rows, f"id string, utt string, slots {SLOTS}, raw string")
-    return df.withColumn("p", spans.parse_outputs("raw", "utt")).withColumn("pred", F.col("p.slots")).persist()
+    return rows, df.withColumn("p", spans.parse_outputs("raw", "utt")).withColumn("pred", F.col("p.slots")).persist()
 
 
-def test_taxonomy(parsed):
-    got = {r.category: (r.n, r.rate) for r in metrics.taxonomy(metrics.taxonomy_flags(parsed, "slots", "pred", "p", "id")).collect()}
-    want = {
-        "invalid_json": 1, "invalid_schema": 1, "invalid_copy": 1, "missed_all_gold_slots": 6, "missed_all_gold_slots_valid_output": 3, "extra_slots_on_gold_empty": 1, "type_confusion_same_value": 1, "same_type_different_value": 3,
-        "possible_span_boundary_mismatch": 1, "partial_correct": 3, "duplicate_slot_output": 2, "excess_duplicate_slot": 1, "fully_correct": 2, "incorrect": 10,
-    }
-    assert {k: n for k, (n, _) in got.items()} == want
-    assert got["extra_slots_on_gold_empty"][1] == 0.5 and got["missed_all_gold_slots"][1] == 0.6
-    some = {r.category: r.rate for r in metrics.taxonomy(metrics.taxonomy_flags(parsed.where("size(slots) > 0"), "slots", "pred", "p", "id")).collect()}
-    assert some["extra_slots_on_gold_empty"] is None
+def _plain_rows(rows):
+    for i, utt, gold, raw in rows:
+        parsed = spans.parse_output(raw, utt)
+        yield i, [(s["type"], s["value"]) for s in gold], None if parsed["slots"] is None else [(s["type"], s["value"]) for s in parsed["slots"]], parsed
+
+
+def test_taxonomy_by_counting(scored):
+    rows, df = scored
+    got = {r.id: r for r in metrics.taxonomy_flags(df, "slots", "pred", "p", "id").collect()}
+    total, n_has = Counter(), 0
+    for i, gold, pred, parsed in _plain_rows(rows):
+        want = plain_flags(gold, pred, parsed)
+        assert {c: got[i][c] for c in metrics.CATEGORIES} == want
+        total.update(c for c, v in want.items() if v)
+        n_has += bool(gold)
+    for r in metrics.taxonomy(metrics.taxonomy_flags(df, "slots", "pred", "p", "id")).collect():
+        base = n_has if r.category.startswith("missed") else len(rows) - n_has if r.category.startswith("extra") else len(rows)
+        assert (r.n, r.denominator) == (total[r.category], base) and math.isclose(r.rate, total[r.category] / base)
+    none = metrics.taxonomy(metrics.taxonomy_flags(df.where("size(slots) > 0"), "slots", "pred", "p", "id")).where("category = 'extra_slots_on_gold_empty'").first()
+    assert none.rate is None
+
+
+def test_entity_scores_by_counting(scored):
+    rows, df = scored
+    tp = fp = fn = exact = invalid = 0
+    by = {t: [0, 0, 0] for t in spans.TARGET_TYPES}
+    for _, gold, pred, _ in _plain_rows(rows):
+        g, q = Counter(gold), Counter(pred or [])
+        for k, part in enumerate((g & q, q - g, g - q)):
+            for (t, _), n in part.items():
+                by[t][k] += n
+        exact += pred is not None and g == q
+        invalid += pred is None
+    tp, fp, fn = (sum(x[k] for x in by.values()) for k in range(3))
+    counts = metrics.entity_counts(df, "slots", "pred", "id")
+    r = metrics.entity_prf(counts).first()
+    assert (r.n, r.tp, r.fp, r.fn, r.n_exact, r.n_invalid) == (len(rows), tp, fp, fn, exact, invalid)
+    assert math.isclose(r.micro_f1, 2 * tp / (2 * tp + fp + fn))
+    types = {x.type: ([x.tp, x.fp, x.fn], x.f1) for x in metrics.entity_prf_by_type(counts).collect()}
+    f1 = {t: 2 * a / (2 * a + b + c) if a + b + c else None for t, (a, b, c) in by.items()}
+    assert {t: c for t, (c, _) in types.items()} == by and all((v is None) == (f1[t] is None) and math.isclose(v or 0, f1[t] or 0) for t, (_, v) in types.items())
+    assert math.isclose(evaluation.macro_f1(metrics.entity_prf_by_type(counts)).first().macro_f1, sum(x or 0 for x in f1.values()) / 4, abs_tol=1e-8)
 
 
 def test_entity_scores(spark):
