@@ -88,17 +88,33 @@ def f1_of(tp, fp, fn) -> Column:
     return F.try_divide(2.0 * tp, 2.0 * tp + fp + fn)
 
 
-def entity_prf(rows: DataFrame) -> DataFrame:
-    """One row over the rows of ``entity_counts``."""
-    t = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("valid")).alias("n_invalid"),
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")],
-        F.count_if(F.col("n_gold") == 0).alias("n_no_slot"), F.count_if((F.col("n_gold") == 0) & F.col("valid") & (F.col("n_pred") > 0)).alias("n_no_slot_fp"), F.count_if((F.col("n_gold") == 0) & ~F.col("valid")).alias("n_no_slot_invalid"),
+_SUMS = ("n", "n_exact", "n_invalid", "tp", "fp", "fn", "n_no_slot", "n_no_slot_fp", "n_no_slot_invalid")
+
+
+def entity_cells(rows: DataFrame, *by: Column, **more: Column) -> DataFrame:
+    """The sums that scores need over the rows of ``entity_counts``, by the columns given; ``more`` are counted where they hold.
+
+    Scores of all rows and of some of them come from one table of cells, and so from one reading of the outputs."""
+    none = F.col("n_gold") == 0
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("valid")).alias("n_invalid"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+        F.count_if(none).alias("n_no_slot"), F.count_if(none & F.col("valid") & (F.col("n_pred") > 0)).alias("n_no_slot_fp"), F.count_if(none & ~F.col("valid")).alias("n_no_slot_invalid"),
+        *[F.count_if(c).alias(name) for name, c in more.items()],
     )
+
+
+def prf_of_cells(cells: DataFrame, *more: str) -> DataFrame:
+    """One row: the sums over all cells, and the scores."""
+    t = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (*_SUMS, *more)])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return t.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), f1_of(tp, fp, fn).alias("micro_f1"), ratio("n_exact", "n").alias("exact_rate"))
 
 
+def entity_prf(rows: DataFrame) -> DataFrame:
+    """One row over the rows of ``entity_counts``."""
+    return prf_of_cells(entity_cells(rows))
+
+
 def entity_prf_by_type(rows: DataFrame, types=TARGET_TYPES) -> DataFrame:
     """A row for each type, those without entities included."""
     s = rows.select(F.explode("_s").alias("s")).select("s.*")

@@ -15,12 +15,13 @@ def approved(lang: str = "zh") -> Column:
 
 
 def chains(messages: DataFrame, most: int = MOST_NODES) -> DataFrame:
-    """(message_id, path): the turns from the root to each message, for whole chains of ``most`` nodes at most.
+    """(message_id, path): the nodes from the root to each message, for whole chains of ``most`` nodes at most.
 
-    messages(message_id, parent_id, role, text, ok). The path is array<struct<role, text, ok>>. A chain with a missing parent
+    messages(message_id, parent_id, role, text, ok). The path is array<struct<node, role, n_chars, ok>>; texts are fetched by
+    ``with_texts`` for the chains that are left. A chain with a missing parent
     has no row. Paths double in length with every join, so a dozen nodes take four joins and not twelve.
     """
-    step = messages.select("message_id", F.col("parent_id").alias("top"), F.array(F.struct("role", strip(F.col("text")).alias("text"), "ok")).alias("path"))
+    step = messages.select("message_id", F.col("parent_id").alias("top"), F.array(F.struct(F.col("message_id").alias("node"), "role", F.length(strip(F.col("text"))).alias("n_chars"), "ok")).alias("path"))
     reach = 1
     while reach < most:
         up = step.select(F.col("message_id").alias("top"), F.col("top").alias("_next"), F.col("path").alias("_above"))
@@ -33,12 +34,20 @@ def chains(messages: DataFrame, most: int = MOST_NODES) -> DataFrame:
     return step.where(F.col("top").isNull() & (F.size("path") <= most)).select("message_id", "path")
 
 
+def with_texts(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """The chains with paths array<struct<role, text>>, texts without white space around them."""
+    nodes = found.select("message_id", F.posexplode("path").alias("pos", "t")).select("message_id", "pos", "t.role", F.col("t.node").alias("node"))
+    texts = messages.select(F.col("message_id").alias("node"), strip(F.col("text")).alias("text"))
+    path = nodes.join(texts, "node").groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("p"))
+    return path.select("message_id", F.transform("p", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("path"))
+
+
 def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.when(t["role"] == "prompter", F.lit("user")).otherwise(F.lit("assistant")), F.lit(": "), t["text"])), "\n")
 
 
-def length_of(turns: Column) -> Column:
-    return F.aggregate(turns, F.lit(0), lambda n, t: n + F.length(t["text"]))
+def length_of(nodes: Column) -> Column:
+    return F.aggregate(nodes, F.lit(0), lambda n, t: n + t["n_chars"])
 
 
 def sft_chains(messages: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -47,10 +56,10 @@ def sft_chains(messages: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
     start = messages.where("role = 'assistant' and rank = 0 and ok").select("message_id")
     c = chains(messages).join(start, "message_id", "left_semi")
     path, n = F.col("path"), F.size("path")
-    prompt = F.slice(path, 1, n - 1)
     fine = (n >= 2) & F.forall(path, lambda t: t["ok"]) & (F.get(path, F.lit(0))["role"] == "prompter") & (F.get(path, n - 2)["role"] == "prompter")
-    c = c.where(fine).select("message_id", n.cast("long").alias("n_turns"), prompt.alias("prompt"), F.get(path, n - 1)["text"].alias("completion"))
-    return c.where((length_of(F.col("prompt")) <= most_chars) & (F.length("completion") <= most_chars)).select("message_id", "n_turns", rendered(F.col("prompt")).alias("prompt"), "completion")
+    short = (length_of(F.slice(path, 1, n - 1)) <= most_chars) & (F.get(path, n - 1)["n_chars"] <= most_chars)
+    c = with_texts(c.where(fine).where(short), messages)
+    return c.select("message_id", n.cast("long").alias("n_turns"), rendered(F.slice(path, 1, n - 1)).alias("prompt"), F.get(path, n - 1)["text"].alias("completion"))
 
 
 def preference_pairs(messages: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -59,8 +68,9 @@ def preference_pairs(messages: DataFrame, most_chars: int = MOST_CHARS) -> DataF
     Of several replies of a rank the one with the smallest id counts. Bounds apply to the text as it is."""
     reply = lambda r: messages.where(f"role = 'assistant' and ok and rank = {r}").groupBy("parent_id").agg(F.min_by("text", "message_id").alias(f"r{r}"))
     parents = messages.where("role = 'prompter' and ok").select(F.col("message_id").alias("parent_id"))
-    path = chains(messages).select(F.col("message_id").alias("parent_id"), "path")
-    path = path.where(F.forall("path", lambda t: t["ok"]) & (F.get("path", F.lit(0))["role"] == "prompter") & (length_of(F.col("path")) <= most_chars))
-    both = parents.join(reply(0), "parent_id").join(reply(1), "parent_id").join(path, "parent_id")
+    both = parents.join(reply(0), "parent_id").join(reply(1), "parent_id")
     both = both.where((strip(F.col("r0")) != strip(F.col("r1"))) & (F.length("r0") <= most_chars) & (F.length("r1") <= most_chars))
+    path = chains(messages).where(F.forall("path", lambda t: t["ok"]) & (F.get("path", F.lit(0))["role"] == "prompter") & (length_of(F.col("path")) <= most_chars))
+    path = with_texts(path.join(both.select(F.col("parent_id").alias("message_id")), "message_id", "left_semi"), messages)
+    both = both.join(path.withColumnRenamed("message_id", "parent_id"), "parent_id")
     return both.select("parent_id", rendered(F.col("path")).alias("prompt"), strip(F.col("r0")).alias("chosen"), strip(F.col("r1")).alias("rejected"))

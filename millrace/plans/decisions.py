@@ -15,12 +15,15 @@ SYSTEMS = ("raw", "raw2", "raw3")
 
 def reports(spark, sf_dir):
     """A report for each system of model outputs."""
-    out = None
+    out, flags = None, ("json_valid", "schema_valid", "copy_valid")
     for i, salt in enumerate(SYSTEMS):
-        rows = entities.rows(spark, sf_dir, salt)
-        p = entities.parsed(spark, sf_dir, salt).agg(*[F.avg(F.col(f"p.{c}").cast("int")).alias(f"{c}_rate") for c in ("json_valid", "schema_valid", "copy_valid")])
-        all_, pos = metrics.entity_prf(rows), metrics.entity_prf(rows.where("n_gold > 0")).select(F.col("micro_f1").alias("positive_f1"))
-        one = all_.crossJoin(pos).crossJoin(p).select(F.lit(salt).alias("system"), F.lit(80 * (i + 1)).cast("long").alias("step"), "*", (F.col("n_no_slot_fp") + F.col("n_no_slot_invalid")).alias("n_no_slot_failure"))  # one row each
+        p = entities.parsed(spark, sf_dir, salt)
+        rows = metrics.entity_counts(p.select("id", "slots", F.col("p.slots").alias("pred"), *[F.col(f"p.{c}").alias(c) for c in flags]), "slots", "pred", "id", *flags)
+        cells = metrics.entity_cells(rows, (F.col("n_gold") > 0).alias("has"), **{f"n_{c}": F.col(c) for c in flags})
+        positive = metrics.prf_of_cells(cells.where("has")).select(F.col("micro_f1").alias("positive_f1"))
+        one = metrics.prf_of_cells(cells, *[f"n_{c}" for c in flags]).crossJoin(positive)  # one row each
+        one = one.select(F.lit(salt).alias("system"), F.lit(80 * (i + 1)).cast("long").alias("step"), "*", *[(F.col(f"n_{c}") / F.col("n")).alias(f"{c}_rate") for c in flags], (F.col("n_no_slot_fp") + F.col("n_no_slot_invalid")).alias("n_no_slot_failure"))
+        one = one.drop(*[f"n_{c}" for c in flags])
         out = one if out is None else out.unionByName(one)
     return out
 
