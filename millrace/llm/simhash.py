@@ -12,9 +12,9 @@ linear in its distinct fingerprints.
 
 ``keep_one`` is for a similarity of texts and not for a number of bits: the Jaccard similarity of their sets of ``width`` words
 (five) is to be ``similarity`` (0.8) or more. At 0.8 about 15 of 100 bits differ, so fingerprints are wider: ``WIDE`` bits in
-``WIDE`` / ``PIECE`` pieces, each indexed under its one-wildcard variants. Pairs up to 15 differing bits (of 128) are met for sure,
-others with the probability that one of the eight pieces differs in at most one bit: at a similarity of exactly 0.8 92 %, at 0.85
-98 %, at 0.9 99.6 %. Pairs that meet and differ in at most what all but 1 in 10,000 pairs of that similarity do are candidates. Candidates that hang together
+``WIDE`` / ``PIECE`` pieces, each indexed under its one-wildcard variants. Pairs up to 23 differing bits (of 192) are met for sure,
+others with the probability that one of the twelve pieces differs in at most one bit: at a similarity of exactly 0.8 98 %, at 0.85
+99.6 %, at 0.9 99.97 %. Pairs that meet and differ in at most what all but 1 in 10,000 pairs of that similarity do are candidates. Candidates that hang together
 are a family; its texts' sets are compared, in blocks, and only links that the sets confirm count.
 
 Defined cases: null or empty text and text without words have fingerprint zero and are
@@ -43,7 +43,8 @@ SEED = 42
 #: Fingerprints of a bucket that one task compares with each other at most.
 BLOCK = 4096
 #: Bits of a fingerprint for similarity, and of its pieces.
-WIDE, PIECE = 128, 16
+WIDE, PIECE = 192, 16
+_WORDS = tuple(f"c{i}" for i in range(WIDE // 64))
 #: Shingles of the texts that one task compares with each other, at most (a text counts as 2,048 at least).
 FAMILY = 1 << 21
 _BLOCK = 1 << 15
@@ -151,21 +152,21 @@ def bits_apart(similarity: float, bits: int = WIDE) -> int:
 def _sketches(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(x, width) for x in batch["text"]]
-        code = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(len(sets), -1).view(np.int64)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": np.array([len(x) for x in sets], np.int64), "c0": code[:, 0], "c1": code[:, 1]})
+        code = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(len(sets), len(_WORDS)).view(np.int64)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": np.array([len(x) for x in sets], np.int64), **{c: code[:, i] for i, c in enumerate(_WORDS)}})
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
-    """(bucket, rid, c0, c1): each piece of each fingerprint with one bit deleted."""
-    own = texts.select("rid", "c0", "c1", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("i"))
-    value = F.expr(f"shiftrightunsigned(if(i < 64, c0, c1), cast({PIECE} * (i div {PIECE} % {64 // PIECE}) as int)) & {(1 << PIECE) - 1}")
+    """(bucket, rid, code): each piece of each fingerprint with one bit deleted."""
+    own = texts.select("rid", *_WORDS, F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("i"))
+    value = F.expr(f"shiftrightunsigned(element_at(array({', '.join(_WORDS)}), cast(i div 64 as int) + 1), cast({PIECE} * (i div {PIECE} % {64 // PIECE}) as int)) & {(1 << PIECE) - 1}")
     place = F.expr(f"shiftleft(1L, cast(i % {PIECE} as int))")
-    return own.select((F.col("i").cast("long") * (1 << PIECE) + value.bitwiseAND(F.bitwise_not(place))).cast("int").alias("bucket"), "rid", "c0", "c1")
+    return own.select((F.col("i").cast("long") * (1 << PIECE) + value.bitwiseAND(F.bitwise_not(place))).cast("int").alias("bucket"), "rid", *_WORDS)
 
 
 def _near_texts(frame: pd.DataFrame, most: int) -> pd.DataFrame:
     """Links of complete groups. A pair counts where it meets first, so texts that meet in many buckets aren't linked in each."""
-    codes = np.stack([frame["c0"].to_numpy(), frame["c1"].to_numpy()], 1).view(np.uint64)
+    codes = np.stack([frame[c].to_numpy() for c in _WORDS], 1).view(np.uint64)
     variant = frame["variant"].to_numpy()
 
     def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -216,12 +217,12 @@ def similar_texts(docs: DataFrame, scratch: Scratch, width: int, similarity: flo
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    rows = scratch.put(own.mapInPandas(lambda b: _sketches(b, width), f"doc_id {kind}, digest binary, n long, c0 long, c1 long"))
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n").alias("n"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+    rows = scratch.put(own.mapInPandas(lambda b: _sketches(b, width), f"doc_id {kind}, digest binary, n long, " + ", ".join(f"{c} long" for c in _WORDS)))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _WORDS])
     texts = scratch.put(texts.select("*", F.monotonically_increasing_id().alias("rid")))
     # families of texts whose fingerprints are near each other
     members = split_hot(_pieces(texts), "bucket", "rid", block, scratch)
-    members = members.select("rid", "c0", "c1", "grp", "side", F.shiftright("bucket", PIECE).cast("int").alias("variant"))
+    members = members.select("rid", *_WORDS, "grp", "side", F.shiftright("bucket", PIECE).cast("int").alias("variant"))
     most = bits_apart(similarity)
     near = whole_groups(lambda f: _near_texts(f, most), "grp")
     stars = members.repartition("grp").sortWithinPartitions("grp").mapInPandas(near, "a long, b long")
