@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.keys import strip
 
+from .sampling import shuffle_take
+
 MOST_NODES, MOST_CHARS = 12, 1800
 
 
@@ -74,3 +76,10 @@ def preference_pairs(messages: DataFrame, most_chars: int = MOST_CHARS) -> DataF
     path = with_texts(path.join(both.select(F.col("parent_id").alias("message_id")), "message_id", "left_semi"), messages)
     both = both.join(path.withColumnRenamed("message_id", "parent_id"), "parent_id")
     return both.select("parent_id", rendered(F.col("path")).alias("prompt"), strip(F.col("r0")).alias("chosen"), strip(F.col("r1")).alias("rejected"))
+
+
+def chat_splits(records: DataFrame, key: str, seed: str, n_train: int, n_held: int, strict: bool = True) -> DataFrame:
+    """The records with split and ord: a seeded shuffle, of which the first rows are for training and the next are held out.
+    Too few rows raise if strict."""
+    taken = shuffle_take(records, key, seed, n_train + n_held, strict)
+    return taken.withColumn("split", F.when(F.col("ord") <= n_train, "train").otherwise("held_out"))

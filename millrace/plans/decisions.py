@@ -154,7 +154,18 @@ def scan_jsonl(spark, sf_dir):
 
 
 def release_tree_check(spark, sf_dir):
-    return files.release_tree_check(files.listing(spark, sf_dir)).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    """A listing of made-up paths, some of which must not be released."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id").cast("string")
+    kinds = [F.concat(F.lit(a), n, F.lit(b)) for a, b in _PATHS] + [F.lit(".env")]
+    path = F.element_at(F.array(*kinds), (bucket_hash("tree", "doc_id") % len(kinds) + 1).cast("int"))
+    return files.release_tree_check(d.select(path.alias("relative"), (F.col("n_chars") * 500).alias("length")))
+
+
+_PATHS = (("src/f", ".py"), ("docs/", ".md"), (".venv/", ".py"), ("models/", ".bin"), ("src/m", ".ONNX"), ("reports/", ".jsonl"), ("reports/", ".json"), (".env.", ""), ("reports/oasst2_blind_generation_key", ".csv"), ("data/raw/", ""), ("data/", ".PT"))
+TREE = f"""WITH p AS (SELECT CASE {H('tree', 'doc_id')} % {len(_PATHS) + 1} {' '.join(f"WHEN {i} THEN '{a}' || doc_id || '{b}'" for i, (a, b) in enumerate(_PATHS))} ELSE '.env' END AS relative, n_chars * 500 AS length FROM documents)
+SELECT relative, 'forbidden path' AS violation FROM p WHERE regexp_matches(relative, '^(\\.venv/|models/|data/raw/|\\.env|reports/oasst2_blind_generation_key)') OR regexp_matches(lower(relative), '\\.(onnx|pt)$') OR (relative LIKE 'reports/%' AND relative LIKE '%.jsonl')
+UNION ALL SELECT relative, 'file over 1 MiB' FROM p WHERE length > 1048576"""
 
 
 def tfidf_topk(spark, sf_dir):
@@ -211,7 +222,7 @@ QUERIES = {
     ),
     "ids_fingerprint": (ids_fingerprint, f"WITH {DOCS} SELECT part, sha256('[' || string_agg(doc_id, ',' ORDER BY doc_id) || ']') AS fingerprint FROM docs GROUP BY part"),
     "scan_jsonl": (scan_jsonl, "SELECT role, count(*) AS n, 0::BIGINT AS n_errors FROM conversations GROUP BY role"),
-    "release_tree_check": (release_tree_check, None),
+    "release_tree_check": (release_tree_check, TREE),
     "tfidf_topk": (tfidf_topk, TFIDF),
     "viterbi_decode": (viterbi_decode, VITERBI),
     "linear_classifier_scores": (linear_classifier_scores, None),

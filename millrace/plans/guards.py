@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from millrace.functions import keys
 from millrace.functions.hashing import bucket_hash
 from millrace.functions.spans import TARGET_TYPES
 from millrace.operators import checks, datasets, evaluation, gates, groups, locks, metrics, sampling, stats
 
-from . import classification, entities
-from .fixtures import DOCS, UTTS, H, class_predictions, documents, predictions_sql, table, utterances
+from . import classification, entities, trees
+from .fixtures import DOCS, FOLD, UTTS, H, class_predictions, documents, predictions_sql, table, utterances
 
 FILE = "e" * 64
 
@@ -146,8 +147,8 @@ def prior_assets(spark, sf_dir):
     """Keys of two earlier sets that the source confirms, with the sizes that they must have."""
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "strong")
     a, b = d.where("id % 4 = 0"), d.where("id % 6 = 0")
-    keys, counts = locks.prior_assets(d, {"first": a, "second": b}, {"first": a.count(), "second": b.count()}, "strong")
-    return counts.unionByName(keys.agg(F.lit("all").alias("asset"), F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("n_groups")))
+    every, counts = locks.prior_assets(d, {"first": a, "second": b}, {"first": a.count(), "second": b.count()}, "strong")
+    return counts.unionByName(every.agg(F.lit("all").alias("asset"), F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("n_groups")))
 
 
 def partition_violations(spark, sf_dir):
@@ -157,6 +158,23 @@ def partition_violations(spark, sf_dir):
     return found(d, {"train": 1, "dev": 2, "test": 3, "other": 0})
 
 
+def overlap_entity_sensitivity(spark, sf_dir):
+    """Entity F1 over training utterances, and over those whose key no held-out one has, from one reading of the outputs."""
+    u = utterances(spark, sf_dir).select("id", "part", F.sha2(keys.key_strong(F.col("utt")), 256).alias("h"))
+    seen = u.where("part <> 'train'").select("h", F.lit(True).alias("seen")).distinct()
+    flags = u.where("part = 'train'").join(seen, "h", "left").select("id", F.coalesce("seen", F.lit(False)).alias("seen"))
+    cells = metrics.entity_cells(entities.rows(spark, sf_dir).join(flags, "id"), F.col("seen"))
+    full, free = (metrics.prf_of_cells(c).select(F.col("micro_f1").alias(n)) for c, n in ((cells, "full_f1"), (cells.where("not seen"), "disjoint_f1")))
+    both = full.crossJoin(free)  # one row each
+    return both.select(F.round("full_f1", 9).alias("full_f1"), F.round("disjoint_f1", 9).alias("disjoint_f1"), F.round(F.col("disjoint_f1") - F.col("full_f1"), 9).alias("delta"))
+
+
+def chat_splits(spark, sf_dir):
+    from millrace.operators import tree
+
+    return tree.chat_splits(trees.sft_chains(spark, sf_dir), "message_id", "42", 40, 10, strict=False).select("message_id", "split", "ord")
+
+
 _SPOIL = f"{H('spoil', 'doc_id')} % 40"
 ALIGN = f"""WITH {DOCS}, {predictions_sql()}, gold AS (SELECT doc_id::VARCHAR AS id, sha256(strong) AS g FROM docs),
 rec AS (SELECT mark || doc_id AS id, CASE h WHEN 3 THEN repeat('0', 64) WHEN 4 THEN NULL ELSE sha256(strong) END AS g, CASE h WHEN 5 THEN 'f' ELSE 'e' END AS f, CASE h WHEN 6 THEN NULL ELSE raw_output END AS raw
@@ -180,6 +198,15 @@ QUERIES = {
     "entity_macro": (entity_macro, f"SELECT round(avg(coalesce(f1, 0)), 9) AS macro_f1, count(*) AS n_types FROM ({entities.QUERIES['entity_prf_by_type'][1]})"),
     "eligible_confidence": (eligible_confidence, f"WITH {entities.PARSED} SELECT id, CASE WHEN error IS NULL AND len(pred) > 0 THEN -length(raw_output)::DOUBLE END AS mean_logprob FROM parsed"),
     "hybrid_replacements": (hybrid_replacements, f"WITH {entities.PARSED} SELECT count(*) AS n, count(*) FILTER (error IS NULL AND len(pred) > 0 AND {H('lp', 'id')} % 20 <= 8) AS n_replaced FROM parsed"),
+    "overlap_entity_sensitivity": (
+        overlap_entity_sensitivity,
+        f"{entities.ENT}, kk AS (SELECT id, part, regexp_replace({FOLD.replace('text', 'utt')}, '[\\s\\p{{Z}}\\p{{P}}]', '', 'g') AS strong FROM utts), tr AS (SELECT id, strong IN (SELECT strong FROM kk WHERE part <> 'train') AS seen FROM kk WHERE part = 'train') "
+        f"SELECT round(a.micro_f1, 9) AS full_f1, round(b.micro_f1, 9) AS disjoint_f1, round(b.micro_f1 - a.micro_f1, 9) AS delta FROM ({entities.PRF.format(where='WHERE id IN (SELECT id FROM tr)')}) a CROSS JOIN ({entities.PRF.format(where='WHERE id IN (SELECT id FROM tr WHERE NOT seen)')}) b",
+    ),
+    "chat_splits": (
+        chat_splits,
+        f"SELECT message_id, CASE WHEN ord <= 40 THEN 'train' ELSE 'held_out' END AS split, ord FROM (SELECT message_id, row_number() OVER (ORDER BY sha256('42|' || message_id), message_id) AS ord FROM ({trees.QUERIES['sft_chains'][1]})) WHERE ord <= 50",
+    ),
     "position_join": (position_join, "SELECT doc_id AS ord, lang, upper(lang) AS right_code FROM documents"),
     "order_mismatch": (order_mismatch, "SELECT doc_id AS pos, doc_id % 17 = 0 AS absent FROM documents WHERE doc_id % 17 = 0 OR doc_id % 13 = 0"),
     "hex_digests": (hex_digests, "SELECT doc_id, doc_id % 7 > 2 AS lower_hex, doc_id % 7 > 2 OR doc_id % 7 = 0 AS any_hex FROM documents"),

@@ -1,5 +1,7 @@
 """Listings and fingerprints of files, and the rules for a release tree."""
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,13 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))  # files under 2 GB; locks.file_sha256 for others
 
 
-def directory_fingerprint(spark: SparkSession, path: str, scope: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """One row: map of 'scope/name' to digest for the files right in a folder. A required name that is absent raises."""
+def directory_fingerprint(spark: SparkSession, path: str, scope: str, required: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """One row: map of 'scope/name' to digest for the files right in a folder. A required name that is absent raises, and if
+    ``exact`` one that isn't required."""
     files = fingerprint(spark, path).select(F.concat(F.lit(scope + "/"), F.substring_index("path", "/", -1)).alias("name"), "sha256")
     one = files.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("digests"))
     need = F.array(*[F.lit(f"{scope}/{n}") for n in required]) if required else F.expr("cast(array() as array<string>)")
-    ok = F.forall(need, lambda n: F.map_contains_key("digests", n))
+    ok = F.forall(need, lambda n: F.map_contains_key("digests", n)) & (F.lit(not exact) | (F.size("digests") == len(required)))
     return one.select(guarded(ok, F.col("digests"), "a required file is missing").alias("digests"))
 
 
@@ -65,3 +68,18 @@ def release_tree_check(files: DataFrame) -> DataFrame:
     blocked = blocked | (name == ".env") | (name.startswith("reports/") & name.endswith(".jsonl"))
     found = F.array_compact(F.array(F.when(blocked, "forbidden path"), F.when(F.col("length") > MOST_BYTES, "file over 1 MiB")))
     return files.select("relative", F.explode(found).alias("violation"))
+
+
+def release_tree_violations(spark: SparkSession, root: str) -> DataFrame:
+    """(relative, violation) of a whole tree: paths, sizes, and the keys of its JSON reports."""
+    files = listing(spark, root)
+    reports = files.where("relative like 'reports/%.json'").select("relative", F.substring_index("relative", "/", -1).alias("_n"))
+    found = report_violations(spark, f"{root.rstrip('/')}/reports/*.json") if reports.take(1) else None
+    out = release_tree_check(files)
+    return out if found is None else out.unionByName(found.select(F.concat(F.lit("reports/"), F.substring_index("path", "/", -1)).alias("relative"), "violation"))
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame:
+    """(relative) of the files of a working copy that git tracks or would add."""
+    out = subprocess.run(["git", "-C", root, "ls-files", "-co", "--exclude-standard", "-z"], capture_output=True, check=True).stdout
+    return spark.createDataFrame([(x,) for x in sorted(set(out.decode("utf-8").split("\0")) - {""})], "relative string")
