@@ -55,6 +55,8 @@ WORD = 32
 BATCHES = 8
 SHARD = 1 << 19
 HOT = 1 << 14
+#: Texts that a task knows by their digest, and entries that it knows, before it forgets them.
+SEEN, GIVEN = 1 << 16, 1 << 20
 _BUFFER = 1 << 21
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -131,7 +133,7 @@ def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
 
 def _anchor_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     seen: set[bytes] = set()  # of this batch of rows: copies close together are left out at once
-    given: dict[int, int] = {}  # entries by (word, ctx) that this task has given to the family: two tell all
+    given: dict[int, int] = {}  # entries by (word, ctx) that this task has given to the family: two of different owners tell all
     for batch in batches:
         texts, digests, held = [], [], 0
         for text in batch["text"]:
@@ -147,9 +149,11 @@ def _anchor_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
                 texts, digests, held = [], [], 0
         if texts:
             yield _frame(texts, digests, least, given)
-        if len(seen) > 1 << 16:
+        if len(seen) > SEEN:
+            # a copy of a text that is forgotten gives the same owners again, so what they have given is forgotten too
             seen.clear()
-        if len(given) > 1 << 20:
+            given.clear()
+        if len(given) > GIVEN:
             given.clear()
 
 

@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -255,6 +256,24 @@ def test_op7(spark, tmp_path, monkeypatch, sizes):
     assert merges and max(merges) >= 4  # levels that the registered query has merged
 
 
+def test_copies_that_a_task_has_forgotten_leave_other_owners_room(monkeypatch):
+    """A text that is read again gives the same owners; a passage of it in another text is still known by two."""
+    monkeypatch.setattr(substrings, "SEEN", 0)
+    draw = random.Random(5)
+    said = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = said(1500)
+    one, two = said(300) + passage, said(250) + passage + said(100)
+    frames = list(substrings._anchor_rows(iter(pd.DataFrame({"text": [x]}) for x in (one, one, one, two)), 200))
+    owners, given = {}, {}
+    for f in frames:
+        for r in f.itertuples():
+            owners.setdefault((r.key, r.ctx), set()).add((r.digest, r.at))
+            if r.word is not None:
+                given.setdefault((r.key, r.ctx), set()).add((r.digest, r.at))
+    both = [x for x, own in owners.items() if len(own) > 1]
+    assert len(both) > 5 and all(len(given[x]) > 1 for x in both)
+
+
 def test_suffix_family_is_sorted_and_geometric():
     draw = np.random.default_rng(4)
     family, seen = substrings.SuffixFamily(), {}
