@@ -90,11 +90,12 @@ WITH parts AS (
 ), counted AS (
   SELECT source, line, count(*) AS n FROM lines GROUP BY ALL
 ), boiler AS (
-  SELECT source, list(line) AS gone FROM counted JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) USING (source)
-  WHERE n >= 8 AND n > 0.08 * pages GROUP BY source
+  SELECT c.source, list(line) AS gone FROM counted c
+  JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) s ON c.source IS NOT DISTINCT FROM s.source
+  WHERE n >= 8 AND n > 0.08 * pages GROUP BY c.source
 ), kept AS (
   SELECT p.*, list_filter(p.lines, lambda x: trim(x, E' \t\n\x0b\x0c\r') = '' OR NOT list_contains(coalesce(gone, []), trim(x, E' \t\n\x0b\x0c\r'))) AS rest
-  FROM parts p LEFT JOIN boiler b USING (source)
+  FROM parts p LEFT JOIN boiler b ON p.source IS NOT DISTINCT FROM b.source
 ), done AS (
   SELECT doc_id, text, CASE WHEN len(list_filter(rest, lambda x: trim(x, E' \t\n\x0b\x0c\r') <> '')) = 0 THEN text ELSE array_to_string(rest, chr(10)) END AS new_text FROM kept
 )

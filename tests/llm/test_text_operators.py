@@ -3,11 +3,12 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, langid, lines, packing, secrets, simhash
+from millrace.llm import bpe, chat, langid, lines, packing, registry, secrets, simhash
 from millrace.llm.common import Scratch, connected_components, local_components
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -166,6 +167,17 @@ def test_lines(spark, docs, empty, broadcast):
     assert lines.drop_boilerplate(empty, broadcast_lines=broadcast).count() == 0
 
 
+def test_lines_of_no_host_as_in_sql(spark, tmp_path):
+    rows = [(i, f"menu\nbody {i}\nend{i % 3}\r", "host" if i % 2 else None) for i in range(60)] + [(100, "menu", None), (101, None, None), (102, "", "host"), (0, "menu\nagain", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"select doc_id, n_before, n_after, text_sha256 from ({registry.ORACLES['op6_line_dedup']})").fetchall()
+    assert sorted((r.doc_id, r.n_before, r.n_after, r.text_sha256) for r in got) == sorted(want)
+    assert any(r.n_after < r.n_before for r in got if r.doc_id in range(2, 60, 2))
+
+
 def test_simhash(spark, docs, empty):
     draw = random.Random(5)
     base = [f"w{draw.randint(0, 400)}" for _ in range(200)]
