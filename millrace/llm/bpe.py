@@ -18,7 +18,8 @@ A text of one chunk is its own piece and is encoded where it is read, without a
 
 Defined cases: null text counts as empty: no ids. Rows with equal doc_id and text are one
 document while they are chunked and come back as often as they were there. Extra columns are
-ignored. Very long texts are what the chunks are for; an empty table gives no rows. Lone surrogates can't occur in Spark strings.
+ignored. Very long texts are what the chunks are for; where white space goes on for ``SPACE`` code points, which overflows tiktoken's
+matcher, a piece's matches are encoded one by one, to the same ids; an empty table gives no rows. Lone surrogates can't occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 11
 #: A match that ends nearer to a chunk's end than this might be another one in the whole text.
 _MARGIN = 8
+#: White space at a stretch that is left to tiktoken's matcher at most: its stack overflows at a million code points.
+SPACE = 1 << 19
 
 
 @cache
@@ -68,6 +71,18 @@ def _matcher(pattern: str):
     return regex.compile(pattern)
 
 
+def long_space(text: str) -> bool:
+    """Whether ``SPACE`` or more code points of white space follow each other."""
+    return len(text) >= SPACE and any(m.end() - m.start() >= SPACE for m in _matcher(r"\s+").finditer(text))
+
+
+def encode_text(text: str, path: str, pattern: str) -> list[int]:
+    if not long_space(text):
+        return encoder(path, pattern).encode_ordinary(text)
+    one = encoder(path, r"(?s:.+)").encode_ordinary  # takes all it gets as one match
+    return [i for m in _matcher(pattern).finditer(text) for i in one(m[0])]
+
+
 def safe_boundaries(text: str, pattern: str, first: int, last: int, closed: bool) -> list[int]:
     """Ends of the matches in [first, last] at which a piece may end, for a chain from 0.
 
@@ -168,13 +183,12 @@ def split_pieces(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVE
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, texts: str = "text") -> Iterator[pa.RecordBatch]:
     """Replaces the column of texts by their ids (list<int32>)."""
-    encode = encoder(path, pattern).encode_ordinary
     for batch in batches:
         at = batch.schema.get_field_index(texts)
         names = [x for x in batch.schema.names if x != texts]
         for some in range(0, batch.num_rows, 128):
             part = batch.slice(some, 128)
-            ids = [np.array(encode(x) if x else [], dtype=np.int32) for x in part.column(at).to_pylist()]
+            ids = [np.array(encode_text(x, path, pattern) if x else [], dtype=np.int32) for x in part.column(at).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), lists], [*names, "ids"])

@@ -12,7 +12,8 @@ again after a loss gives the same numbers.
 
 Ids are those of the library tokenizers for the given file with its default settings: strings
 of special tokens in a text become those tokens. For a file whose merges are in the order of
-its ids, which is checked as it is loaded, tiktoken gives the same ids four times as fast and is used.
+its ids, which is checked as it is loaded, tiktoken gives the same ids four times as fast and is used, but for texts with
+so much white space at a stretch that its matcher would overflow.
 
 Defined cases: null text is empty and packs its end id alone; repeated rows are packed again,
 each under its own sequences; extra columns are ignored.
@@ -30,6 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import long_space
 from .common import table
 
 LENGTH = 1024
@@ -46,6 +48,14 @@ def _byte_of() -> dict[str, int]:
 @cache
 def _encode(path: str, pattern: str):
     """Text to ids for a byte-level tokenizers file."""
+
+    @cache
+    def tokenizer():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    slow = lambda text: tokenizer().encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     vocab, special = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
@@ -56,11 +66,8 @@ def _encode(path: str, pattern: str):
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode(text, allowed_special="all")
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow(text) if long_space(text) else fast.encode(text, allowed_special="all")
+    return slow
 
 
 def decompose(n: int, length: int = LENGTH) -> list[int]:

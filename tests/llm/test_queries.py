@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, chat, langid, neardup_vectors, registry, simhash, substrings
+from millrace.llm import ann, bpe, chat, langid, neardup_vectors, packing, registry, simhash, substrings
 from millrace.llm.common import Scratch
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -130,6 +130,28 @@ def test_op4(spark, table, long_table):
         assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run(spark, "op4_byte_bpe", folder)) == want(texts)
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "é one  two\n\n" + "\n" * 1_100_000 + "x <|endoftext|>  y", "q" + " \t" * 600_000])
+def test_white_space_that_overflows_the_matcher(text):
+    """A million and more code points of white space, against the tokenizer of the JSON file and by parts."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    assert packing._encode(JSON, PATTERN)(text) == plain.encode(text, add_special_tokens=False).ids
+    ids = [i for piece in bpe.split_pieces(text, PATTERN) for i in bpe.encode_text(piece, TIK, PATTERN)]
+    words = text.replace("<|endoftext|>", "end")
+    assert ids == bpe.encode_text(text, TIK, PATTERN) and b"".join(bpe._token_bytes(TIK)[i] for i in ids).decode() == text
+    assert packing._encode(JSON, PATTERN)(words) == plain.encode(words, add_special_tokens=False).ids
+
+
+def test_one_match_at_a_time_gives_the_same_ids(monkeypatch):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(["a", "word", "'ll", " ", "  ", "\n", "é1", "?!", "漢", "\x1c", "\u3000", "<|endoftext|>"]) for _ in range(60)) + "   end" for _ in range(60)]
+    want = [bpe.encode_text(x, TIK, PATTERN) for x in texts], [packing._encode(JSON, PATTERN)(x) for x in texts]
+    monkeypatch.setattr(bpe, "SPACE", 2)
+    assert all(map(bpe.long_space, texts)) and not bpe.long_space("a b\nc")
+    assert ([bpe.encode_text(x, TIK, PATTERN) for x in texts], [packing._encode(JSON, PATTERN)(x) for x in texts]) == want
+
+
 def test_chains_are_taken_up_again_behind_a_long_run():
     pieces = bpe.split_pieces(LONG, PATTERN)
     assert "".join(pieces) == LONG and max(map(len, pieces)) <= 2 * (bpe.CHUNK + bpe.OVERLAP)
