@@ -51,10 +51,15 @@ class Scratch:
         for path in list(self._live):
             self._delete(path)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def folder(self) -> str:
+        """A path that is free to be written to, removed as a table is."""
         path = f"{self.root}/{self._n}"
         self._n += 1
         self._live[path] = None
+        return path
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

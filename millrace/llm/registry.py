@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ann, bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings
+from . import ann, bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_nn_descent": ann.op1_nn_descent,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
     "op10_embedding_near_dedup": neardup_vectors.op10_embedding_near_dedup,
+    "op11_warc": warc.op11_warc,
 }
 ORACLES = {
     "op6_line_dedup": lines.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,
+    "op11_warc": warc.OP11_SQL,
 }
