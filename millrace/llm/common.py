@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,26 @@ def whole_groups(work: Callable[[pd.DataFrame], pd.DataFrame], key: str) -> Call
     return run
 
 
+def tables_by(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.Table]:
+    """For ``mapInArrow`` over rows that lie together by two columns: the rows of each pair of values as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy() for c in (first, second)]
+        edges = (np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1).tolist()
+        for low, high in zip([0, *edges], [*edges, batch.num_rows]):
+            key = (batch.column(first)[low].as_py(), batch.column(second)[low].as_py())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable by the links a[i]-b[i], for each of n nodes."""
     root = np.arange(n)

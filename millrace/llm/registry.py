@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ann, bpe, chat, langid, lines, neardup_vectors, packing, secrets, simhash, substrings, warc
+from . import ann, bpe, chat, langid, lines, merkle, neardup_vectors, packing, secrets, simhash, substrings, trie, warc
 
 QUERIES = {
     "op1_nn_descent": ann.op1_nn_descent,
@@ -14,10 +14,14 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_embedding_near_dedup": neardup_vectors.op10_embedding_near_dedup,
     "op11_warc": warc.op11_warc,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op6_line_dedup": lines.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_embedding_near_dedup": neardup_vectors.OP10_SQL,
     "op11_warc": warc.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }

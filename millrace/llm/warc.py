@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tables_by
 
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Where archives are cut. No prefix of it ends as it begins, so a search that goes on after a mismatch misses nothing.
@@ -113,28 +113,6 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (file, block), which lie together, as a table."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        file = batch.column("file").dictionary_encode()
-        file = file.indices.to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero((block[1:] != block[:-1]) | (file[1:] != file[:-1])) + 1
-        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-            key = (batch.column("file")[low].as_py(), batch.column("block")[low].as_py())
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _numbers(part: pa.Table, name: str, null: int = 0) -> np.ndarray:
     return part.column(name).fill_null(null).to_numpy()
 
@@ -159,7 +137,7 @@ LINKS = "file string, block long, size long, span long, start long, succ long, l
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each candidate its successor, and ``leaves``: where its chain leaves the range (-1: nowhere)."""
-    for part in _by_range(batches):
+    for part in tables_by(batches, "file", "block"):
         _, start = _positions(part)
         first = np.zeros(len(start), bool)
         first[0] = part.column("block")[0].as_py() == 0
@@ -179,7 +157,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _on_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidates of each range that lie on the chain from its entry."""
-    for part in _by_range(batches):
+    for part in tables_by(batches, "file", "block"):
         to = _followers(_numbers(part, "start"), _numbers(part, "succ")).tolist()
         at, keep = int(np.searchsorted(_numbers(part, "start"), part.column("entry")[0].as_py())), []
         while at >= 0:
@@ -189,7 +167,7 @@ def _on_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _by_range(batches):
+    for part in tables_by(batches, "file", "block"):
         _, start = _positions(part)
         yield from pa.table({"file": part.column("file"), "block": part.column("block"), "start": pa.array(start), "value": part.column("value")}).to_batches(max_chunksize=100)
 
