@@ -15,11 +15,12 @@ Groups travel by the hash of their key; the texts of a group meet nowhere but in
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import hash_rank
 from millrace.functions.spans import TARGET_TYPES
+from millrace.tables import numbered
 
 from . import checks, datasets, groups, sampling
 
@@ -102,8 +103,8 @@ def draw(study: DataFrame, plan: Plan, held_only: DataFrame | None = None) -> Da
             c = c.join(held_only.select("key", F.lit(True).alias("_held")).distinct(), "key", "left").where("_held is null or split = 'train'").drop("_held")
         parts.append(sampling.quota_sample(c.withColumn("rank", plan.rank("split", "bucket", "key")), plan.steps).select("split", "bucket", "key"))
     drawn = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    order = Window.partitionBy("split").orderBy(plan.rank("split", F.lit(plan.order), "key"), "key")  # as many rows as the plan takes
-    return drawn.withColumn("ord", F.row_number().over(order).cast("long"))
+    ranked = drawn.withColumn("_rank", plan.rank("split", F.lit(plan.order), "key"))
+    return numbered(ranked, ["split"], ["_rank", "key"], "ord", sum(plan.sizes().values())).drop("_rank")
 
 
 def shortfalls(drawn: DataFrame, plan: Plan) -> DataFrame:

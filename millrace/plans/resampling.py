@@ -58,8 +58,7 @@ def bootstrap_macro_delta(spark, sf_dir):
     """Macro-F1 and accuracy of the second system minus the first, resampled within each class."""
     a = normalised(spark, sf_dir, "pred").select("doc_id", "gold", F.col("prediction").alias("p1"))
     b = normalised(spark, sf_dir, "pred2").select("doc_id", F.col("prediction").alias("p2"))
-    d = stats.stratified_draws(a.join(b, "doc_id"), "gold", "doc_id", DRAWS, SEED)
-    cells = d.groupBy("draw", "gold", "p1", "p2").agg(F.count(F.lit(1)).alias("n"))
+    cells = stats.stratified_draws(a.join(b, "doc_id"), "gold", "doc_id", DRAWS, SEED).withColumnRenamed("picks", "n")
     out = None
     for s in ("p1", "p2"):
         own = cells.groupBy("draw", "gold").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col(s), F.col("n")).otherwise(0)).alias("tp"))

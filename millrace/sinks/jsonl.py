@@ -4,8 +4,6 @@ import csv
 import io
 import json
 import os
-import tempfile
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.spans import parse_outputs
 from millrace.operators.checks import guarded
 from millrace.sources.files import ROW_LEVEL_KEYS
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from millrace.tables import scratch_path
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
