@@ -30,12 +30,13 @@ def _sortable(value: Column, kind: T.DataType) -> Column:
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
     """(_group, n, vals): for each group the number of its values that aren't null, and the values at the places ``ranks(n)`` (from 0).
 
-    Integers and doubles; other numbers are taken as doubles. Takes two passes over the column where the wanted bins of
-    the first are small, five at most."""
+    Integers and doubles; other numbers are taken as doubles. Counts the values first; few take one more pass, many two where
+    the wanted bins of the first are small, and four at most."""
     kind = df.schema[value].dataType
     v = F.col(value) if isinstance(kind, T.IntegralType) else F.col(value).cast("double") + F.lit(0.0)  # one zero
     keyed = df.where(F.col(value).isNotNull()).select(group_of(group).alias("_g"), v.alias("_v")).withColumn("_k", _sortable(F.col("_v"), kind))
-    places, wanted, by, last, shift = None, None, ["_g"], 64, 64 - BITS
+    places, wanted, by, last = None, None, ["_g"], 64
+    shift = 64 - BITS if keyed.count() > SMALL else 0
     while True:
         rows = keyed if places is None else keyed.withColumn("_bin", F.shiftright("_k", last)).join(wanted, ["_g", "_bin"])
         bins = rows.groupBy(*by, F.shiftright("_k", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
@@ -126,9 +127,12 @@ def _picks(rows: DataFrame, strata: Sequence[str], columns: Sequence[str], draws
     ``rows`` is a written table. Rows that agree in all columns are of one kind. The kind of each place (by hash, which is checked
     to tell kinds apart) is broadcast in chunks, so a pick becomes a row where it is drawn and what is summed
     of it crosses the shuffle once a task. With more rows or kinds than can be broadcast, picks are joined by place."""
-    slots = rows.select(group_of(strata).alias("_s"), *strata, F.col("idx").alias("slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    keys = ["_s"] if strata else []
+    place = [group_of(strata).alias("_s")] if strata else []
+    spread = rows.repartition(max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism))
+    slots = spread.select(*place, *strata, F.col("idx").alias("slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", *strata, "slot")), 1, 8), 16, 10).cast("bigint")
-    picks = slots.select("_s", "draw", (hashed % F.col("size")).alias("idx"))
+    picks = slots.select(*keys, "draw", (hashed % F.col("size")).alias("idx"))
     kind = F.xxhash64(*strata, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
     seen = [*strata, *columns]
     kinds = rows.groupBy(*seen).agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", kind).drop("_n")
@@ -136,10 +140,10 @@ def _picks(rows: DataFrame, strata: Sequence[str], columns: Sequence[str], draws
     if n <= MAP_SIDE and k <= KINDS and k == distinct:
         at = F.floor(F.col("idx") / CHUNK)
         own = F.transform(F.sort_array(F.collect_list(F.struct("idx", "_kind"))), lambda x: x["_kind"])
-        chunks = rows.select(group_of(strata).alias("_s"), "idx", kind.alias("_kind")).groupBy("_s", at.alias("_chunk")).agg(own.alias("_kinds"))
-        found = picks.withColumn("_chunk", at).join(F.broadcast(chunks), ["_s", "_chunk"]).select("draw", F.element_at("_kinds", (F.col("idx") % CHUNK + 1).cast("int")).alias("_kind"))
+        chunks = rows.select(*place, "idx", kind.alias("_kind")).groupBy(*keys, at.alias("_chunk")).agg(own.alias("_kinds"))
+        found = picks.withColumn("_chunk", at).join(F.broadcast(chunks), [*keys, "_chunk"]).select("draw", F.element_at("_kinds", (F.col("idx") % CHUNK + 1).cast("int")).alias("_kind"))
         return found.join(F.broadcast(kinds), "_kind").select("draw", *seen)
-    return picks.join(rows.select(group_of(strata).alias("_s"), "idx", *seen), ["_s", "idx"]).select("draw", *seen)
+    return picks.join(rows.select(*place, "idx", *seen), [*keys, "idx"]).select("draw", *seen)
 
 
 def cluster_draws(clusters: DataFrame, sums: Sequence[str], draws: int, seed: str, key: str = "cluster") -> DataFrame:
