@@ -59,10 +59,22 @@ BASE = (
 )
 #: Characters of a private key's body at most, between its two marks.
 _BODY = 16_384
-#: Spans besides the base ones. A private key is its marks and all between them; where the end mark is missing, the lines of
-#: base64 behind the first mark belong to it.
+#: What stands around the lines of a key that is quoted in a mail, a source string or a comment: white space and escapes of it,
+#: quotes, marks of quoting, and a plus that joins strings.
+_AROUND = r"""(?:[\s"'`>|#*,;()]|\\[nrt]|\\|\+(?=[\s"'`]))*"""
+_HEADER = r"""(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID|Key-Type|X-[A-Za-z-]+): ?[^\n\r\\"'`]*"""
+_MARK = "[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+#: Spans besides the base ones. A private key is its marks and all between them. Where the end mark is missing, its header lines
+#: and its lines of base64 belong to it, up to a last one that is short and padded or holds a digit.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\:,.-]{0,%d}?-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\n)*[A-Za-z0-9+/=]{40,})*)" % _BODY, 0, 1),
+    Rule(
+        "private_key",
+        r"-----BEGIN " + _MARK
+        + r"""(?:(?:(?!-----BEGIN )[A-Za-z0-9+/=\s\\:,."'`>|#*;()_-]){0,%d}?-----END """ % _BODY + _MARK
+        + rf"|(?:{_AROUND}(?:{_HEADER}|[A-Za-z0-9+/]{{40,}}={{0,2}}))*(?:(?<=[A-Za-z0-9+/=]){_AROUND}(?<![A-Za-z0-9+/=])(?:=[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]+={{1,2}}|(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]{{4,39}})(?![A-Za-z0-9+/=]))?)",
+        0,
+        1,
+    ),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 RULES = BASE + MORE

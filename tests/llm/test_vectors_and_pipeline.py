@@ -133,6 +133,7 @@ def _plain_redacted(rows, _):
     import re
 
     from .test_queries import _base_spans
+    from .test_text_operators import plain_key_spans
 
     out = set()
     for r in rows:
@@ -144,7 +145,7 @@ def _plain_redacted(rows, _):
                 value = re.match(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", text[:b][_start(text, b) :], re.I | re.A)
                 a = _start(text, b) + value.end()
             holes.append((a, b))
-        holes += [m.span() for m in re.finditer(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", text)]
+        holes += plain_key_spans(text)
         holes += [m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", text)]
         gone = np.zeros(len(text), bool)
         for a, b in holes:
@@ -185,6 +186,17 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).where("start = 0").count() == len(rows) - 0
 
 
+def test_secret_stage_takes_whole_keys(spark, sf):
+    """Keys in all their forms, one text of two megabytes among them, through the stage and against the redactor by lines."""
+    from .test_text_operators import KEY_LINES, key_forms
+
+    texts = [f"words before\n{f}\n\nwords after" for f in key_forms().values()] + ["some words here\n" * 120_000 + key_forms()["mail"] + "\n\nlast words", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.secret_scan(spark, docs, sf).select("doc_id", "text").collect())
+    assert {(i, t.replace("[REDACTED]", "")) for i, t in got.items() if t} == _plain_redacted([r for r in docs.collect() if r.text], None) and (got[len(texts) - 2], got[len(texts) - 1]) == (None, "")
+    assert not any(x[16:50] in t for t in got.values() if t for x in KEY_LINES)
+
+
 def test_columns_that_clash(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     for name in ("_id", "_digest", "_stays", "_row", "_drop", "_host", "digest", "rejected", "spans", "ids"):
