@@ -217,6 +217,15 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return short.unionByName(_encode_long(long, path, pattern, chunk, overlap, id_type))
 
 
+def _cut(batches: Iterator[pd.DataFrame], chunk: int, overlap: int, at_once: int = 64) -> Iterator[pd.DataFrame]:
+    """The chunks of each text, each with the overlap behind it, ``at_once`` at a time."""
+    for batch in batches:
+        for key, n, text in zip(batch["key"], batch["n"], batch["text"]):
+            for low in range(0, n, at_once):
+                some = range(low, min(n, low + at_once))
+                yield pd.DataFrame({"key": key, "n": n, "k": some, "part": [text[i * chunk : (i + 1) * chunk + overlap] for i in some]})
+
+
 def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, id_type: str) -> DataFrame:
     """Chunks are dealt out by document and number. What meets by document are the boundaries in
     the overlaps, a few hundred numbers a chunk, and at the end the ids themselves."""
@@ -225,11 +234,8 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     scratch = Scratch(docs.sparkSession)
     rows = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     k = F.col("k")
-    chunks = (
-        keyed.select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-        .select("key", "n", "k", F.substring("text", k * chunk + 1, F.lit(chunk + overlap)).alias("part"))
-        .dropDuplicates(["key", "k"])  # copies of a document give equal chunks
-    )
+    # cut in one pass; copies of a document give equal chunks
+    chunks = keyed.select("key", "n", "text").mapInPandas(lambda b: _cut(b, chunk, overlap), "key string, n int, k int, part string").dropDuplicates(["key", "k"])
 
     @F.pandas_udf("struct<left:array<int>,right:array<int>>")
     def edges(part: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:

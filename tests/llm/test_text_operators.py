@@ -1,10 +1,13 @@
 """Operators on documents and conversations: contract cases against plain versions."""
 
 import random
+import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,84 @@ def test_secrets(spark, empty):
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()}[0] is None
 
 
+def plain_key_spans(text):
+    """Private keys by walking lines: from a mark to its end mark, else to the last line of headers or base64 behind it."""
+    out, at = [], 0
+    while (m := re.search(r"-----BEGIN [A-Z ]*PRIVATE KEY( BLOCK)?-----", text[at:])) is not None:
+        a, b = at + m.start(), at + m.end()
+        rest = text[b : text.find("-----BEGIN ", b) if "-----BEGIN " in text[b:] else len(text)]
+        end = re.search(r"-----END [A-Z ]*PRIVATE KEY( BLOCK)?-----", rest)
+        if end and end.start() <= 16_384:
+            b += end.end()
+        else:
+            done, whole = 0, False
+            for line in re.finditer(r"[^\n]+", rest.replace("\\n", "\n\n")):  # escapes become line ends, places stay
+                plain = re.sub(r"^[\s\"'>+]+|[\s\"'+;,]+$", "", line[0])
+                if not plain:
+                    continue
+                full = re.fullmatch(r"[A-Za-z0-9+/]{40,}={0,2}", plain)
+                short = whole and (re.fullmatch(r"[A-Za-z0-9+/]+={1,2}", plain) or re.fullmatch(r"(?=.*[0-9+/])[A-Za-z0-9+/]{4,39}", plain))
+                if full or short or re.match(r"(Proc-Type|DEK-Info|Version|Comment): ", plain):
+                    whole = bool(full) or whole
+                    done = line.start() + line[0].index(plain) + len(plain)
+                if not full and not re.match(r"(Proc-Type|DEK-Info|Version|Comment): ", plain):
+                    break
+            b += done
+        out.append((a, b))
+        at = b
+    return out
+
+
+KEY_LINES = ["MIIEowIBAAKCAQEA" + "aB3/+" * 9 + f"x{i}z" for i in range(9)]
+
+
+def key_forms():
+    """A key in the forms it travels in, with and without its end mark."""
+    begin, end, short = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Zz9abcd012"
+    lines = [*KEY_LINES, short]
+    source = f'"{begin}\\n" +\n' + " +\n".join(f'    "{x}\\n"' for x in lines)
+    mail = f"> {begin}\n" + "\n".join(f"> {x}" for x in lines)
+    sealed = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + "\n".join(lines)
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n" + "\n".join([*KEY_LINES, "abcd=="])
+    return {
+        "source": f'{source} +\n    "{end}"', "source without end": source, "mail": f"{mail}\n> {end}", "mail without end": mail, "sealed": f"{sealed}\n{end}", "sealed without end": sealed,
+        "pgp": f"{pgp}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----", "pgp without end": pgp, "one line": f"{begin}\\n" + "\\n".join(lines) + f"\\n{end}", "plain without end": "\n".join([begin, *lines]),
+    }
+
+
+@pytest.mark.parametrize("form", sorted(key_forms()))
+def test_whole_private_keys_go(form):
+    text = f"Before it, words.\n{key_forms()[form]}\n\nAnd then words that stay, 3 of them.\n-----BEGIN PRIVATE KEY-----, a mark alone, and words."
+    spans = plain_key_spans(text)
+    got = [(a, b) for kind, a, b in secrets.scan_texts([text])[0] if kind == "private_key"]
+    assert got == spans and len(spans) == 2
+    left = secrets.redact_text(text)
+    assert not any(x[16:50] in left for x in KEY_LINES) and "Zz9abcd012" not in left and "Proc-Type" not in left
+    assert "Before it, words." in left and "And then words that stay, 3 of them." in left and ", a mark alone, and words." in left
+
+
+@pytest.mark.parametrize("behind", ["a" * 2_000_000, "\n" * 1_000_000, " + " * 300_000 + "x", "\nComment: x" * 200_000, "\n-----BEGIN RSA PRIVATE KEY-----" * 20_000])
+def test_marks_without_keys_cost_no_more_than_their_length(behind):
+    began = time.time()
+    secrets.redact_text("-----BEGIN RSA PRIVATE KEY-----" + behind)
+    assert time.time() - began < 20
+
+
+def test_chunks_are_cut_in_one_pass():
+    """Each character is taken as often as the chunks that hold it; the parts together are the text."""
+    text = "é漢x" * 5000
+    parts = pd.concat(bpe._cut(iter([pd.DataFrame({"key": ["k"], "n": [15], "text": [text]})]), 1000, 30))
+    assert parts["k"].tolist() == list(range(15)) and "".join(p[:1000] for p in parts["part"]) == text
+    assert sum(map(len, parts["part"])) == len(text) + 14 * 30
+    took = []
+    for size in (16, 64):
+        long = pd.DataFrame({"key": ["k"], "n": [size * 32], "text": ["abcdefgh" * (size << 17)]})
+        began = time.time()
+        assert sum(len(x) for x in bpe._cut(iter([long]), 32_768, 1024)) == size * 32
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.5  # four times the text, where a quadratic cut takes sixteen times as long
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
