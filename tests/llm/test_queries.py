@@ -422,7 +422,7 @@ def _write_vectors(spark, folder, rows):
 
 def test_op1_recall_and_share(spark, tmp_path):
     shares = []
-    for n in (3000, 12_000):
+    for n in (2000, 12_000):
         v = _vectors(n, 24, 40, n)
         folder = _write_vectors(spark, tmp_path / str(n), list(enumerate(v)))
         got, looked = {}, []

@@ -93,7 +93,7 @@ def test_merkle(spark, tmp_path, monkeypatch, per_range, stride):
     assert {v for *_, v in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 3, 10])
+@pytest.mark.parametrize("n", [1, 10])
 def test_merkle_of_few(spark, tmp_path, n):
     rows = [(i, "only", "en", 1, f"text {i}\n") for i in range(n)]
     assert _op12(spark, _save(spark, tmp_path, rows)) == plain_merkle(rows)
@@ -178,13 +178,3 @@ def test_trie(spark, tmp_path, monkeypatch, fan):
     db = duckdb.connect()
     db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert found == sorted(db.sql(f"select {', '.join(names)} from ({registry.ORACLES['op13_prefix_trie']})").fetchall(), key=str)
-
-
-@pytest.mark.parametrize("name", ["op12_merkle", "op13_prefix_trie"])
-def test_driver_table(spark, sf, name):
-    got = registry.QUERIES[name](spark, sf)
-    columns = sorted(got.columns)
-    db = duckdb.connect()
-    for t in ("documents", "conversations"):
-        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(db.sql(f"select {', '.join(columns)} from ({registry.ORACLES[name]})").fetchall(), key=str)

@@ -96,7 +96,7 @@ def test_few_neighbours(spark):
 def test_sql_parity(spark, sf, name):
     got = registry.QUERIES[name](spark, sf).toPandas()
     db = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = db.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
