@@ -88,7 +88,7 @@ def _loss_and_gradient(block: tuple, w: np.ndarray, positive: np.ndarray, cost:
 
 
 def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float = 1e-4, most: int = 300, memory: int = 10) -> np.ndarray:
-    """Limited-memory BFGS with backtracking: until the gradient is ``tolerance`` of that at the start."""
+    """Limited-memory BFGS with backtracking: until the gradient is ``tolerance`` of that at the start. Mostly one pass a step."""
     x = start
     f, g = value(x)
     first = np.linalg.norm(g)
@@ -132,7 +132,8 @@ def fit_squared_hinge(rows: DataFrame, classes: int, terms: int, cost: float = 1
     if classes * (terms + 1) > MOST_WEIGHTS:
         raise ConstraintError(f"more than {MOST_WEIGHTS} weights")
     sc = rows.sparkSession.sparkContext
-    packed = written(rows.select("y", "idx", "val").mapInArrow(_packed, "y binary, ptr binary, idx binary, val binary"))
+    spread = rows.select("y", "idx", "val").repartition(max(rows.rdd.getNumPartitions(), sc.defaultParallelism))
+    packed = written(spread.mapInArrow(_packed, "y binary, ptr binary, idx binary, val binary"))
     kinds = (np.int32, np.int64, np.int32, np.float64)
     blocks = packed.rdd.map(lambda r: tuple(np.frombuffer(b, t) for b, t in zip(r, kinds))).persist(StorageLevel.MEMORY_AND_DISK)
     positive = np.ones(classes)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import bucket_hash
-from millrace.operators import fingerprints, gates, metrics, ml
+from millrace.operators import fingerprints, gates, linear, metrics, ml
 from millrace.sinks import jsonl as sink
 from millrace.sources import files, jsonl
 
@@ -201,11 +201,28 @@ VITERBI = """WITH RECURSIVE w AS (
 
 
 def linear_classifier_scores(spark, sf_dir):
-    """Language of the held-out documents by character n-grams of the whole text, trained on the training ones."""
-    d = documents(spark, sf_dir).select("doc_id", "part", "lang", ml.char_ngrams(F.col("text"), 1, 2).alias("grams"))
-    model = ml.fit_linear(d.where("part = 'train'"), "grams", "lang", 4096)
-    out = model.transform(d.where("part <> 'train'"))
-    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("_y")).alias("n_correct"))
+    """Language of the held-out documents by character n-grams of the whole text, machines trained on the training ones."""
+    d = documents(spark, sf_dir).select("doc_id", "part", "text", "lang")
+    model = linear.fit_text(d.where("part = 'train'"), "doc_id", "text", "lang", 1, 2, tolerance=1e-3)
+    held = d.where("part <> 'train' and lang is not null")
+    out = linear.score_text(held, "doc_id", "text", model).select("doc_id", F.col("label").alias("predicted")).join(held.select("doc_id", "lang"), "doc_id")
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("lang")).alias("n_correct"))
+
+
+def linear_scores(spark, sf_dir):
+    """Scores of the held-out documents from a weight table: the mean vectors of the training documents of each language."""
+    d = documents(spark, sf_dir).select("doc_id", "part", "text", "lang")
+    model = linear.fit_centroids(d.where("part = 'train'"), "doc_id", "text", "lang", 1, 2)
+    return linear.score_text(d.where("part <> 'train'"), "doc_id", "text", model).select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.label", F.round("s.score", 8).alias("score"))
+
+
+LINEAR = f"""WITH {DOCS}, g AS (SELECT doc_id, part, lang, unnest(string_split(text, '') || list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS term FROM docs WHERE text <> ''),
+t AS MATERIALIZED (SELECT doc_id, part, lang, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM docs WHERE part = 'train' AND lang IS NOT NULL),
+f AS MATERIALIZED (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t WHERE part = 'train' AND lang IS NOT NULL GROUP BY term HAVING count(*) >= 2),
+w AS MATERIALIZED (SELECT doc_id, part, lang, term, (1 + ln(tf)) * idf AS w, sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY doc_id)) AS len FROM t JOIN f USING (term)),
+sizes AS (SELECT lang AS label, count(*) AS k FROM docs WHERE part = 'train' AND lang IS NOT NULL GROUP BY 1), m AS MATERIALIZED (SELECT term, lang AS label, sum(w / len) / any_value(k) AS weight FROM w JOIN sizes ON label = lang WHERE part = 'train' GROUP BY ALL)
+SELECT doc_id, label, round(coalesce(score, 0), 8) AS score FROM (SELECT doc_id FROM docs WHERE part <> 'train') CROSS JOIN (SELECT label FROM sizes)
+LEFT JOIN (SELECT doc_id, label, sum(w * weight / len) AS score FROM w JOIN m USING (term) WHERE part <> 'train' GROUP BY ALL) USING (doc_id, label)"""
 
 
 QUERIES = {
@@ -226,4 +243,5 @@ QUERIES = {
     "tfidf_topk": (tfidf_topk, TFIDF),
     "viterbi_decode": (viterbi_decode, VITERBI),
     "linear_classifier_scores": (linear_classifier_scores, None),
+    "linear_scores": (linear_scores, LINEAR),
 }
