@@ -153,6 +153,20 @@ def scan_jsonl(spark, sf_dir):
     return jsonl.scan(spark, where, c.schema).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
 
 
+def scan_located(spark, sf_dir):
+    """Conversations as JSON lines, a seventh of them cut short, scanned with the file and line of each: bad lines by conversation and turn,
+    and whether the places are all lines of the files."""
+    where = sink.scratch_path(spark, "located")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    line = F.to_json(F.struct(*c.columns))
+    cut = bucket_hash("cut", F.concat_ws("-", "conv_id", "turn")) % 7 == 0
+    c.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.text(where)
+    got = jsonl.scan_located(spark, where, c.schema)
+    files_ = got.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad"), F.max("line").alias("last"), F.count_distinct("line").alias("places"), F.sum("line").alias("total"))
+    gapless = (F.col("last") == F.col("n")) & (F.col("places") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1))
+    return files_.agg(F.sum("n").alias("n_lines"), F.sum("bad").alias("n_errors"), F.bool_and(gapless).alias("gapless"))
+
+
 def release_tree_check(spark, sf_dir):
     """A listing of made-up paths, some of which must not be released."""
     d = table(spark, sf_dir, "documents")
@@ -239,6 +253,7 @@ QUERIES = {
     ),
     "ids_fingerprint": (ids_fingerprint, f"WITH {DOCS} SELECT part, sha256('[' || string_agg(doc_id, ',' ORDER BY doc_id) || ']') AS fingerprint FROM docs GROUP BY part"),
     "scan_jsonl": (scan_jsonl, "SELECT role, count(*) AS n, 0::BIGINT AS n_errors FROM conversations GROUP BY role"),
+    "scan_located": (scan_located, f"SELECT count(*) AS n_lines, count(*) FILTER ({H('cut', "conv_id || '-' || turn")} % 7 = 0) AS n_errors, true AS gapless FROM conversations"),
     "release_tree_check": (release_tree_check, TREE),
     "tfidf_topk": (tfidf_topk, TFIDF),
     "viterbi_decode": (viterbi_decode, VITERBI),

@@ -2,11 +2,12 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.checks import guarded
+from millrace.operators.checks import ConstraintError, guarded
+from millrace.tables import BROADCAST_ROWS, written
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -15,6 +16,34 @@ def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, blank ones too, whatever ranges a file is read in.
+
+    Lines are counted per range; a line's place in its range comes from the ids that Spark gives in the order of reading, and the
+    counts of the ranges before are added up. Texts are not shuffled."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select(*place, "value", F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ranges = written(ranges.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    joined = lines.join(F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges, ["file", "_block"])
+    return joined.select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
+
+
+def scan_located(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows with the file and line number of each and, for a line that isn't valid, the line itself in ``error``. Blank lines are skipped."""
+    wide = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "error"})
+    return numbered_lines(spark, path).where(~F.col("value").rlike(r"^\s*$")).select("file", "line", parsed.alias("_r")).select("_r.*", "file", "line")
+
+
+def require_valid(located: DataFrame) -> None:
+    """Raises if a scanned line isn't valid, and names the first ones by file and line."""
+    bad = located.where("error is not null").select("file", "line").orderBy("file", "line").limit(5).collect()
+    if bad:
+        raise ConstraintError("invalid lines: " + ", ".join(f"{r['file']}:{r['line']}" for r in bad))
+
+
 def scan_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows; a line that isn't valid raises when it is read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -28,8 +57,6 @@ def blank_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def with_order(df: DataFrame, *by: str) -> DataFrame:
     """Adds ``ord``, the row's place in the order of the columns, for joins by position. Only for tables bounded by a study's size."""
-    from pyspark.sql import Window
-
     return df.withColumn("ord", F.row_number().over(Window.orderBy(*by)).cast("long"))
 
 

@@ -274,3 +274,28 @@ def test_first_by_group_in_a_stream(spark, tmp_path):
     q = streaming.first_by_group(stream, "g", "at").writeStream.format("memory").queryName("first_rows").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.g, r.v) for r in spark.table("first_rows").collect()} == {("a", 1), ("b", 3)}
+
+
+@pytest.mark.parametrize("range_bytes", ["128m", "300"])
+def test_line_numbers(spark, tmp_path, range_bytes):
+    """Bad lines are named by file and line in files of several ranges, with blank lines, repeated lines and line ends of both kinds."""
+
+    lines = []
+    for i in range(120):
+        lines.append("" if i % 13 == 5 else '{"id":1,' if i % 17 == 3 else '{"id":7,"t":"same"}' if i % 3 else f'{{"id":{i},"t":"é{"x" * (i % 40)}"}}')
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("\r\n".join(lines[:40]), encoding="utf-8", newline="")
+    (tmp_path / "empty.jsonl").write_text("")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, range_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [(r.file.rsplit("/", 1)[1], r.line, r.error is not None, r.id) for r in jsonl.scan_located(spark, str(tmp_path), spark.createDataFrame([], "id long, t string").schema).collect()]
+        with pytest.raises(checks.ConstraintError, match=r"a\.jsonl:4, .*a\.jsonl:21"):
+            jsonl.require_valid(jsonl.scan_located(spark, str(tmp_path), spark.createDataFrame([], "id long, t string").schema))
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(f, i + 1, x == '{"id":1,', None if x == '{"id":1,' else 7 if "same" in x else i) for f, own in (("a.jsonl", lines), ("b.jsonl", lines[:40])) for i, x in enumerate(own) if x]
+    assert sorted((f, n, bad, None if bad else i) for f, n, bad, i in got) == sorted(want)
