@@ -49,7 +49,7 @@ SETTLED = 0.003
 TREES = 12
 #: Vectors that are compared with each other at the start, at most.
 SLICE = 256
-BEAM = 96
+BEAM = 256
 WIDE = 32
 #: Starts of a query that isn't in the index, and the vectors that they are chosen from.
 STARTS, PIVOTS = 32, 1024
