@@ -1,8 +1,9 @@
 """Annotated spans, BIO tags and model outputs.
 
 Schemas: a slot is struct<type, value>; a span has start and end too (code points, end exclusive).
-The strict parser and the span aligner are Arrow UDFs: no built-in JSON function tells the parser's
-seven errors apart.
+The span aligner is an Arrow UDF. The strict parser is made of expressions for all outputs whose grammar a
+regular expression can settle; what that leaves open (deeper nesting, escaped keys, numbers that aren't finite) goes to an
+Arrow UDF.
 """
 
 import json
@@ -79,8 +80,110 @@ def parse_output(raw: object, utterance: object) -> dict:
     return result(3, None, slots)
 
 
+@F.pandas_udf(PARSED)
+def _parse_rest(raw: pd.Series, utterance: pd.Series) -> pd.DataFrame:
+    """``parse_output`` of the rows that are given; the others are null and stay so."""
+    given = raw.notna().to_numpy() & utterance.notna().to_numpy()
+    parsed = iter([parse_output(a, b) for a, b in zip(raw[given], utterance[given])])
+    return pd.DataFrame([next(parsed) if g else dict.fromkeys(PARSED.names) for g in given], columns=PARSED.names)
+
+
+# The grammar of JSON as possessive patterns, which neither backtrack nor recurse. A string of ``_TEXT`` holds no escaped surrogates,
+# ``_NAME`` no escapes at all, ``_ANY_TEXT`` is any string.
+_W = r"[ \t\n\r]*+"
+_PLAIN = r'[^"\\\x00-\x1f]*+'
+_NAME = f'"{_PLAIN}"'
+_ESCAPED = rf'"{_PLAIN}(?:\\(?:["\\/bfnrt]|u%s[0-9a-fA-F]{{4}}){_PLAIN})*+"'
+_TEXT, _ANY_TEXT = _ESCAPED % "(?![dD][89a-fA-F])", _ESCAPED % ""
+_NUMBER = r"-?+(?:0|[1-9][0-9]{0,300}+)(?:\.[0-9]{1,300}+)?+(?:[eE][+-]?+[0-9]{1,300}+)?+"
+_SCALAR = f"(?:{_TEXT}|{_NUMBER}|true|false|null)"
+_MEMBER = f"{_NAME}{_W}:{_W}{_SCALAR}"
+
+
+def _listed(item: str, begin: str, end: str) -> str:
+    return rf"\{begin}{_W}(?:{item}{_W}(?:,{_W}{item}{_W})*+)?+\{end}"
+
+
+_FLAT = _listed(_MEMBER, "{", "}")
+_LIST = _listed(f"(?:{_SCALAR}|{_FLAT})", "[", "]")
+_WIDE_MEMBER = f"({_NAME}){_W}:{_W}(?:{_SCALAR}|{_FLAT}|{_LIST})"
+_SLOT_LIST = rf'\A{_W}\{{{_W}"slots"{_W}:{_W}{_listed(_FLAT, "[", "]")}{_W}\}}{_W}\z'
+_ONLY_SLOTS = rf'\A{_W}\{{{_W}"slots"{_W}:{_W}{_LIST}{_W}\}}{_W}\z'
+_OTHER = rf"\A{_W}(?:{_SCALAR}|{_LIST}|{_listed(_WIDE_MEMBER, '{', '}')}){_W}\z"
+#: Characters of JSON outside its strings, and what can't stand there side by side.
+_NOT_JSON = r"[^ \t\n\r{}\[\]:,0-9+\-.eEtrufalsnNIiy]|[,:][ \t\n\r]*+(?:[}\],:]|\z)|[\[{][ \t\n\r]*+[,:]|\A[ \t\n\r]*+\z"
+#: White space as Python's ``str.strip`` takes it.
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]*+"
+_BLANK = rf"\A{_SPACES}\z"
+#: A slot as it should be, and a list of such.
+_GOOD_SLOT = rf'\{{{_W}"type"{_W}:{_W}"({"|".join(TARGET_TYPES)})"{_W},{_W}"value"{_W}:{_W}"(?!{_SPACES}")({_PLAIN})"{_W}\}}'
+_GOOD_SLOTS = rf'\A{_W}\{{{_W}"slots"{_W}:{_W}{_listed(_GOOD_SLOT, "[", "]")}{_W}\}}{_W}\z'
+#: Longer outputs are left to Python, whose limits of depth and digits they may meet.
+_LONGEST = 1_000_000
+
+
+def _settled(raw: Column, utterance: Column) -> Column:
+    """``parse_output`` by expressions; null where they can't tell."""
+    extract = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    result = lambda passed, error, slots=None: F.struct(
+        (F.lit(None).cast(SLOTS) if slots is None else slots).alias("slots"),
+        *[F.lit(i < passed).alias(s) for i, s in enumerate(("json_valid", "schema_valid", "copy_valid"))],
+        F.lit(error).cast("string").alias("error"),
+    )
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (evaluates value once)
+    repeats = lambda names: F.size(F.array_distinct(names)) < F.size(names)
+    names = lambda flat: extract(flat, f"({_NAME}){_W}:{_W}{_SCALAR}", 1)
+    flats = extract(raw, _FLAT, 0)
+
+    bare = F.regexp_replace(raw, F.lit(_ANY_TEXT), F.lit("0"))
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark)))
+    broken = lambda b: b.rlike(_NOT_JSON) | (count(b, "{") != count(b, "}")) | (count(b, "[") != count(b, "]"))
+
+    copied = lambda values: F.forall(values, lambda v: F.contains(utterance, v))
+    types, values = (extract(raw, _GOOD_SLOT, i) for i in (1, 2))
+    good = F.when(copied(values), result(3, None, F.zip_with(types, values, lambda t, v: F.struct(t.alias("type"), v.alias("value"))))).otherwise(result(2, "value_not_copied_from_utterance"))
+
+    # a quoted name or text without escapes is read off; from_json, which is slower, decodes the others
+    inner = lambda flat, name: F.regexp_extract(flat, f'"{name}"{_W}:{_W}"({_PLAIN})"', 1).alias(name)
+    plain = F.transform(flats, lambda flat: F.struct(inner(flat, "type"), inner(flat, "value")))
+    decoded = F.when(F.contains(raw, F.lit("\\")), F.from_json(raw, T.StructType([T.StructField("slots", SLOTS)]))["slots"]).otherwise(plain)
+
+    def error(flat, slot):
+        pair = F.array_sort(names(flat)) == F.array(F.lit('"type"'), F.lit('"value"'))
+        texts = F.size(extract(flat, f"{_NAME}{_W}:{_W}{_TEXT}", 0)) == 2
+        fine = texts & slot["type"].isin(*TARGET_TYPES) & ~slot["value"].rlike(_BLANK)
+        return F.when(~pair, "invalid_slot_schema").when(~F.coalesce(fine, F.lit(False)), "invalid_slot_type_or_value")
+
+    def judged(x):
+        found = F.array_compact(F.zip_with(x["flats"], x["slots"], error))
+        settled = F.when(copied(F.transform(x["slots"], lambda s: s["value"])), result(3, None, x["slots"])).otherwise(result(2, "value_not_copied_from_utterance"))
+        named = lambda e: F.when(e.isNull(), settled).when(e == "invalid_slot_schema", result(1, "invalid_slot_schema")).otherwise(result(1, "invalid_slot_type_or_value"))
+        return F.when(F.exists(x["flats"], lambda f: repeats(names(f))), result(1, "duplicate_json_key")).otherwise(once(F.get(found, F.lit(0)), named))
+
+    # no brace inside a string: then what looks like an object is one
+    clear = lambda b: count(raw, "{") == count(b, "{")
+    repeated = (raw.rlike(rf"\A{_W}\{{") & repeats(extract(raw, _WIDE_MEMBER, 1))) | F.exists(flats, lambda f: repeats(names(f)))
+    other = F.when(repeated, result(1, "duplicate_json_key")).when(~raw.rlike(_ONLY_SLOTS), result(1, "invalid_top_level_schema"))
+    return (
+        F.when(raw.isNull() | utterance.isNull(), result(0, "non_string_input"))
+        .when(F.length(raw) > _LONGEST, F.lit(None).cast(PARSED))
+        .when(raw.rlike(_GOOD_SLOTS), good)
+        .when(raw.rlike(_SLOT_LIST), once(F.struct(flats.alias("flats"), decoded.alias("slots")), judged))
+        .otherwise(once(bare, lambda b: F.when(broken(b), result(0, "invalid_json")).when(clear(b) & raw.rlike(_OTHER), other)))
+    )
+
+
+def with_parsed(df: DataFrame, raw: str, utterance: str, name: str = "p") -> DataFrame:
+    """The rows with ``parse_output`` as a column of ``PARSED``. Expressions settle what they can; only the rest reaches Python,
+    nulls go in place of the others."""
+    given = F.when(F.col("_settled").isNull(), F.col(raw))
+    rest = _parse_rest(given, F.when(given.isNotNull(), F.col(utterance)))
+    return df.withColumn("_settled", _settled(F.col(raw), F.col(utterance))).withColumn(name, F.coalesce("_settled", rest)).drop("_settled")
+
+
 @F.pandas_udf(PARSED)
 def parse_outputs(raw: pd.Series, utterance: pd.Series) -> pd.DataFrame:
+    """``parse_output`` of all rows, for where only a column will do."""
     return pd.DataFrame([parse_output(a, b) for a, b in zip(raw, utterance)], columns=PARSED.names)
 
 

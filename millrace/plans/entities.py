@@ -15,7 +15,7 @@ TWO = f"{PARSED}, {raw_sql('raws2', 'raw2')}, {parsed_sql('parsed2', 'raws2')}"
 
 def parsed(spark, sf_dir, salt="raw"):
     r = raw_outputs(utterances(spark, sf_dir), salt)
-    return r.withColumn("p", spans.parse_outputs("raw_output", "utt"))
+    return spans.with_parsed(r, "raw_output", "utt")
 
 
 def rows(spark, sf_dir, salt="raw"):

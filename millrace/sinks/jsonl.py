@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.spans import parse_outputs
+from millrace.functions.spans import with_parsed
 from millrace.operators.checks import guarded
 from millrace.sources.files import ROW_LEVEL_KEYS
 from millrace.tables import scratch_path
@@ -122,6 +122,6 @@ def aggregates_only(report: DataFrame) -> DataFrame:
 
 def parsed_payload(df: DataFrame, eval_sha256: str, raw: str = "raw_output", utterance: str = "utt") -> DataFrame:
     """``prediction_payload`` with the parsed prediction and its validity."""
-    p = df.withColumn("_p", parse_outputs(raw, utterance))
+    p = with_parsed(df, raw, utterance, "_p")
     validity = F.struct(*[F.col(f"_p.{c}").alias(c) for c in ("json_valid", "schema_valid", "copy_valid", "error")])
     return prediction_payload(p.withColumn("prediction", F.col("_p.slots")).withColumn("validity", validity), eval_sha256, "prediction", "validity")
