@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys, spans
 from millrace.operators import evaluation, gates, metrics, ml
+from millrace.plans import fixtures
 
 SLOTS = "array<struct<type:string,value:string>>"
 
@@ -98,6 +99,43 @@ def plain_slots(utt, tags):
     return [tuple(x) for x in out]
 
 
+def _made_up_output(draw):
+    pick = lambda *c: draw.choice(c)
+    scalar = lambda: pick('"a"', '"date"', '" "', '"\\u0041b"', '"\\ud83d\\ude00"', '"\\ud800"', "1", "-0", "01", "1e5", "1.", "true", "null", "NaN", "-Infinity", '"漢"', '"x\\ty"', '"bad\\q"', '"tab\tx"', "{}", "[]", "[[1]]", '"\\u3000"', '"\u2003"', '"q\\"z"', '"{"')
+
+    def flat():
+        names = pick(["type", "value"], ["type", "value"], ["value", "type"], ["type"], ["type", "value", "x"], ["type", "type", "value"], [], ["ty\\u0070e", "value"])
+        member = lambda n: f'"{n}"{pick("", "", " ")}:' + (pick('"date"', '"person"', scalar()) if n == "type" else pick('"a"', '"b c"', scalar()))
+        return "{" + pick(",", ",", " , ", ",\n", ",,").join(map(member, names)) + "}"
+
+    items = [flat() if draw.random() < 0.6 else out(slot(pick("date", "time"), pick("a", "b c", "é")))[10:-2] for _ in range(pick(0, 1, 1, 2, 3))]
+    body = "[" + ",".join(items) + "]"
+    text = '{"slots":' + body + "}"
+    at = draw.randrange(len(text))
+    return pick(
+        text, text, text, text[:at] + text[at + 1 :], text[:at] + pick(*' "{}[],:\x01é') + text[at:], text[:at], pick(" ", "\n", "\xa0", "\ufeff", "`") + text + pick("", " ", "x", "\x0c"), scalar(), body, flat(),
+        pick("", " ", '{"slots":{}}', '{"slots":[],"slots":[]}', text[:-1] + ',"x":1}', '{"slots":[],' + text[1:], '{"slots":[1]}', "hello", "[1,2]", "[,]", '{"a":{"b":1,"b":2}}', '{"slots":null}', '{"a":":[1]","a":2}', '{"a":1,":[1]":2,":[2]":[]}'),
+    )
+
+
+def test_parser_by_expressions(spark):
+    """with_parsed gives what parse_output gives, also where it leaves an output to Python, and leaves few."""
+    draw = random.Random(8)
+    rows = [(i, draw.choice([None] + 30 * [_made_up_output(draw)]), draw.choice(["a b c é", "on a day \U0001f600 x\ty", "a", None])) for i in range(10_000)]
+    rows += [(len(rows), "[" * 100_000, "x"), (len(rows) + 1, out(slot("date", "y" * 1_200_000)), "y" * 1_200_000), (len(rows) + 2, out(*[slot("date", "y")] * 20_000), "y")]
+    got = spans.with_parsed(spark.createDataFrame(rows, "i int, raw string, utt string").repartition(4), "raw", "utt").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.p.asDict(True) == spans.parse_output(r.raw, r.utt), (r.raw[:200], r.utt[:50])
+    left = spark.createDataFrame(rows, "i int, raw string, utt string").where(spans._settled(F.col("raw"), F.col("utt")).isNull()).count()
+    assert left < 0.3 * len(rows)
+
+
+def test_outputs_left_to_python(spark, sf):
+    r = fixtures.raw_outputs(fixtures.utterances(spark, sf))
+    assert r.where(spans._settled(F.col("raw_output"), F.col("utt")).isNull()).count() < 0.01 * r.count()
+
+
 def test_tags_there_and_back(spark):
     draw = random.Random(5)
     rows = []

@@ -1,6 +1,7 @@
 """Checks, groups, draws, trees, statistics, readers and writers."""
 
 import io
+import hashlib
 import json
 import tarfile
 
@@ -200,3 +201,53 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.table("running").first()
     assert (r.n, r.n_exact, r.tp, r.fp, r.fn, r.micro_f1) == (2, 1, 1, 0, 0, 1.0)
+
+
+def test_each_prediction_counts_once(spark, tmp_path):
+    """Repeats, corrections and late versions, a batch that fails after its sums are written, and a restart."""
+    utt, right = "a b c", '{"slots":[{"type":"date","value":"a"}]}'
+    gold = spark.createDataFrame([(str(i), utt, [("date", "a")]) for i in range(6)], "id string, utt string, slots array<struct<type:string,value:string>>")
+    parts = [
+        [("0", right, 1), ("1", "{", 1), ("2", right, 2), ("9", right, 1), ("5", None, None)],
+        [("0", right, 1), ("1", right, 2), ("2", "{", 1), ("3", '{"slots":[{"type":"time","value":"a"}]}', 1)],
+        [("1", right, 2), ("3", right, 2), ("3", '{"slots":[]}', 3), ("4", right, 1), ("4", right, 1), ("5", right, 0)],
+    ]
+    place, sums, point = f"{tmp_path}/in", f"{tmp_path}/sums", f"{tmp_path}/point"
+    (tmp_path / "in").mkdir()
+
+    def arrive(i):
+        (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps({"id": a, "raw_output": b, "version": c}) + "\n" for a, b, c in parts[i]))
+
+    def newest(upto):
+        rows = {}
+        for part in parts[:upto]:
+            for key, raw, version in part:
+                at = (-(1 << 63) if version is None else version, hashlib.sha256((raw or "").encode()).hexdigest())
+                if int(key) < 6 and (key not in rows or at > rows[key][0]):
+                    rows[key] = (at, raw)
+        p = spark.createDataFrame([(k, r) for k, (_, r) in rows.items()], "id string, raw_output string")
+        return stream.running_scores(p, gold).first().asDict()
+
+    def kept():
+        return stream.kept_scores(spark, sums).first().asDict()
+
+    def arriving():
+        return stream.read_predictions(spark, place, 1, stream.VERSIONED)
+
+    arrive(0)
+    stream.score_stream(arriving(), gold, sums, point).awaitTermination(120)
+    assert kept() == newest(1)
+    keep = stream.keep_changes(sums)
+
+    def failing(batch, number):
+        keep(batch, number)
+        raise RuntimeError("lost")
+
+    arrive(1)
+    changes = stream.score_changes(arriving(), gold).writeStream.outputMode("update").foreachBatch(failing)
+    with pytest.raises(Exception, match="lost"):
+        changes.option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination(120)
+    arrive(2)
+    stream.score_stream(arriving(), gold, sums, point).awaitTermination(120)
+    assert kept() == newest(3)
+    assert kept()["n"] == 6 and kept()["n_exact"] == 5  # all but 3, whose newest is empty
