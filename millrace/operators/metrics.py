@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spans import TARGET_TYPES
+from millrace.tables import once
 
 INVALID = "<INVALID>"
 
@@ -75,7 +76,7 @@ def entity_counts(df: DataFrame, gold: str, pred: str, *keep: str) -> DataFrame:
     every = slot_counts(F.concat(g, p))
     # counts on either side of each distinct slot
     sides = F.transform(every, lambda s: F.struct(s["type"].alias("type"), F.size(F.filter(g, lambda x: (x["type"] == s["type"]) & (x["value"] == s["value"]))).alias("g"), F.size(F.filter(p, lambda x: (x["type"] == s["type"]) & (x["value"] == s["value"]))).alias("p")))
-    df = df.select(*keep, "valid", "_g", "_p", sides.alias("_s"))
+    df = once(df.select(*keep, "valid", "_g", "_p"), _s=sides)
     add = lambda f: F.aggregate("_s", F.lit(0).cast("long"), lambda acc, s: acc + f(s))
     return df.select(
         *keep, "valid", F.size("_g").cast("long").alias("n_gold"), F.size("_p").cast("long").alias("n_pred"), "_s",

@@ -23,6 +23,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns, or new ones of the same name, that are made once a row.
+
+    Spark puts an expression in the place of its name wherever that is used: in filters, in both sides of a test and within lambdas, where
+    it is made again for each element. What comes out of an explode stays a value."""
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
+    return df.select(*kept, made).select(*kept, "_once.*")
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: made once, whatever reads them, and safe from lost executors.
 
