@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from millrace.functions import spans
 from millrace.functions.hashing import bucket_hash
 from millrace.operators import fingerprints, gates, linear, metrics, ml
 from millrace.sinks import jsonl as sink
 from millrace.sources import files, jsonl
+from millrace.tables import once, written
 
 from . import classification, entities
-from .fixtures import DOCS, UTTS, H, documents, parsed_sql, raw_sql, table, utterances
+from .fixtures import DOCS, UTTS, H, documents, parsed_sql, raw_outputs, raw_sql, table, utterances
 
 SYSTEMS = ("raw", "raw2", "raw3")
 
@@ -16,12 +18,15 @@ SYSTEMS = ("raw", "raw2", "raw3")
 def reports(spark, sf_dir):
     """A report for each system of model outputs."""
     out, flags = None, ("json_valid", "schema_valid", "copy_valid")
+    # utterances are made once for all systems, and two rows a system are all that the reports need of the outputs
+    u = once(utterances(spark, sf_dir).select("id", "utt", "slots"), slots=F.col("slots")).withColumn("system", F.explode(F.array(*map(F.lit, SYSTEMS))))
+    p = spans.with_parsed(raw_outputs(u, F.col("system")), "raw_output", "utt")
+    rows = metrics.entity_counts(p.select("system", "slots", F.col("p.slots").alias("pred"), *[F.col(f"p.{c}").alias(c) for c in flags]), "slots", "pred", "system", *flags)
+    cells = written(metrics.entity_cells(rows, F.col("system"), (F.col("n_gold") > 0).alias("has"), **{f"n_{c}": F.col(c) for c in flags}))
     for i, salt in enumerate(SYSTEMS):
-        p = entities.parsed(spark, sf_dir, salt)
-        rows = metrics.entity_counts(p.select("id", "slots", F.col("p.slots").alias("pred"), *[F.col(f"p.{c}").alias(c) for c in flags]), "slots", "pred", "id", *flags)
-        cells = metrics.entity_cells(rows, (F.col("n_gold") > 0).alias("has"), **{f"n_{c}": F.col(c) for c in flags})
-        positive = metrics.prf_of_cells(cells.where("has")).select(F.col("micro_f1").alias("positive_f1"))
-        one = metrics.prf_of_cells(cells, *[f"n_{c}" for c in flags]).crossJoin(positive)  # one row each
+        own = cells.where(F.col("system") == salt)
+        positive = metrics.prf_of_cells(own.where("has")).select(F.col("micro_f1").alias("positive_f1"))
+        one = metrics.prf_of_cells(own, *[f"n_{c}" for c in flags]).crossJoin(positive)  # one row each
         one = one.select(F.lit(salt).alias("system"), F.lit(80 * (i + 1)).cast("long").alias("step"), "*", *[(F.col(f"n_{c}") / F.col("n")).alias(f"{c}_rate") for c in flags], (F.col("n_no_slot_fp") + F.col("n_no_slot_invalid")).alias("n_no_slot_failure"))
         one = one.drop(*[f"n_{c}" for c in flags])
         out = one if out is None else out.unionByName(one)
