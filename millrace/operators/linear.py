@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millrace.tables import BROADCAST_ROWS, numbered, written
 
 from .checks import ConstraintError
-from .ml import char_ngrams
+from .ml import term_counts
 
 #: Weights of a model at most (classes x terms): they are sent to all tasks in each pass, 8 bytes each.
 MOST_WEIGHTS = 50_000_000
@@ -35,11 +35,6 @@ class LinearModel:
     high: int
 
 
-def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
-    """(key, term, tf), counted where the texts lie once they are dealt by key."""
-    return df.select(key, text).repartition(key).select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def inverse_frequency(counts: DataFrame, texts: int, min_df: int = 2) -> DataFrame:
     """(term, idf) of the terms in at least min_df texts: ln((1 + n) / (1 + df)) + 1."""
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)

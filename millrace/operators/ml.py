@@ -1,10 +1,12 @@
 """Models: choice between systems, TF-IDF, linear classifiers, Viterbi decoding."""
 
 import json
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, FeatureHasher, StringIndexer
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spans import bio_tags
+from millrace.tables import BROADCAST_ROWS, written
 
 from .checks import ConstraintError
 
@@ -45,18 +48,47 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     return F.concat(*out)
 
 
+#: Rows of term counts that leave Python together, about.
+_COUNTED = 100_000
+
+
+def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
+    """(key, term, tf): how often each character n-gram of low to high characters occurs in the texts of a key.
+
+    The texts of a key are counted where they meet, a key at a time: a table of all terms of all keys of a task, which an aggregation
+    of exploded n-grams holds, would grow with the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, terms, n = [], [], []
+            for i, texts in enumerate(batch.column(1).to_pylist()):
+                own = Counter()
+                for t in texts:
+                    for k in range(low, high + 1):
+                        own.update([t[j : j + k] for j in range(len(t) - k + 1)])
+                row.append(np.full(len(own), i))
+                terms.extend(own)
+                n.extend(own.values())
+                if len(terms) >= _COUNTED or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(terms, pa.string()), pa.array(n, pa.int64())], [key, "term", "tf"])
+                    row, terms, n = [], [], []
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return df.groupBy(key).agg(F.collect_list(text).alias("_texts")).mapInArrow(count, schema)
+
+
 def tfidf(df: DataFrame, key: str, text: str, low: int, high: int, min_df: int = 2) -> DataFrame:
     """(key, term, weight): sublinear term frequency times ln((1 + n) / (1 + df)) + 1, rows of length 1.
 
-    Texts are dealt by key before they are cut, so terms are counted, and rows normalised, where they lie; the terms themselves
-    cross a shuffle only as document counts, added up first, and for the join with them where they are too many to be broadcast.
+    Counts are made once and written. Terms are broadcast only if they are few by number; else they meet by a shuffle, and the
+    driver, where Spark would put together whatever looks small when compressed, holds none of them.
     """
-    dealt = df.select(key, text).repartition(key)
-    terms = dealt.select(key, F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count_distinct(key).alias("n"))
-    seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = seen.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    raw = terms.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    counts = written(term_counts(df, key, text, low, high))
+    n = df.select(F.count_distinct(key)).first()[0]
+    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    idf = written(seen.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = F.broadcast(idf) if idf.count() <= BROADCAST_ROWS else idf.hint("merge")
+    raw = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
