@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import hash_rank
 from millrace.functions.spans import TARGET_TYPES
-from millrace.tables import numbered
+from millrace.tables import numbered, once
 
 from . import checks, datasets, groups, sampling
 
@@ -61,17 +61,19 @@ def study_groups(rows: DataFrame, prior: DataFrame | None = None, reserved: Data
     status: empty, prior (the key is in prior(key) or its hash in reserved(group_sha256)), conflict (its rows' slots differ) or eligible,
     in that order."""
     own = rows.select("id", "utt", "slots", "any_type", "key", F.sha2("key", 256).alias("group_sha256"), F.xxhash64(groups.slot_signature(F.col("slots"))).alias("_sig"))
-    best = F.min_by(F.struct("id", "utt", "slots", "any_type", "key"), groups.id_order("id")).alias("r")
-    g = own.groupBy("group_sha256").agg(F.count(F.lit(1)).alias("n_members"), F.count_distinct("_sig").alias("_n"), best)
+    # one aggregate a column: what a study doesn't read, mostly the texts, doesn't cross the shuffle; the key is one for all members
+    best = [F.min_by(c, groups.id_order("id")).alias(f"_{c}") for c in ("id", "utt", "slots", "any_type")]
+    g = own.groupBy("group_sha256").agg(F.count(F.lit(1)).alias("n_members"), (~F.min("_sig").eqNullSafe(F.max("_sig"))).alias("_differ"), F.first("key").alias("_key"), *best)
     used = [x for x in (prior.select(F.sha2("key", 256).alias("group_sha256")) if prior is not None else None, reserved.select("group_sha256") if reserved is not None else None) if x is not None]
     taken = F.lit(False)
     if used:
         out = used[0] if len(used) == 1 else used[0].unionByName(used[1])
         g = g.join(out.distinct().withColumn("_taken", F.lit(True)), "group_sha256", "left")
         taken = F.coalesce(F.col("_taken"), F.lit(False))
-    status = F.when(F.col("r.key") == "", "empty").when(taken, "prior").when(F.col("_n") > 1, "conflict").otherwise("eligible")
-    negative = F.when(F.size("r.slots") == 0, F.when(F.col("r.any_type"), "hard_negative").otherwise("pure_negative"))
-    return g.select("r.key", "group_sha256", "n_members", status.alias("status"), "r.id", "r.utt", "r.slots", F.array_sort(F.array_distinct("r.slots.type")).alias("types"), negative.alias("negative"))
+    status = F.when(F.col("_key") == "", "empty").when(taken, "prior").when(F.col("_differ"), "conflict").otherwise("eligible")
+    negative = F.when(F.size("_slots") == 0, F.when(F.col("_any_type"), "hard_negative").otherwise("pure_negative"))
+    shown = [F.col(f"_{c}").alias(c) for c in ("id", "utt", "slots")]
+    return g.select(F.col("_key").alias("key"), "group_sha256", "n_members", status.alias("status"), *shown, F.array_sort(F.array_distinct("_slots.type")).alias("types"), negative.alias("negative"))
 
 
 def study_audit(study: DataFrame) -> DataFrame:
@@ -151,6 +153,7 @@ def preference_records(parsed: DataFrame, utterance: str, slots: str, predicted:
     made = datasets.fallback_rejected(F.col(slots), F.col(utterance), F.col(digest))
     rejected = F.when(wrong, F.col(raw)).otherwise(made)
     out = parsed.select(*keep, datasets.turn("user", F.concat(F.lit(datasets.SLOT_PROMPT), utterance)).alias("prompt"), datasets.turn("assistant", canonical_json(F.col(slots))).alias("chosen"), rejected.alias("_r"), wrong.alias("is_model_error"))
+    out = once(out, _r=F.col("_r"))
     return out.where("_r is not null").withColumn("rejected", datasets.turn("assistant", F.col("_r"))).drop("_r")
 
 
