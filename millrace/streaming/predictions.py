@@ -55,16 +55,21 @@ def _change(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
         yield pd.DataFrame([(key[0], *(b - a for a, b in zip(before, newest[2:])))], columns=["id", *COUNTS])
 
 
+def _counted(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(id, version, digest, counts) of each prediction whose id gold has."""
+    lowest = F.lit(-(1 << 63)).cast("long")
+    p = predictions.join(gold, "id").select("*", F.sha2(F.coalesce("raw_output", F.lit("")), 256).alias("digest"))
+    p = with_parsed(p.withColumn("version", F.coalesce("version", lowest)), "raw_output", "utt").withColumn("pred", F.col("p.slots"))
+    counted = entity_counts(p, "slots", "pred", "id", "version", "digest")
+    return counted.select("id", "version", "digest", F.lit(1).cast("long").alias("n"), F.col("exact").cast("long").alias("n_exact"), "tp", "fp", "fn")
+
+
 def score_changes(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """(id, n, n_exact, tp, fp, fn): by how much each prediction changes the sums. predictions(id, raw_output, version), gold(id, utt, slots).
 
     The highest version of an id counts, the one with the larger digest of the output if several have it; a null version is the
     lowest. Repeated and late rows change nothing; ids that gold doesn't have are left out."""
-    lowest = F.lit(-(1 << 63)).cast("long")
-    p = predictions.join(gold, "id").select("*", F.sha2(F.coalesce("raw_output", F.lit("")), 256).alias("digest"))
-    p = with_parsed(p.withColumn("version", F.coalesce("version", lowest)), "raw_output", "utt").withColumn("pred", F.col("p.slots"))
-    counted = entity_counts(p, "slots", "pred", "id", "version", "digest")
-    counted = counted.select("id", "version", "digest", F.lit(1).cast("long").alias("n"), F.col("exact").cast("long").alias("n_exact"), "tp", "fp", "fn")
+    counted = _counted(predictions, gold)
     return counted.groupBy("id").applyInPandasWithState(_change, f"id string, {_COUNTS}", f"version long, digest string, {_COUNTS}", "update", "NoTimeout")
 
 
@@ -89,6 +94,27 @@ def score_stream(predictions: DataFrame, gold: DataFrame, path: str, checkpoint:
     return changes.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def score_batches(predictions: DataFrame, gold: DataFrame, path: str, checkpoint: str):
+    """``score_stream`` for very many ids, without a Python state for each: of each batch the newest row of an id is kept under the batch's
+    number, so a batch that is run again replaces itself; ``newest_scores`` compares the batches."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        _newest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _counted(predictions, gold).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each id the row with the highest version, then digest."""
+    return rows.groupBy("id").agg(F.max(F.struct("version", "digest", *COUNTS)).alias("r")).select("id", "r.*")
+
+
+def newest_scores(spark: SparkSession, path: str) -> DataFrame:
+    """One row over all that ``score_batches`` has kept: each id counts once."""
+    rows = spark.read.schema(f"id string, version long, digest string, {_COUNTS}").parquet(path)
+    return _rated(_newest(rows).agg(*[F.sum(c).alias(c) for c in COUNTS]))
+
+
 def first_by_group(predictions: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed them."""
     return predictions.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
