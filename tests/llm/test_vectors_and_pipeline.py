@@ -212,3 +212,19 @@ def test_pipeline_on_nothing(spark, sf):
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
     assert lines.RATIO and packing.LENGTH == 1024
+
+
+def test_each_query_walks_once_if_the_first_beam_suffices(spark, monkeypatch):
+    v = np.random.default_rng(5).normal(size=(600, 12))
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    walked, walk = [], ann.walk
+
+    def counted(index, starts, *rest):
+        walked.extend(r["query"] for r in starts.select("query").collect())
+        return walk(index, starts, *rest)
+
+    monkeypatch.setattr(ann, "walk", counted)
+    monkeypatch.setattr(ann, "PROBES", 4)
+    got = ann.search(df, df.where("vec_id % 30 = 0")).collect()
+    assert len(got) == 20 * 10
+    assert len(walked) == len(set(walked)) == 20
