@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ from .ml import term_counts
 
 #: Weights of a model at most (classes x terms): they are sent to all tasks in each pass, 8 bytes each.
 MOST_WEIGHTS = 50_000_000
+#: Entries of a block of rows, and bytes of blocks that lie in one row group: a reader holds a group at a time.
+BLOCK, GROUP_BYTES = 1 << 16, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -50,13 +51,17 @@ def weighted(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch of rows (y, idx array, val array) as one row of four buffers."""
+    """Rows (y, idx array, val array) as blocks, a row of four buffers each, of BLOCK entries and rows at most or of one row."""
     for batch in batches:
-        if batch.num_rows:
-            idx, val = batch.column("idx"), batch.column("val")
-            ptr = idx.offsets.to_numpy() - idx.offsets[0].as_py()
-            flat = batch.column("y").to_numpy().astype(np.int32), ptr.astype(np.int64), idx.flatten().to_numpy().astype(np.int32), val.flatten().to_numpy()
+        low = 0
+        while low < batch.num_rows:
+            ptr = batch.column("idx").offsets.to_numpy()[low:].astype(np.int64)
+            ptr -= ptr[0]
+            n = min(max(1, int(np.searchsorted(ptr, BLOCK, "right")) - 1), BLOCK)
+            some = batch.slice(low, n)
+            flat = some.column("y").to_numpy().astype(np.int32), ptr[: n + 1], some.column("idx").flatten().to_numpy().astype(np.int32), some.column("val").flatten().to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in flat], ["y", "ptr", "idx", "val"])
+            low += n
 
 
 def _loss_and_gradient(block: tuple, w: np.ndarray, positive: np.ndarray, cost: float) -> tuple[float, np.ndarray]:
@@ -77,7 +82,8 @@ def _loss_and_gradient(block: tuple, w: np.ndarray, positive: np.ndarray, cost:
             short = np.maximum(0, 1 - sign * margin)
             loss += float((c * short**2).sum())
             pull = -2 * c * sign * short
-            grad[j, :-1] += np.bincount(i, x * pull[of], n - 1)
+            on = (pull != 0)[of]  # rows beyond the margin add nothing
+            grad[j, :-1] += np.bincount(i[on], x[on] * pull[of[on]], n - 1)
             grad[j, -1] += pull.sum()
     return loss, grad
 
@@ -122,15 +128,13 @@ def fit_squared_hinge(rows: DataFrame, classes: int, terms: int, cost: float = 1
 
     Minimises, for each class against the rest, half the squared length of the weights, the intercept among them, plus
     ``cost`` times the squared hinge losses; ``balanced`` weighs a class's own rows by n / (classes * its rows). All machines share the
-    passes over the data. A pass sends the weights to all tasks and adds losses and gradients as a tree; rows stay packed
-    where they are kept, and come back from a written table if that is lost."""
+    passes over the data. A pass sends the weights to all tasks and adds losses and gradients as a tree; it reads the rows from a
+    written table of small blocks, a few at a time, so what executors hold doesn't grow with the rows."""
     if classes * (terms + 1) > MOST_WEIGHTS:
         raise ConstraintError(f"more than {MOST_WEIGHTS} weights")
     sc = rows.sparkSession.sparkContext
-    spread = rows.select("y", "idx", "val").repartition(max(rows.rdd.getNumPartitions(), sc.defaultParallelism))
-    packed = written(spread.mapInArrow(_packed, "y binary, ptr binary, idx binary, val binary"))
+    packed = written(rows.select("y", "idx", "val").mapInArrow(_packed, "y binary, ptr binary, idx binary, val binary"), GROUP_BYTES)
     kinds = (np.int32, np.int64, np.int32, np.float64)
-    blocks = packed.rdd.map(lambda r: tuple(np.frombuffer(b, t) for b, t in zip(r, kinds))).persist(StorageLevel.MEMORY_AND_DISK)
     positive = np.ones(classes)
     if balanced:
         own = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
@@ -138,16 +142,25 @@ def fit_squared_hinge(rows: DataFrame, classes: int, terms: int, cost: float = 1
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         sent = sc.broadcast(w)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, grad = 0.0, np.zeros_like(sent.value)
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    block = tuple(np.frombuffer(column[row].as_buffer(), kind) for column, kind in zip(batch.columns, kinds))
+                    own, g = _loss_and_gradient(block, sent.value, positive, cost)
+                    loss += own
+                    grad += g
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
+
         add = lambda a, b: b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
-        total = blocks.treeAggregate(None, lambda a, b: add(a, _loss_and_gradient(b, sent.value, positive, cost)), add)
+        sums = packed.mapInArrow(part, "loss double, grad binary").rdd.map(lambda r: (r["loss"], np.frombuffer(r["grad"]).reshape(classes, terms + 1)))
+        total = sums.treeAggregate(None, add, add)
         sent.destroy()
         loss, grad = total or (0.0, np.zeros_like(w))
         return 0.5 * float(np.vdot(w, w)) + loss, w + grad
 
-    try:
-        return minimise(value, np.zeros((classes, terms + 1)), tolerance)
-    finally:
-        blocks.unpersist()
+    return minimise(value, np.zeros((classes, terms + 1)), tolerance)
 
 
 def fit_text(train: DataFrame, key: str, text: str, label: str, low: int, high: int, min_df: int = 2, cost: float = 1.0, balanced: bool = False, tolerance: float = 1e-4) -> LinearModel:

@@ -61,9 +61,9 @@ def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, terms, n = [], [], []
-            for i, texts in enumerate(batch.column(1).to_pylist()):
+            for i, texts in enumerate(batch.column(1)):  # a key's texts become Python's one at a time
                 own = Counter()
-                for t in texts:
+                for t in texts.as_py():
                     for k in range(low, high + 1):
                         own.update([t[j : j + k] for j in range(len(t) - k + 1)])
                 row.append(np.full(len(own), i))

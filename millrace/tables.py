@@ -33,12 +33,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, made).select(*kept, "_once.*")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """The rows, written to the shared folder and read again: made once, whatever reads them, and safe from lost executors.
 
-    The table stays as long as the folder does, as results may read it."""
+    The table stays as long as the folder does, as results may read it. ``group_bytes`` bounds its row groups."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

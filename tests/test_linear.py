@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.operators import linear
@@ -93,3 +94,31 @@ def test_refusals(spark):
             fit(one, "id", "text", "lang", 1, 2)
     with pytest.raises(ConstraintError):
         linear.fit_squared_hinge(one, 10_000, 100_000)
+
+
+def test_blocks_have_a_bound():
+    """A batch was one block, which executors held whole and several times over."""
+    idx = [[*range(n)] for n in (40_000, 30_000, 70_000, 0, 0, 5, 20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array([[float(x) for x in i] for i in idx], pa.list_(pa.float64()))], ["y", "idx", "val"])
+    back = []
+    for block in linear._packed(iter([batch.slice(0, 0), batch.slice(0, 3), batch.slice(3)])):
+        y, ptr, i, val = (np.frombuffer(block.column(c)[0].as_py(), t) for c, t in enumerate((np.int32, np.int64, np.int32, np.float64)))
+        assert len(y) == 1 or len(i) <= linear.BLOCK
+        assert len(ptr) == len(y) + 1 and ptr[-1] == len(i) == len(val)
+        back += [(int(k), i[a:b].tolist(), val[a:b].tolist()) for k, a, b in zip(y, ptr, ptr[1:])]
+    assert back == [(k, i, [float(x) for x in i]) for k, i in enumerate(idx)]
+
+
+def test_passes_keep_no_rows_in_memory(spark, monkeypatch):
+    held, minimise = [], linear.minimise
+
+    def watched(value, *rest):
+        value(rest[0])
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return minimise(value, *rest)
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(linear, "minimise", watched)
+    rows = [(i % 2, [i % 2, 2], [1.0, 0.5]) for i in range(40)]
+    got = linear.fit_squared_hinge(spark.createDataFrame(rows, "y int, idx array<int>, val array<double>"), 2, 3)
+    assert held == [before] and got[0, 0] > 0 > got[0, 1]
